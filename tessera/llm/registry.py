@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe
+from . import bpe, mixing, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
+    "op8_mixing": mixing.op8_mixing,
     "op9_bpe_codec": bpe.op9_bpe_codec,
 }
 
 #: DuckDB SQL of the queries that SQL can express on whole tables.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op8_mixing": mixing.SQL,
+}
