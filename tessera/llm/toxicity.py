@@ -5,11 +5,12 @@ length it spans; so an insult with inserted or missing characters stays close to
 documents: a toxic document has some toxic word, a clean one none. Training alternates between choosing each toxic
 document's most telling word and fitting a linear SVM on the Nyström map of a few hundred landmark words. As a
 landmark's kernel is a sum over subsequences, the fitted function folds into one table of a weight per subsequence,
-which scores a word by lookups. A document scores as its most toxic word does.
+which scores a word by lookups. A document scores by its most toxic words.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -22,9 +23,12 @@ from pyspark.sql import functions as F
 
 from .common import clean_text, table
 
-#: Labelled documents of either class that training takes at most, the first by hash; landmarks; words of a fit.
+#: Labelled documents of either class that training takes at most, the first by hash; landmarks; clean words of a fit,
+#: and those that the hardest of them are sought among.
 SAMPLE = {1: 1500, 0: 3000}
-LANDMARKS, NEGATIVES, ROUNDS, SEED = 320, 12_000, 4, 20
+LANDMARKS, NEGATIVES, MINED, ROUNDS, SEED = 240, 6_000, 60_000, 3, 20
+#: The least score of a word, and that of a text without one.
+LOW = -3.0
 #: Characters a subsequence may span; discount for each character skipped; longest unit, and the step of longer ones.
 SPAN, DECAY, UNIT = 6, 0.6, 24
 LETTERS = 32
@@ -54,13 +58,12 @@ def _codes() -> np.ndarray:
 CODES = _codes()
 
 
-def units(text: str) -> set[str]:
-    """The distinct lower-case words, outer punctuation off, letters set apart by spaces joined, long words in
-    overlapping windows."""
+def units(text: str) -> list[str]:
+    """The lower-case words, and letters set apart by spaces joined to one."""
     text = text.lower()
-    found = set(text.split())
+    found = text.split()
     if _spaced.search(text):
-        found |= {m[0].replace(" ", "").replace("\t", "") for m in _spaced.finditer(text)}
+        found += [m[0].replace(" ", "").replace("\t", "") for m in _spaced.finditer(text)]
     return found
 
 
@@ -102,8 +105,9 @@ def norms(n: int, who: np.ndarray, weight: np.ndarray) -> np.ndarray:
 class Model:
     """The folded table: score of a word = sum of its subsequences' weights over its norm, plus the offset."""
 
-    def __init__(self, table: np.ndarray, offset: float, slope: float, shift: float):
-        self.table, self.offset, self.slope, self.shift = table.astype(np.float32), offset, slope, shift
+    def __init__(self, table: np.ndarray, offset: float):
+        self.table, self.offset = table.astype(np.float32), offset
+        self.slope, self.shift = np.zeros(3), 0.0  # of the class probability, from a text's features
 
     def words(self, words: list[str]) -> np.ndarray:
         out = []
@@ -113,22 +117,27 @@ class Model:
             out.append(np.bincount(who, weight * self.table[which], len(part)) / norms(len(part), who, weight) + self.offset)
         return np.concatenate(out) if out else np.empty(0)
 
-    def documents(self, texts: list[str], known: dict[str, float] | None = None) -> np.ndarray:
-        """Each text's highest word score, the offset's own for a text without words."""
+    def features(self, texts: list[str], known: dict[str, float] | None = None) -> np.ndarray:
+        """Of each text the highest and the third highest score of a word, repeats counted, and the log of its words."""
         known = {} if known is None else known
         if len(known) > CACHED:
             known.clear()
-        sets = [units(t) for t in texts]
-        fresh = list(set().union(*sets).difference(known)) if sets else []
+        lists = [units(t) for t in texts]
+        fresh = list({w for x in lists for w in x if w not in known})
         cut = [(w, p) for w in fresh for p in pieces(w)]
-        known.update(dict.fromkeys(fresh, self.offset))
+        known.update(dict.fromkeys(fresh, LOW))
         for (w, _), s in zip(cut, self.words([p for _, p in cut]).tolist()):
             if s > known[w]:
                 known[w] = s
-        return np.array([max(map(known.__getitem__, s), default=self.offset) for s in sets])
+        out = np.empty((len(texts), 3))
+        for k, words in enumerate(lists):
+            top = heapq.nlargest(3, map(known.__getitem__, words)) if words else []
+            top += [LOW] * (3 - len(top))
+            out[k] = top[0], top[2], np.log1p(len(words))
+        return np.clip(out, LOW, None)
 
-    def probability(self, z: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * z + self.shift, -40, 40)))
+    def probability(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(x @ self.slope + self.shift, -40, 40)))
 
 
 def _svm(x: np.ndarray, y: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -147,20 +156,24 @@ def _svm(x: np.ndarray, y: np.ndarray, c: np.ndarray) -> np.ndarray:
     return w
 
 
-def _logistic(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of the class probability, with smoothed targets so that separable data stay finite."""
+def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Slopes and shift of the class probability, with smoothed targets so that separable data stay finite."""
     pos, neg = y.sum(), len(y) - y.sum()
     t = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
-    a, b = 1.0, 0.0
+    x1 = np.hstack([x, np.ones((len(x), 1))])
+    w, ridge = np.zeros(x1.shape[1]), np.diag([1e-1] * x.shape[1] + [1e-3])
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * z + b, -40, 40)))
-        g, r = np.array([(z * (p - t)).sum() + 1e-3 * a, (p - t).sum()]), p * (1 - p) + 1e-9
-        h = np.array([[(r * z * z).sum() + 1e-3, (r * z).sum()], [(r * z).sum(), r.sum() + 1e-3]])
-        step = np.linalg.solve(h, g)
-        a, b = a - step[0], b - step[1]
+        p = 1 / (1 + np.exp(-np.clip(x1 @ w, -40, 40)))
+        step = np.linalg.solve((x1 * (p * (1 - p) + 1e-9)[:, None]).T @ x1 + ridge, x1.T @ (p - t) + ridge @ w)
+        w = w - step * min(1.0, 5 / np.abs(step).max())
         if np.abs(step).max() < 1e-6:
             break
-    return float(a), float(b)
+    return w[:-1], float(w[-1])
+
+
+def grams(word: str) -> set[str]:
+    w = f"^{word}$"
+    return {w[k : k + 6] for k in range(max(1, len(w) - 5))}
 
 
 def _noisy(word: str, rng: np.random.Generator) -> str:
@@ -174,30 +187,43 @@ def _noisy(word: str, rng: np.random.Generator) -> str:
     return "-*._"[int(rng.integers(4))].join(word) if kind == 2 else word
 
 
-def train(texts: list[str], labels: list[int]) -> Model:
-    """A model from labelled texts; one class alone gives a constant one, its share of the labels the probability."""
-    rng = np.random.default_rng(SEED)
-    y = np.array(labels, float)
-    if not len(y) or y.min() == y.max():
-        p = (y.sum() + 1) / (len(y) + 2)
-        return Model(np.zeros(LETTERS**3), 0.0, 1.0, float(np.log(p / (1 - p))))
-    bags = [sorted({p for w in units(t) for p in pieces(w)}) for t in texts]
-    bad, good = [b for b, k in zip(bags, labels) if k and b], [b for b, k in zip(bags, labels) if not k and b]
-    in_bad, in_good = Counter(w for b in bad for w in b), Counter(w for b in good for w in b)
-    odds = {w: np.log((n + 0.1) / (len(bad) + 1)) - np.log((in_good[w] + 0.1) / (len(good) + 1)) + np.log(n) for w, n in in_bad.items()}
-    chosen = [max(b, key=lambda w: (odds[w], w)) for b in bad]
-    clean = np.array(sorted(in_good), object)
-    negatives = list(rng.choice(clean, min(NEGATIVES, len(clean)), replace=False)) if len(clean) else ["a"]
-    model = None
+def _signs(bags: list[list[str]], labels: np.ndarray) -> list[list[str]]:
+    """Each toxic document's words that have one of its most telling runs of six characters: those whose share among
+    toxic documents most exceeds that among clean ones, in standard errors."""
+    seen = {0: Counter(), 1: Counter()}
+    of = [{g for w in b for g in grams(w)} for b in bags]
+    for found, k in zip(of, labels):
+        seen[int(k)].update(found)
+    n1, n0 = labels.sum(), len(labels) - labels.sum()
+
+    def excess(g: str) -> float:
+        p, q = (seen[1][g] + 0.5) / (n1 + 1), (seen[0][g] + 0.5) / (n0 + 1)
+        return (p - q) / np.sqrt(p * (1 - p) / n1 + q * (1 - q) / n0)
+
+    value = {g: excess(g) for g in seen[1]}
+    out = []
+    for b, found, k in zip(bags, of, labels):
+        if k and found:
+            least = max(3.0, 0.5 * max(map(value.get, found)))
+            best = {g for g in found if value[g] >= least}
+            out.append([w for w in b if not best.isdisjoint(grams(w))])
+    return out
+
+
+def _fit_words(bags: list[list[str]], labels: np.ndarray, rng: np.random.Generator) -> Model:
+    good = Counter(w for b, k in zip(bags, labels) if not k for w in b)
+    clean = sorted(good)
+    common = sorted(clean, key=lambda w: (-good[w], w))[: NEGATIVES // 6]
+    clean = [clean[k] for k in rng.permutation(len(clean))[:MINED]]
+    negatives = list(dict.fromkeys([*common, *clean[: NEGATIVES - len(common)]])) or ["a"]
+    bad = [b for b, k in zip(bags, labels) if k and b]
+    chosen = [w for ws in _signs(bags, labels) for w in ws] or [w for b in bad for w in b]
     for turn in range(ROUNDS):
         counted = Counter(chosen)
         positives = sorted(counted)
-        weights = np.array([min(counted[w], 30) for w in positives], float)
         varied = [v for w in positives for v in [_noisy(w, rng) for _ in range(3)]]
-        half = LANDMARKS // 2
-        marks = sorted(positives, key=lambda w: (-counted[w], w))[:half]
-        marks += negatives[-(LANDMARKS - len(marks)) :]
-        marks = sorted(set(marks))
+        marks = sorted(positives, key=lambda w: (-counted[w], w))[: LANDMARKS // 2]
+        marks = sorted({*marks, *negatives[-(LANDMARKS - len(marks)) :]})
         who, which, weight = entries(marks)
         basis = np.zeros((LETTERS**3, len(marks)), np.float32)
         np.add.at(basis, (which, who), weight)
@@ -213,23 +239,48 @@ def train(texts: list[str], labels: list[int]) -> Model:
             order = np.argsort(who, kind="stable")
             who, rows = who[order], basis[which[order]] * weight[order, None]
             out = np.zeros((len(part), len(marks)))
-            first = np.flatnonzero(np.r_[True, who[1:] != who[:-1]]) if len(who) else []
             if len(who):
+                first = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
                 out[who[first]] = np.add.reduceat(rows, first, axis=0)
             kernel.append(out / norms(len(part), who, weight[order])[:, None])
         x = np.vstack(kernel) @ root
         signs = np.r_[np.ones(len(positives) + len(varied)), -np.ones(len(negatives))]
-        cost = np.r_[weights, np.repeat(weights, 3) * 0.3, np.full(len(negatives), 1.0)] * 4
+        heavy = np.sqrt([min(counted[w], 100) for w in positives])
+        cost = 4 * np.r_[heavy, np.repeat(heavy, 3) * 0.3, np.sqrt([min(good[w], 100) for w in negatives])]
         w = _svm(x, signs, cost)
-        model = Model(basis @ (root @ w[:-1]), float(w[-1]), 1.0, 0.0)
+        model = Model(basis @ (root @ w[:-1]), float(w[-1]))
         if turn < ROUNDS - 1:
-            scores = dict(zip(odds, model.words(list(odds))))
-            chosen = [max(b, key=lambda v: (scores[v] + 0.1 * odds[v], v)) for b in bad]
-            chosen = [v for v in chosen if scores[v] > -0.5] or chosen
-            hard = model.words(list(clean))
-            worst = clean[np.argsort(-hard, kind="stable")[: NEGATIVES // 3]]
+            known = {w for b in bad for w in b}
+            known = dict(zip(known, model.words(list(known)).tolist()))
+            chosen = [w for b in bad for top in [max(map(known.get, b))] if top > -0.3 for w in b if known[w] > max(0.0, top - 0.5) or known[w] == top]
+            chosen = chosen or [max(b) for b in bad]
+            hard = model.words(clean)
+            worst = [clean[k] for k in np.argsort(-hard, kind="stable")[: NEGATIVES // 3]]
             negatives = list(dict.fromkeys([*negatives[: NEGATIVES - len(worst)], *worst]))
-    model.slope, model.shift = _logistic(model.documents(texts), y)
+    return model
+
+
+def train(texts: list[str], labels: list[int]) -> Model:
+    """A model from labelled texts; one class alone gives a constant one, its share of the labels the probability."""
+    y = np.array(labels, float)
+    if len(y) < 4 or y.min() == y.max():
+        p = (y.sum() + 1) / (len(y) + 2)
+        model = Model(np.zeros(LETTERS**3), 0.0)
+        model.shift = float(np.log(p / (1 - p)))
+        return model
+    bags = [sorted({p for w in set(units(t)) for p in pieces(w)}) for t in texts]
+    half = np.arange(len(y)) % 2 == 0
+    rng = np.random.default_rng(SEED)
+    seen, of = [], []
+    for part in (half, ~half):  # the probability is fitted on words' scores by the half that a text isn't in
+        if y[part].min() < y[part].max():
+            model = _fit_words([b for b, k in zip(bags, part) if k], y[part], rng)
+            seen.append(model.features([t for t, k in zip(texts, part) if not k]))
+            of.append(y[~part])
+    model = _fit_words(bags, y, rng)
+    if not seen:
+        seen, of = [model.features(texts)], [y]
+    model.slope, model.shift = _logistic(np.vstack(seen), np.concatenate(of))
     return model
 
 
@@ -273,7 +324,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             texts = frame.column(at)
             out = []
             for k in range(0, len(texts), 100):
-                out.append(fitted.probability(fitted.documents([t or "" for t in texts.slice(k, 100).to_pylist()], known)))
+                out.append(fitted.probability(fitted.features([t or "" for t in texts.slice(k, 100).to_pylist()], known)))
             scores = pa.array(np.concatenate(out) if out else np.empty(0), pa.float64())
             yield pa.RecordBatch.from_arrays([*frame.columns, scores], [*frame.schema.names, "score"])
 
