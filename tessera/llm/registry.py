@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, toxicity
+from . import bpe, mixing, parity_join, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op4_parity_join": parity_join.op4_parity_join,
     "op8_mixing": mixing.op8_mixing,
     "op9_bpe_codec": bpe.op9_bpe_codec,
 }
 
 #: DuckDB SQL of the queries that SQL can express on whole tables.
 SQL: dict[str, str] = {
+    "op4_parity_join": parity_join.op4_parity_join,
     "op8_mixing": mixing.SQL,
 }

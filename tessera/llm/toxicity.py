@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import clean_text, table
 
@@ -314,7 +315,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # one table of 32**3 weights
     kept = docs.drop("score")
-    schema = kept.schema.add("score", "double")
+    schema = T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType())])
     at = kept.columns.index("text")
 
     def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
