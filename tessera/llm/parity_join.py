@@ -32,6 +32,8 @@ WORDS, PERCENT = 5, 75
 FIRST, FILL = 64, 2.0
 #: Buckets up to this size give all their pairs; tiles of larger ones; bytes of chunk keys a reduce group should hold.
 SMALL, TILE, GROUP_BYTES = 24, 2048, 16_000_000
+#: Further rounds of stars in large buckets before all remaining pairs of different components are compared.
+TURNS = 1
 #: Documents in the sample that says which shingles are frequent (an order of chunks, never a filter), and how many count as such.
 SAMPLED, FREQUENT = 20_000, 200_000
 K1, K2, K3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -346,16 +348,33 @@ def _across(hot: DataFrame, roots: DataFrame) -> DataFrame:
     return known.join(mixed, ["part", "key"])
 
 
+def _starred(members: DataFrame, turn: int) -> DataFrame:
+    """Pairs of each bucket's members with a member of its largest component, unless they are of that component.
+
+    The member is the one of a pseudo-random rank that all buckets share, so buckets of the same group mostly agree.
+    """
+    parts = members.groupBy("part", "key", "root").agg(F.count("*").alias("n"), F.max(F.struct(F.xxhash64("a", F.lit(turn)), F.col("a"))).alias("first"))
+    lead = parts.groupBy("part", "key").agg(F.max(F.struct("n", "first", "root")).alias("x")).select("part", "key", F.col("x.first.a").alias("lead"), F.col("x.root").alias("r"))
+    pairs = members.join(lead, ["part", "key"]).filter("root <> r")
+    return pairs.select(F.least("a", "lead").alias("a"), F.greatest("a", "lead").alias("b")).distinct()
+
+
 def _tiled(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs of one bucket and different roots whose sketches are near enough, each tile against each."""
+    """Pairs of one bucket and different roots whose sketches are near enough, each tile against each.
+
+    Of the buckets that two nodes share only the first by ``k`` gives their pair.
+    """
+    members = members.withColumn("k", F.xxhash64("part", "key"))
+    members = members.join(members.groupBy("a").agg(F.collect_set("k").alias("ks")), "a")  # no more than a node's chunk keys
     tiles = F.ceil(F.col("m") / TILE).cast("int")
     rows = members.join(nodes.select(F.col("sig").alias("a"), "n", "sketch"), "a").withColumn("tile", F.pmod(F.xxhash64("a"), tiles).cast("int"))
     other = F.explode(F.sequence(F.lit(0), tiles - 1))
-    rows = rows.withColumn("other", other).select("part", "key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "a", "root", "n", "sketch")
+    rows = rows.withColumn("other", other).select("k", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "a", "root", "n", "sketch", "ks")
 
     def group(t: pa.Table) -> pa.Table:
-        i = t.column("i")[0].as_py()
+        i, k = t.column("i")[0].as_py(), t.column("k")[0].as_py()
         rows = sorted(zip(*[t.column(k).to_pylist() for k in ("n", "a", "root", "sketch", "tile")]))
+        keys = {a: set(ks) for a, ks in zip(t.column("a").to_pylist(), t.column("ks").to_pylist())}
         one = t.column("j")[0].as_py() == i
         pairs = []
         for x, (n, a, root, bits, tile) in enumerate(rows):
@@ -363,11 +382,11 @@ def _tiled(members: DataFrame, nodes: DataFrame) -> DataFrame:
                 n2, b, root2, bits2, tile2 = rows[y]
                 if 100 * n < PERCENT * n2:
                     break
-                if root != root2 and (one or tile != tile2) and hamming(bits, bits2) <= most_apart(n, n2):
+                if root != root2 and (one or tile != tile2) and hamming(bits, bits2) <= most_apart(n, n2) and min(keys[a] & keys[b]) == k:
                     pairs.append((min(a, b), max(a, b)))
         return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
-    return rows.groupBy("part", "key", "i", "j").applyInArrow(group, "a long, b long").distinct()
+    return rows.groupBy("k", "i", "j").applyInArrow(group, "a long, b long").distinct()
 
 
 def _prepared(docs: DataFrame) -> DataFrame:
@@ -393,9 +412,13 @@ def jaccard_join(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     links = written(_verified(written(_near(found.filter("key IS NULL").select("a", "b").distinct(), nodes), "near"), docs, nodes), "links")
     roots = components(links)
     hot = found.filter("key IS NOT NULL").select("part", "key", "a")
-    more = written(_tiled(_across(hot, roots), nodes), "across")
-    if not more.isEmpty():
-        more = written(_verified(more, docs, nodes), "links")
+    for turn in range(TURNS + 1):
+        mixed = written(_across(hot, roots), "mixed")
+        if mixed.isEmpty():
+            break
+        # Stars around other members join most of what is left; the last turn compares all pairs of different roots.
+        near = _near(_starred(mixed, turn), nodes) if turn < TURNS else _tiled(mixed, nodes)
+        more = written(_verified(written(near, "near"), docs, nodes), "links")
         links = links.union(more)
         roots = components(links)
     return base, links, roots
