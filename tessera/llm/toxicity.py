@@ -26,7 +26,7 @@ from .common import clean_text, table
 
 #: Labelled documents of either class that training takes at most, the first by hash; landmarks; clean words of a fit,
 #: and those that the hardest of them are sought among.
-SAMPLE = {1: 1500, 0: 3000}
+SAMPLE = {1: 1200, 0: 2400}
 LANDMARKS, NEGATIVES, MINED, ROUNDS, SEED = 240, 6_000, 60_000, 3, 20
 #: The least score of a word, and that of a text without one.
 LOW = -3.0
@@ -35,7 +35,7 @@ SPAN, DECAY, UNIT = 6, 0.6, 24
 LETTERS = 32
 START, END = 30, 31
 #: Distinct words a worker remembers the scores of.
-CACHED = 300_000
+CACHED = 200_000
 STEPS = [(a, b) for a, b in combinations(range(1, SPAN), 2)]
 
 _spaced = re.compile(r"(?<!\S)(?:[^\W\d_][ \t]){2,}[^\W\d_](?!\S)")
@@ -112,8 +112,8 @@ class Model:
 
     def words(self, words: list[str]) -> np.ndarray:
         out = []
-        for k in range(0, len(words), 100_000):
-            part = words[k : k + 100_000]
+        for k in range(0, len(words), 10_000):
+            part = words[k : k + 10_000]
             who, which, weight = entries(part)
             out.append(np.bincount(who, weight * self.table[which], len(part)) / norms(len(part), who, weight) + self.offset)
         return np.concatenate(out) if out else np.empty(0)
@@ -121,6 +121,8 @@ class Model:
     def features(self, texts: list[str], known: dict[str, float] | None = None) -> np.ndarray:
         """Of each text the highest and the third highest score of a word, repeats counted, and the log of its words."""
         known = {} if known is None else known
+        if len(texts) > 100:
+            return np.vstack([self.features(texts[k : k + 100], known) for k in range(0, len(texts), 100)])
         if len(known) > CACHED:
             known.clear()
         lists = [units(t) for t in texts]
@@ -234,8 +236,8 @@ def _fit_words(bags: list[list[str]], labels: np.ndarray, rng: np.random.Generat
         root = vectors[:, keep] / np.sqrt(values[keep])
         words = [*positives, *varied, *negatives]
         kernel = []
-        for k in range(0, len(words), 2000):
-            part = words[k : k + 2000]
+        for k in range(0, len(words), 250):
+            part = words[k : k + 250]
             who, which, weight = entries(part)
             order = np.argsort(who, kind="stable")
             who, rows = who[order], basis[which[order]] * weight[order, None]
@@ -265,7 +267,7 @@ def train(texts: list[str], labels: list[int]) -> Model:
     """A model from labelled texts; one class alone gives a constant one, its share of the labels the probability."""
     y = np.array(labels, float)
     if len(y) < 4 or y.min() == y.max():
-        p = (y.sum() + 1) / (len(y) + 2)
+        p = (y.sum() + 0.5) / (len(y) + 2)
         model = Model(np.zeros(LETTERS**3), 0.0)
         model.shift = float(np.log(p / (1 - p)))
         return model
