@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, parity_join, toxicity
+from . import bpe, mixing, parity_join, pii, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op2_personal_data": pii.op2_personal_data,
     "op4_parity_join": parity_join.op4_parity_join,
     "op8_mixing": mixing.op8_mixing,
     "op9_bpe_codec": bpe.op9_bpe_codec,
@@ -13,6 +14,7 @@ QUERIES = {
 
 #: DuckDB SQL of the queries that SQL can express on whole tables.
 SQL: dict[str, str] = {
+    "op2_personal_data": pii.op2_personal_data,
     "op4_parity_join": parity_join.op4_parity_join,
     "op8_mixing": mixing.SQL,
 }
