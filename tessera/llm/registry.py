@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, parity_join, pii, toxicity
+from . import bpe, fingerprints, mixing, parity_join, pii, secrets, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_personal_data": pii.op2_personal_data,
     "op4_parity_join": parity_join.op4_parity_join,
+    "op5_fingerprints": fingerprints.op5_fingerprints,
+    "op6_secrets": secrets.op6_secrets,
     "op8_mixing": mixing.op8_mixing,
     "op9_bpe_codec": bpe.op9_bpe_codec,
 }
@@ -16,5 +18,7 @@ QUERIES = {
 SQL: dict[str, str] = {
     "op2_personal_data": pii.op2_personal_data,
     "op4_parity_join": parity_join.op4_parity_join,
+    "op5_fingerprints": fingerprints.op5_fingerprints,
+    "op6_secrets": secrets.op6_secrets,
     "op8_mixing": mixing.SQL,
 }
