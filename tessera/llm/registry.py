@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, mixing, parity_join, pii, secrets, toxicity
+from . import bpe, fingerprints, mixing, neighbours, parity_join, pii, secrets, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_personal_data": pii.op2_personal_data,
+    "op3_neighbours": neighbours.op3_neighbours,
     "op4_parity_join": parity_join.op4_parity_join,
     "op5_fingerprints": fingerprints.op5_fingerprints,
     "op6_secrets": secrets.op6_secrets,
@@ -17,6 +18,7 @@ QUERIES = {
 #: DuckDB SQL of the queries that SQL can express on whole tables.
 SQL: dict[str, str] = {
     "op2_personal_data": pii.op2_personal_data,
+    "op3_neighbours": neighbours.op3_neighbours,
     "op4_parity_join": parity_join.op4_parity_join,
     "op5_fingerprints": fingerprints.op5_fingerprints,
     "op6_secrets": secrets.op6_secrets,
