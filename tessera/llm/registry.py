@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, mixing, neighbours, parity_join, pii, secrets, toxicity
+from . import bpe, fingerprints, mixing, neighbours, parity_join, pii, repeats, secrets, toxicity, wrappers
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -11,8 +11,10 @@ QUERIES = {
     "op4_parity_join": parity_join.op4_parity_join,
     "op5_fingerprints": fingerprints.op5_fingerprints,
     "op6_secrets": secrets.op6_secrets,
+    "op7_wrappers": wrappers.op7_wrappers,
     "op8_mixing": mixing.op8_mixing,
     "op9_bpe_codec": bpe.op9_bpe_codec,
+    "op10_repeats": repeats.op10_repeats,
 }
 
 #: DuckDB SQL of the queries that SQL can express on whole tables.
@@ -22,5 +24,6 @@ SQL: dict[str, str] = {
     "op4_parity_join": parity_join.op4_parity_join,
     "op5_fingerprints": fingerprints.op5_fingerprints,
     "op6_secrets": secrets.op6_secrets,
+    "op7_wrappers": wrappers.op7_wrappers,
     "op8_mixing": mixing.SQL,
 }
