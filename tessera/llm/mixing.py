@@ -90,8 +90,8 @@ def schedule(spark: SparkSession, shares: DataFrame) -> DataFrame:
     return ranked.unionByName(tail)
 
 
-def mix_sources(docs: DataFrame, ratio: tuple[int, int] = (3, 2), cap: int = 2, weights: tuple[int, ...] = WEIGHTS, block: int = BLOCK) -> DataFrame:
-    """doc_id, size, source_size, target, taken, first_slot for every row of ``docs`` (doc_id, text, source).
+def mix_sources(docs: DataFrame, ratio: tuple[int, int] = (3, 2), cap: int = 2, weights: tuple[int, ...] = WEIGHTS, block: int = BLOCK, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, source_size, target, taken, first_slot, and row_<name> of columns to ``carry``, for every row of ``docs`` (doc_id, text, source).
 
     ``taken`` is how many of the document's words the mix takes, repeats counted; ``first_slot`` the first slot of the
     schedule that takes some (null: none). A null text is empty and takes nothing; a null source is one more source,
@@ -100,7 +100,8 @@ def mix_sources(docs: DataFrame, ratio: tuple[int, int] = (3, 2), cap: int = 2,
     """
     spark = docs.sparkSession
     size = F.regexp_count(clean_text(), F.lit(WORD)).cast("long")
-    base = docs.select(docs["doc_id"].alias("doc_id"), docs["source"].cast("string").alias("source"), size.alias("size"))
+    keep = [docs[c].alias("row_" + c) for c in carry]
+    base = docs.select(docs["doc_id"].alias("doc_id"), docs["source"].cast("string").alias("source"), size.alias("size"), *keep)
     base = base.withColumn("key", _order(F.col("doc_id"))).withColumn("bucket", F.col("key") % BUCKETS)
     base = written(base, "sizes")
     sums = base.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
@@ -131,7 +132,19 @@ def mix_sources(docs: DataFrame, ratio: tuple[int, int] = (3, 2), cap: int = 2,
     taken = named(taken, source="s", offset="o")
     # Only documents with words are found again by where they begin; an empty one may begin at the same word.
     out = sized.join(taken, F.col("s").eqNullSafe(F.col("source")) & (F.col("o") == F.col("offset")) & (F.col("size") > 0), "left")
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot")
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot", *["row_" + c for c in carry])
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them: words taken over size, rounded half up; none of no words.
+
+    Rows are found again by id and text, so those that repeat share their copies evenly.
+    """
+    found = mix_sources(docs.withColumn("at", F.xxhash64("text")), carry=("at",))
+    times = found.groupBy("doc_id", "row_at").agg(F.avg((F.col("taken") / F.greatest("size", F.lit(1)) + 0.5).cast("int")).alias("times"))
+    times = times.select(F.col("doc_id").alias("i"), F.col("row_at").alias("a"), F.floor(F.col("times") + 0.5).cast("int").alias("times")).filter("times > 0")
+    met = docs.join(times, F.col("i").eqNullSafe(docs["doc_id"]) & F.col("a").eqNullSafe(F.xxhash64(docs["text"])))
+    return met.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*[docs[c] for c in docs.columns])
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -117,6 +117,21 @@ def _base(text: Column) -> Column:
     return F.concat(of("assign", assigned), of("access", matches(text, PATTERNS["access"])), of("hex", matches(text, PATTERNS["hex"])))
 
 
+def _found(rows: DataFrame) -> DataFrame:
+    """Columns ``base`` and ``more`` added to rows with ``text``: spans, and tested tokens outside them."""
+    text = F.col("text")
+    tokens = F.filter(matches(text, TOKEN), lambda m: F.regexp_like(m["value"], F.lit("[0-9]")) & F.regexp_like(m["value"], F.lit("[A-Za-z]")))
+    found = rows.withColumns({"base": _base(text), "more": F.transform(tokens, _tested)})
+    return found.withColumn("more", F.filter("more", lambda m: ~F.exists("base", lambda b: overlapping(m, b))))
+
+
+def _discovered(found: DataFrame) -> DataFrame:
+    """``more`` cut to what false-discovery control lets pass, over all rows."""
+    tested = found.select(F.explode("more").alias("m")).groupBy(_level(F.col("m.size")).alias("level"), _bin(F.col("m.p")).alias("bin")).agg(F.count("*").alias("n"))
+    least = F.array(*map(F.lit, thresholds([tuple(r) for r in tested.collect()])))  # at most classes x BINS rows
+    return found.withColumn("more", F.filter("more", lambda m: _bin(m["p"]) >= F.get(least, _level(m["size"]))))
+
+
 def secrets(docs: DataFrame) -> DataFrame:
     """doc_id, base: array of (start, kind, stop), more: array of (start, stop, size, p, alphabet) of discoveries.
 
@@ -124,15 +139,28 @@ def secrets(docs: DataFrame) -> DataFrame:
     null text is empty and has no spans; repeated rows, null ids and an empty table are kept as they are; other columns
     are ignored. Tokens that overlap a contract span aren't tested.
     """
-    text = F.col("text")
     rows = docs.select(docs["doc_id"].alias("doc_id"), clean_text().alias("text"))
-    tokens = F.filter(matches(text, TOKEN), lambda m: F.regexp_like(m["value"], F.lit("[0-9]")) & F.regexp_like(m["value"], F.lit("[A-Za-z]")))
-    found = rows.select("doc_id", _base(text).alias("base"), F.transform(tokens, _tested).alias("more"))
-    found = found.withColumn("more", F.filter("more", lambda m: ~F.exists("base", lambda b: overlapping(m, b))))
-    found = written(found, "secrets")
-    tested = found.select(F.explode("more").alias("m")).groupBy(_level(F.col("m.size")).alias("level"), _bin(F.col("m.p")).alias("bin")).agg(F.count("*").alias("n"))
-    least = F.array(*map(F.lit, thresholds([tuple(r) for r in tested.collect()])))  # at most classes x BINS rows
-    return found.withColumn("more", F.filter("more", lambda m: _bin(m["p"]) >= F.get(least, _level(m["size"]))))
+    return _discovered(written(_found(rows).drop("text"), "secrets"))
+
+
+def masked(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
+    """``docs`` with every secret's span replaced in ``text``; touching or overlapping spans make one. Null stays null."""
+    names = docs.columns
+    found = _found(docs.select("text", F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")))
+    found = _discovered(written(found.select("row", "text", "base", "more"), "secrets"))
+    spans = F.array_sort(F.concat(
+        F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["stop"].alias("stop"))),
+        F.transform("more", lambda b: F.struct(b["start"].alias("start"), b["stop"].alias("stop")))))
+    # The text before each span that begins past all earlier ones, then the mask; the rest at the end.
+    state = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).alias("at"))
+
+    def step(s, x):
+        some = F.when(x["start"] >= s["at"], F.array(F.substring(F.col("text"), s["at"] + 1, x["start"] - s["at"]), F.lit(mask))).otherwise(F.array().cast("array<string>"))
+        return F.struct(F.concat(s["parts"], some).alias("parts"), F.greatest(s["at"], x["stop"]).alias("at"))
+
+    whole = F.aggregate(spans, state, step, lambda s: F.concat(F.array_join(s["parts"], ""), F.substring(F.col("text"), s["at"] + 1, F.char_length("text"))))
+    text = F.when(F.size(spans) > 0, whole).otherwise(F.col("text"))
+    return found.select(*[text.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in names])
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
