@@ -272,7 +272,9 @@ def train(texts: list[str], labels: list[int]) -> Model:
         model.shift = float(np.log(p / (1 - p)))
         return model
     bags = [sorted({p for w in set(units(t)) for p in pieces(w)}) for t in texts]
-    half = np.arange(len(y)) % 2 == 0
+    half = np.empty(len(y), bool)
+    for k in (0, 1):  # halves of either class
+        half[y == k] = np.arange((y == k).sum()) % 2 == 0
     rng = np.random.default_rng(SEED)
     seen, of = [], []
     for part in (half, ~half):  # the probability is fitted on words' scores by the half that a text isn't in
