@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.functions.arrays import count_below
+from tessera.functions.arrays import bind, count_below
 from tessera.functions.hashing import hash60, signed, xorshift_multiply, xxh64, xxh64_column
 
 UNSIGNED = -(1 << 63)
@@ -76,7 +76,7 @@ class Ring:
         if not self.points:
             return F.lit("")
         h = hash60(key) if self.family == "md5" else xxh64_column(key).bitwiseXOR(F.lit(UNSIGNED))
-        at = count_below(h, [p for p, _ in self.points])
+        at = bind(h, lambda v: count_below(v, [p for p, _ in self.points]))
         owners = F.array(*[F.lit(n) for _, n in self.points])
         return F.get(owners, at % len(self.points))
 
