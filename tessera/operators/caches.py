@@ -90,3 +90,22 @@ def lru_hits(log: DataFrame, capacity: int) -> DataFrame:
 def lfu_hits(log: DataFrame, capacity: int) -> DataFrame:
     """cache_id, seq, key, hit of read-through requests."""
     return _replay(log.select("cache_id", "seq", "key"), LFU, capacity)
+
+
+def replay(log: DataFrame, policy, capacity: int) -> DataFrame:
+    """cache_id, seq, val, hit of the gets in a log (cache_id, seq, op, key, val) of gets and puts; a get that misses
+    stores nothing and gives a null."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        cache, rows = policy(capacity), []
+        for r in pdf.sort_values("seq").itertuples(index=False):
+            if r.op == "put":
+                cache.put(r.key, r.val)
+            else:
+                found = cache.get(r.key)
+                val, hit = found if isinstance(found, tuple) else (found, found is not None)
+                rows.append((r.cache_id, r.seq, val, hit))
+        return pd.DataFrame(rows, columns=["cache_id", "seq", "val", "hit"]).astype({"val": "Int64", "hit": bool})
+
+    kinds = dict(log.dtypes)
+    return log.groupBy("cache_id").applyInPandas(run, f"cache_id {kinds['cache_id']}, seq {kinds['seq']}, val long, hit boolean")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.arrays import count_below
@@ -30,6 +30,11 @@ def value_bounds(elements: DataFrame, queries: DataFrame) -> DataFrame:
     return out.select("v", low.alias("lower"), (low + F.col("n")).alias("upper"), F.when(F.col("n") > 0, low).otherwise(F.lit(-1)).cast("long").alias("found"))
 
 
+def partition_point(df: DataFrame, before: Column) -> DataFrame:
+    """at: how many rows of an ordered list lie before the place that a predicate marks; the callback form of bounds."""
+    return df.agg(F.count_if(before).alias("at"))
+
+
 def asof_backward(left: DataFrame, right: DataFrame) -> DataFrame:
     """left (grp, t, id) with the ``val`` of the last right row (grp, t, val) at or before it."""
     both = left.select("grp", "t", "id", F.lit(None).cast(dict(right.dtypes)["val"]).alias("val"), F.lit(1).alias("side")).unionByName(
@@ -66,3 +71,17 @@ def stack_tops(log: DataFrame) -> DataFrame:
     summed = log.withColumn("run", F.sum("delta").over(w))
     floor = F.least(F.min("run").over(w), F.lit(0))
     return summed.select("grp", "seq", (F.col("run") - floor).cast("long").alias("depth"))
+
+
+def insert_after(lists: DataFrame, new: DataFrame) -> DataFrame:
+    """Lists (grp, pos, val) with each new value (grp, pos, val) behind the node at ``pos`` (-1: at the head); one a node."""
+    at = Window.partitionBy("grp").orderBy("pos", "late")
+    both = lists.select("grp", "pos", "val", F.lit(0).alias("late")).unionByName(new.select("grp", "pos", "val", F.lit(1).alias("late")))
+    return both.select("grp", (F.row_number().over(at) - 1).cast("long").alias("pos"), "val")
+
+
+def remove_after(lists: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Lists without the node behind each of ``nodes`` (grp, pos), renumbered."""
+    gone = nodes.select("grp", (F.col("pos") + 1).alias("pos")).distinct()
+    at = F.row_number().over(Window.partitionBy("grp").orderBy("pos")) - 1
+    return lists.join(gone, ["grp", "pos"], "left_anti").select("grp", at.cast("long").alias("pos"), "val")

@@ -39,6 +39,12 @@ def gcd(values: Column) -> Column:
     return F.aggregate(values, F.lit(0).cast("long"), euclid)
 
 
+def lcm(values: Column) -> Column:
+    """Least common multiple of an array of positive longs; null past the range of longs."""
+    both = lambda a, b: gcd(F.array(a, b))
+    return F.aggregate(values, F.lit(1).cast("long"), lambda a, b: F.try_multiply(a, (b / both(a, b)).cast("long")))
+
+
 def point_assign(series: DataFrame, updates: DataFrame) -> DataFrame:
     """The series after the last update (grp, pos, seq, val) of each place."""
     last = updates.groupBy("grp", "pos").agg(F.max_by("val", "seq").alias("new"))

@@ -99,6 +99,13 @@ def prefix_search(words: DataFrame, prefixes: DataFrame, longest: int) -> DataFr
     return out.select("prefix", F.coalesce("n_words", F.lit(0)).alias("n_words"), F.coalesce("has_word", F.lit(False)).alias("has_word"))
 
 
+def dictionary(log: DataFrame) -> DataFrame:
+    """word of what a log (word, seq, op) of adds and deletes leaves; a delete unmarks the word only, not its prefixes'
+    other words."""
+    last = log.groupBy("word").agg(F.max_by("op", "seq").alias("op"))
+    return last.filter("op <> 'delete'").select("word")
+
+
 def repeated_pattern(text: Column) -> Column:
     """The shortest string that the text repeats at least twice, or an empty one."""
     n = F.char_length(text)

@@ -238,6 +238,15 @@ def stack_depth(spark: SparkSession, d: str) -> DataFrame:
     return lookup.stack_tops(table(spark, d, "events").select(F.col("user_id").alias("grp"), F.col("event_id").alias("seq"), delta.alias("delta")))
 
 
+@query("list_insert_remove", f"""WITH x AS (SELECT grp, pos, val, 0 AS late FROM ({SERIES}) UNION ALL SELECT c_custkey AS grp, 0 AS pos, {CENTS.format('c_acctbal')} AS val, 1 AS late FROM customer),
+  y AS (SELECT grp, row_number() OVER (PARTITION BY grp ORDER BY pos, late) - 1 AS pos, val FROM x) SELECT grp, row_number() OVER (PARTITION BY grp ORDER BY pos) - 1 AS pos, val FROM y WHERE pos <> 3""")
+def list_insert_remove(spark: SparkSession, d: str) -> DataFrame:
+    """Each customer's balance goes behind the first node of its totals, then the node behind the third goes."""
+    c = table(spark, d, "customer")
+    more = lookup.insert_after(series(spark, d), c.select(F.col("c_custkey").alias("grp"), F.lit(0).cast("long").alias("pos"), cents("c_acctbal").alias("val")))
+    return lookup.remove_after(more, c.select(F.col("c_custkey").alias("grp"), F.lit(2).cast("long").alias("pos")))
+
+
 # Range queries
 
 
@@ -475,6 +484,22 @@ def lfu_hits(spark: SparkSession, d: str) -> DataFrame:
     return caches.lfu_hits(_log(spark, d), CAPACITY)
 
 
+def _ops(spark: SparkSession, d: str) -> DataFrame:
+    """Purchases and signups put a user's value, other events ask for it."""
+    op = F.when(F.col("event_type").isin("purchase", "signup"), "put").otherwise("get")
+    return table(spark, d, "events").select(F.lit("all").alias("cache_id"), F.col("event_id").alias("seq"), op.alias("op"), F.col("user_id").alias("key"), cents("value").alias("val"))
+
+
+@query("lru_replay")
+def lru_replay(spark: SparkSession, d: str) -> DataFrame:
+    return caches.replay(_ops(spark, d), caches.LRU, CAPACITY)
+
+
+@query("lfu_replay")
+def lfu_replay(spark: SparkSession, d: str) -> DataFrame:
+    return caches.replay(_ops(spark, d), caches.LFU, CAPACITY)
+
+
 # Graphs
 
 _EDGES = f"""SELECT src, dst, w FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY n DESC, dst) AS k FROM (
@@ -543,6 +568,12 @@ def mst_weight(spark: SparkSession, d: str) -> DataFrame:
     return met.agg(F.count("*").alias("edges"), F.sum("w").alias("weight"))
 
 
+@query("prim_parents", "WITH RECURSIVE m AS MATERIALIZED (" + SQL["msf_edges"] + "), u AS (SELECT src, dst FROM m UNION ALL SELECT dst, src FROM m), p AS (SELECT (SELECT min(n_nationkey)::BIGINT FROM nation) AS id, -1::BIGINT AS parent UNION SELECT u.dst, u.src FROM p JOIN u ON u.src = p.id AND u.dst <> p.parent) SELECT n_nationkey::BIGINT AS id, parent FROM nation LEFT JOIN p ON p.id = n_nationkey")
+def prim_parents(spark: SparkSession, d: str) -> DataFrame:
+    e, v = _graph(spark, d)
+    return graphs.rooted(graphs.spanning_forest(e, v), v, v.agg(F.min("id")).first()[0])
+
+
 # Trees
 
 

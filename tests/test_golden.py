@@ -208,3 +208,24 @@ def test_array_helpers(spark):
     for p in ("aa", ".b", "\\E"):
         got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(occurrences(F.col("t"), p)).collect()]
         assert got == [[k for k in range(len(t)) if t.startswith(p, k)] for t in texts]
+
+
+def test_replay_and_lists(spark):
+    ops = [("c", k, *x) for k, x in enumerate([("put", 1, 10), ("get", 1, None), ("put", 2, 20), ("get", 1, None), ("get", 2, None), ("put", 3, 30), ("get", 3, None), ("get", 2, None), ("get", 1, None)])]
+    log = spark.createDataFrame(ops, "cache_id string, seq long, op string, key long, val long")
+    assert listed(caches.replay(log, caches.LFU, 2).filter("seq > 5"), "seq", "val") == [(6, 30), (7, None), (8, 10)]
+    assert listed(caches.replay(log, caches.LRU, 2).filter("seq > 5"), "seq", "hit") == [(6, True), (7, True), (8, False)]
+    s = spark.createDataFrame([("g", k, v) for k, v in enumerate((5, 6, 7))], "grp string, pos long, val long")
+    more = lookup.insert_after(s, spark.createDataFrame([("g", -1, 4), ("g", 1, 9)], "grp string, pos long, val long"))
+    assert [r[1] for r in listed(more, "pos", "val")] == [4, 5, 6, 9, 7]
+    assert [r[1] for r in listed(lookup.remove_after(more, spark.createDataFrame([("g", 2)], "grp string, pos long")), "pos", "val")] == [4, 5, 6, 7]
+    assert lookup.partition_point(s, F.col("val") < 7).first()["at"] == 2
+    nums = spark.createDataFrame([([4, 6, 10],), ([7],), ([2**62, 3],)], "x array<long>")
+    assert [tuple(r) for r in nums.select(ranges.gcd(F.col("x")), ranges.lcm(F.col("x"))).collect()] == [(2, 60), (7, 7), (1, None)]
+
+
+def test_dictionary(spark):
+    log = spark.createDataFrame([("hello", 1, "add"), ("help", 2, "add"), ("hello", 3, "delete")], "word string, seq long, op string")
+    words = text.dictionary(log)
+    got = text.prefix_search(words, spark.createDataFrame([("hel",), ("help",), ("hello",)], "prefix string"), 5)
+    assert listed(got, "prefix", "n_words", "has_word") == [("hel", 1, False), ("hello", 0, False), ("help", 1, True)]
