@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import clean_text, table, written
 
-#: Bytes of a repeat, of a trigger; bytes of phrases that a reduce group should hold.
-LONG, GRAM, GROUP_BYTES = 100, 32, 24_000_000
+#: Bytes of a repeat, of a trigger; bytes of phrases that a reduce group should hold; characters parsed at once.
+LONG, GRAM, GROUP_BYTES, CHUNK = 100, 32, 12_000_000, 1_200_000
 SPAN = LONG - GRAM + 1
 M1, M2, M3 = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53))
 BYTES = (np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -121,7 +121,7 @@ def _parsed(docs: DataFrame, parts: int) -> DataFrame:
             o, at = f.column(0).to_numpy(), f.column(1).to_numpy()
             held, size = [], 0
             for k in range(len(o) + 1):
-                if held and (k == len(o) or size > 4_000_000 or len(held) > 60_000):
+                if held and (k == len(o) or size > CHUNK or len(held) > 60_000):
                     raw = [f.column(2)[i].as_py().encode("utf-8") for i in held]
                     ends = np.cumsum([len(r) for r in raw])
                     base = np.r_[0, ends[:-1]]
