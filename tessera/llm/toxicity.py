@@ -11,6 +11,7 @@ which scores a word by lookups. A document scores by its most toxic words.
 from __future__ import annotations
 
 import heapq
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -193,20 +194,27 @@ def _noisy(word: str, rng: np.random.Generator) -> str:
 def _signs(bags: list[list[str]], labels: np.ndarray) -> list[list[str]]:
     """Each toxic document's words that have one of its most telling runs of six characters: those whose share among
     toxic documents most exceeds that among clean ones, in standard errors."""
-    seen = {0: Counter(), 1: Counter()}
-    of = [{g for w in b for g in grams(w)} for b in bags]
-    for found, k in zip(of, labels):
-        seen[int(k)].update(found)
+    bad = [b for b, k in zip(bags, labels) if k]
     n1, n0 = labels.sum(), len(labels) - labels.sum()
+    # A run in fewer than three toxic documents can't exceed by three standard errors, so it isn't kept.
+    toxic = Counter()
+    for b in bad:
+        toxic.update({g for w in b for g in grams(w)})
+    toxic = {g: n for g, n in toxic.items() if n > 2}
+    clean = Counter()
+    for b, k in zip(bags, labels):
+        if not k:
+            clean.update({g for w in b for g in grams(w) if g in toxic})
 
     def excess(g: str) -> float:
-        p, q = (seen[1][g] + 0.5) / (n1 + 1), (seen[0][g] + 0.5) / (n0 + 1)
+        p, q = (toxic[g] + 0.5) / (n1 + 1), (clean[g] + 0.5) / (n0 + 1)
         return (p - q) / np.sqrt(p * (1 - p) / n1 + q * (1 - q) / n0)
 
-    value = {g: excess(g) for g in seen[1]}
+    value = {g: excess(g) for g in toxic}
     out = []
-    for b, found, k in zip(bags, of, labels):
-        if k and found:
+    for b in bad:
+        found = {g for w in b for g in grams(w) if g in value}
+        if found:
             least = max(3.0, 0.5 * max(map(value.get, found)))
             best = {g for g in found if value[g] >= least}
             out.append([w for w in b if not best.isdisjoint(grams(w))])
@@ -231,7 +239,11 @@ def _fit_words(bags: list[list[str]], labels: np.ndarray, rng: np.random.Generat
         basis = np.zeros((LETTERS**3, len(marks)), np.float32)
         np.add.at(basis, (which, who), weight)
         basis /= norms(len(marks), who, weight)
-        values, vectors = np.linalg.eigh(basis.T.astype(np.float64) @ basis)
+        gram = np.zeros((len(marks), len(marks)))
+        for k in range(0, len(basis), 2048):
+            part = basis[k : k + 2048].astype(np.float64)
+            gram += part.T @ part
+        values, vectors = np.linalg.eigh(gram)
         keep = values > 1e-6 * values.max()
         root = vectors[:, keep] / np.sqrt(values[keep])
         words = [*positives, *varied, *negatives]
@@ -306,9 +318,18 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         part = marked.filter(F.col("toxic") == toxic).orderBy(order).limit(most)
         taken = part if taken is None else taken.unionByName(part)
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), clean_text().alias("text"))
-    rows = texts.join(F.broadcast(taken), "doc_id").toPandas()  # at most as many ids as SAMPLE has
-    rows = rows.sort_values(["doc_id", "text"]).drop_duplicates("doc_id")
-    return train(rows["text"].tolist(), rows["toxic"].tolist())
+    rows = texts.join(F.broadcast(taken), "doc_id").withColumn("all", F.lit(0))  # at most as many ids as SAMPLE has
+
+    def learn(t: pa.Table) -> pa.Table:
+        first = {}
+        for d, text, toxic in sorted(zip(*[t.column(k).to_pylist() for k in ("doc_id", "text", "toxic")])):
+            first.setdefault(d, (text, toxic))
+        model = train([x for x, _ in first.values()], [k for _, k in first.values()])
+        return pa.table({"model": pa.array([pickle.dumps(model)], pa.binary())})
+
+    # The sample is one group, so training is one task and the driver gets the table of weights alone.
+    found = rows.groupBy("all").applyInArrow(learn, "model binary").collect()
+    return pickle.loads(bytes(found[0]["model"])) if found else train([], [])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
