@@ -1,10 +1,11 @@
 """HTML extraction by inferred wrappers.
 
-A page is a stream of text blocks, each named by the path of its open elements. The streams of a host's pages are
-aligned one after another into one union-free regular expression: what repeats becomes a repeated group, what some
-pages lack an optional one, and text that differs a slot. The host's wrapper then says which slots are the article:
-those inside an article or main element if it has one, and else all slots but menus, adverts and the like and but
-slots whose text never changes. A page's blocks in those slots are its text.
+A page is a stream of text blocks, each named by the path of its open elements. All distinct streams of a host's pages
+are aligned into one union-free regular expression: what repeats becomes a repeated group, what some pages lack an
+optional one, and every leaf is a slot. Each page is matched against the expression, which gives a slot to each of its
+blocks. The host's wrapper then says which slots are the article: those inside an article or main element if it has one,
+and else all slots but menus, adverts and the like and but slots whose text never changes. A page's blocks in those
+slots are its text.
 """
 
 from __future__ import annotations
@@ -17,13 +18,13 @@ from difflib import SequenceMatcher
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, written
 
-#: Of a host's distinct streams the most frequent are aligned; pages that differ are judged by their own paths too.
-STREAMS = 64
+#: Expressions of a host that one step merges; what the steps gave is merged again until one is left.
+MERGED = 64
 #: Pages that must agree on a slot's text before it counts as the wrapper's own.
 CONSTANT = 3
 
@@ -139,19 +140,36 @@ def collapse(stream: list) -> list:
     return items
 
 
+def bare(x: tuple) -> tuple:
+    return x[1] if x[0] == "?" else x
+
+
+def tight(items: list) -> list:
+    """Neighbours that differ in marks alone are one repeated item."""
+    core = lambda x: bare(x)[1:] if bare(x)[0] == "+" else (bare(x),)
+    out: list = []
+    for x in items:
+        if out and core(out[-1]) == core(x):
+            both = ("+", *core(x))
+            out[-1] = ("?", both) if out[-1][0] == x[0] == "?" else both
+        else:
+            out.append(x)
+    return out
+
+
 def align(one: list, two: list) -> list:
     """One expression for both: what only one has is optional, an item that the other repeats is repeated."""
-    repeated = {x[1:] for x in (*one, *two) if x[0] == "+"} | {(y,) for x in (*one, *two) if x[0] == "+" and len(x) == 2 for y in x[1:]}
-    lift = lambda xs: [("+", x) if (x,) in repeated else x for x in xs]
+    plain = [bare(x) for x in (*one, *two)]
+    repeated = {x[1:] for x in plain if x[0] == "+"}
+    lift = lambda xs: [("?", lift([x[1]])[0]) if x[0] == "?" else ("+", x) if (x,) in repeated else x for x in xs]
     one, two = lift(one), lift(two)
-    bare = lambda x: x[1] if x[0] == "?" else x
     out: list = []
     for op, a, b, c, d in SequenceMatcher(None, [bare(x) for x in one], [bare(x) for x in two], autojunk=False).get_opcodes():
         if op == "equal":
             out += [x if x[0] == "?" else y for x, y in zip(one[a:b], two[c:d])]
         else:
             out += [x if x[0] == "?" else ("?", x) for x in (*one[a:b], *two[c:d])]
-    return out
+    return tight(out)
 
 
 def written_out(items: list | tuple) -> str:
@@ -164,60 +182,174 @@ def written_out(items: list | tuple) -> str:
     return " ".join(map(show, items))
 
 
-def infer(streams: list[list[str]]) -> list:
+def merged(expressions: list[list]) -> list:
     wrapper: list = []
-    for k, s in enumerate(streams):
-        items = collapse([("=", x) for x in s])
+    for k, items in enumerate(expressions):
         wrapper = items if k == 0 else align(wrapper, items)
     return wrapper
 
 
-def judge(paths: dict[str, bool]) -> dict[str, bool]:
-    """Which slots are the article; ``paths`` says of each slot whether its text never changes."""
-    clear = {p: not outside(p) for p in paths}
-    if any(inside(p) and ok for p, ok in clear.items()):
-        return {p: ok and inside(p) for p, ok in clear.items()}
-    return {p: ok and not paths[p] for p, ok in clear.items()}
+def infer(streams: list[list[str]]) -> list:
+    return merged([collapse([("=", x) for x in s]) for s in streams])
+
+
+def thawed(x) -> tuple:
+    """An expression's item as read from JSON, hashable again."""
+    return tuple(thawed(y) if isinstance(y, list) else y for y in x)
+
+
+class Wrapper:
+    """An expression as an automaton: its slots are its leaves from left to right, ``paths`` names each one's path."""
+
+    def __init__(self, items: list):
+        self.paths: list[str] = []
+        self.follow: list[set[int]] = []
+        _, self.first, _ = self._sequence(items)
+        self.at: dict[str, list[int]] = {}
+        for k, p in enumerate(self.paths):
+            self.at.setdefault(p, []).append(k)
+
+    def _sequence(self, items) -> tuple[bool, set[int], set[int]]:
+        empty, first, last = True, set(), set()
+        for x in items:
+            if x[0] == "=":
+                self.paths.append(x[1])
+                self.follow.append(set())
+                e, f, z = False, {len(self.paths) - 1}, {len(self.paths) - 1}
+            else:
+                e, f, z = self._sequence(x[1:])
+                if x[0] == "+":
+                    for k in z:
+                        self.follow[k] |= f
+                e = e or x[0] == "?"
+            for k in last:
+                self.follow[k] |= f
+            first, last, empty = (first | f if empty else first), (last | z if e else z), empty and e
+        return empty, first, last
+
+    def match(self, stream: list[str]) -> list[int]:
+        """The slot of each block of a stream, by the fewest steps that the expression doesn't have.
+
+        The expression has every path of the streams it is made of. A step forward past others costs 1, one back 2.
+        """
+        if not stream:
+            return []
+        costs = {k: int(k not in self.first) for k in self.at[stream[0]]}
+        back: list[dict[int, int]] = []
+        for path in stream[1:]:
+            new, via = {}, {}
+            for k in self.at[path]:
+                new[k], via[k] = min((c + (0 if k in self.follow[j] else 1 if j < k else 2), j) for j, c in costs.items())
+            costs = new
+            back.append(via)
+        out = [min(costs, key=lambda k: (costs[k], k))]
+        for via in reversed(back):
+            out.append(via[out[-1]])
+        return out[::-1]
+
+
+class Matcher:
+    """Slots of streams by the wrappers of many hosts; wrappers and matched streams are remembered, a bounded number."""
+
+    def __init__(self):
+        self.wrappers: dict[str, Wrapper] = {}
+        self.known: dict[tuple, list[int]] = {}
+
+    def wrapper(self, expression: str) -> Wrapper:
+        if expression not in self.wrappers:
+            if len(self.wrappers) > 2000:
+                self.wrappers.clear()
+            self.wrappers[expression] = Wrapper([thawed(x) for x in json.loads(expression)])
+        return self.wrappers[expression]
+
+    def slots(self, expression: str, stream: list[str]) -> list[int]:
+        key = expression, tuple(stream)
+        if key not in self.known:
+            if len(self.known) > 2000:
+                self.known.clear()
+            self.known[key] = self.wrapper(expression).match(stream)
+        return self.known[key]
+
+
+def judge(paths: list[str], constant: set[int]) -> list[bool]:
+    """Which slots are the article, of slots' paths and those slots whose text never changes."""
+    clear = [not outside(p) for p in paths]
+    if any(inside(p) and ok for p, ok in zip(paths, clear)):
+        return [ok and inside(p) for p, ok in zip(paths, clear)]
+    return [ok and k not in constant for k, ok in enumerate(clear)]
+
+
+def _number(data: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(data) - (1 << 63)
 
 
 def host_of(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)", 1), F.lit("")))
 
 
+def _merged(streams: DataFrame) -> DataFrame:
+    """host, expression (JSON) of distinct (host, expression) rows: parts of a host are merged, then what they gave."""
+
+    def merge(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for f in frames:
+            out = [json.dumps(merged([[thawed(x) for x in json.loads(e)] for e in sorted(es, key=lambda e: (-len(e), e))])) for es in f.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([f.column(0), pa.array(out, pa.string())], ["host", "expression"])
+
+    while True:
+        sizes = streams.groupBy("host").agg(F.count("*").alias("n"))
+        if sizes.filter("n > 1").isEmpty():
+            return streams
+        part = F.pmod(F.xxhash64("expression"), F.ceil(F.col("n") / MERGED))
+        parts = streams.join(sizes, "host").groupBy("host", part.alias("part")).agg(F.collect_list("expression").alias("expressions"))
+        streams = written(parts.select("host", "expressions").mapInArrow(merge, "host string, expression string"), "expressions")
+
+
 def wrappers(pages: DataFrame) -> DataFrame:
-    """host, expression, slots (JSON: path to whether it is the article) of every host of ``pages`` (url, html)."""
+    """host, expression (JSON), slots (JSON: of each slot whether it is the article) of every host of ``pages`` (url, html)."""
     rows = pages.select(host_of(pages["url"]).alias("host"), F.coalesce(pages["html"], F.lit("")).alias("html"))
 
     def read(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple, str] = {}
         for f in frames:
-            streams, slots = [], []
+            streams, paths, texts = [], [], []
             for h in f.column(1):
                 found = blocks(h.as_py())
-                # Runs of one path are cut here already: two stand for any number.
-                kept = [p for k, (p, _) in enumerate(found) if k < 2 or not p == found[k - 1][0] == found[k - 2][0]]
-                texts: dict[str, list[str]] = {}
-                for p, t in found:
-                    texts.setdefault(p, []).append(t)
-                streams.append(json.dumps(kept))
-                slots.append([{"path": p, "text": xxhash.xxh3_64_intdigest("\n".join(t).encode("utf-8", "surrogatepass")) - (1 << 63)} for p, t in texts.items()])
-            yield pa.RecordBatch.from_arrays([f.column(0), pa.array(streams, pa.string()), pa.array(slots, pa.list_(pa.struct([("path", pa.string()), ("text", pa.int64())])))], ["host", "stream", "slots"])
-
-    seen = written(rows.mapInArrow(read, "host string, stream string, slots array<struct<path:string,text:long>>"), "streams")
-    slots = seen.select("host", F.explode("slots").alias("s")).groupBy("host", "s.path").agg(F.count("*").alias("n"), F.min("s.text").alias("a"), F.max("s.text").alias("b"))
-    slots = slots.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("path", (F.col("n") >= CONSTANT) & (F.col("a") == F.col("b"))))).alias("paths"))
-    rank = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("n"), "stream"))
-    streams = seen.groupBy("host", "stream").agg(F.count("*").alias("n")).withColumn("rank", rank).filter(F.col("rank") <= STREAMS)
-    streams = streams.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "stream"))), lambda x: x["stream"]).alias("streams"))
+                stream = tuple([p for p, _ in found])
+                if stream not in known:
+                    if len(known) > 2000:
+                        known.clear()
+                    known[stream] = json.dumps(collapse([("=", p) for p in stream]))
+                streams.append(known[stream])
+                paths.append(stream)
+                texts.append([_number(t.encode("utf-8", "surrogatepass")) for _, t in found])
+            yield pa.RecordBatch.from_arrays([f.column(0), pa.array(streams, pa.string()), pa.array(paths, pa.list_(pa.string())), pa.array(texts, pa.list_(pa.int64()))], ["host", "expression", "paths", "texts"])
+
+    seen = written(rows.mapInArrow(read, "host string, expression string, paths array<string>, texts array<long>"), "streams")
+    found = _merged(written(seen.select("host", "expression").distinct(), "expressions"))
+
+    def match(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher()
+        for f in frames:
+            slots = []
+            for e, paths, texts in zip(*[f.column(k).to_pylist() for k in (1, 2, 3)]):
+                of: dict[int, list[int]] = {}
+                for k, t in zip(matcher.slots(e, paths), texts):
+                    of.setdefault(k, []).append(t)
+                slots.append([{"slot": k, "text": _number(b"".join([t.to_bytes(8, "little", signed=True) for t in ts]))} for k, ts in of.items()])
+            yield pa.RecordBatch.from_arrays([f.column(0), pa.array(slots, pa.list_(pa.struct([("slot", pa.int64()), ("text", pa.int64())])))], ["host", "slots"])
+
+    met = seen.drop("expression").join(found, "host").select("host", "expression", "paths", "texts")
+    slots = met.mapInArrow(match, "host string, slots array<struct<slot:long,text:long>>")
+    slots = slots.select("host", F.explode("slots").alias("s")).groupBy("host", "s.slot").agg(F.count("*").alias("n"), F.min("s.text").alias("a"), F.max("s.text").alias("b"))
+    slots = slots.filter((F.col("n") >= CONSTANT) & (F.col("a") == F.col("b"))).groupBy("host").agg(F.array_sort(F.collect_list("slot")).alias("constant"))
 
     def fit(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher()
         for f in frames:
-            shown, judged = [], []
-            for s, p in zip(f.column(1).to_pylist(), f.column(2).to_pylist()):
-                shown.append(written_out(infer([json.loads(x) for x in s])))
-                judged.append(json.dumps(judge(dict(p or []))))
-            yield pa.RecordBatch.from_arrays([f.column(0), pa.array(shown, pa.string()), pa.array(judged, pa.string())], ["host", "expression", "slots"])
+            judged = [json.dumps(judge(matcher.wrapper(e).paths, set(c or []))) for e, c in zip(f.column(1).to_pylist(), f.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([f.column(0), f.column(1), pa.array(judged, pa.string())], ["host", "expression", "slots"])
 
-    both = streams.join(slots, "host", "left").select("host", "streams", "paths")
+    both = found.join(slots, "host", "left").select("host", "expression", "constant")
     return written(both.mapInArrow(fit, "host string, expression string, slots string"), "wrappers")
 
 
@@ -229,23 +361,24 @@ def extract(pages: DataFrame) -> DataFrame:
     other columns are ignored; pages are read whole.
     """
     rows = pages.select(pages["page_id"].alias("page_id"), pages["url"].alias("url"), F.coalesce(pages["html"], F.lit("")).alias("html"), host_of(pages["url"]).alias("host"))
-    known = wrappers(pages).select("host", "slots")
+    known = wrappers(pages).select("host", "expression", "slots")
 
     def cut(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judged: dict[str, dict[str, bool]] = {}
+        matcher, judged = Matcher(), {}
         for f in frames:
             texts = []
-            for h, s in zip(f.column(2), f.column(3).to_pylist()):
+            for h, e, s in zip(f.column(2), f.column(3).to_pylist(), f.column(4).to_pylist()):
                 if s not in judged:
                     if len(judged) > 2000:
                         judged.clear()
-                    judged[s] = json.loads(s) if s else {}
-                slots = judged[s]
-                texts.append("\n".join([t for p, t in blocks(h.as_py()) if slots.get(p)]))
+                    judged[s] = json.loads(s)
+                found, good = blocks(h.as_py()), judged[s]
+                slots = matcher.slots(e, [p for p, _ in found])
+                texts.append("\n".join([t for k, (_, t) in zip(slots, found) if good[k]]))
             yield pa.RecordBatch.from_arrays([f.column(0), f.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kind = dict(rows.dtypes)["page_id"]
-    met = rows.join(known, "host", "left").select("page_id", "url", "html", "slots")
+    met = rows.join(known, "host", "left").select("page_id", "url", "html", "expression", "slots")
     return met.mapInArrow(cut, f"page_id {kind}, url string, text string, n_chars long")
 
 

@@ -346,3 +346,20 @@ def test_extraction(spark):
         assert got[k]["n_chars"] == len(got[k]["text"])
     assert got[20]["text"] == got[21]["text"] == "" and got[None]["text"] == "tu"
     assert wrappers.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_slots_of_the_expression_decide(spark):
+    """Lines of one path are told apart by where the expression has them; every stream of a host is in it."""
+    wrapper = wrappers.Wrapper(wrappers.infer([["p", "h1", "p", "p"], ["p", "h1", "p", "ul", "p"]]))
+    slots = wrapper.match(["p", "h1", "p", "p", "ul", "p"])
+    assert slots[0] != slots[2] and [wrapper.paths[k] for k in slots] == ["p", "h1", "p", "p", "ul", "p"]
+    page = lambda k: f"<div><p>Share this page</p><h1>T{k}</h1><p>text {k}</p></div>"
+    odd = [f"<div><h1>N{k}</h1>" + "".join(f"<{'h2' if k >> b & 1 else 'h3'}>s{k} {b}</{'h2' if k >> b & 1 else 'h3'}><p>q{k} {b}</p>" for b in range(7)) + "</div>" for k in range(100)]
+    rows = [(k, f"http://h.example/{k}", page(k)) for k in range(20)] + [(1000 + k, f"http://o.example/{k}", h) for k, h in enumerate(odd)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in wrappers.extract(pages).collect()}
+    assert all(got[k] == f"T{k}\ntext {k}" for k in range(20))
+    for k, h in enumerate(odd):
+        assert got[1000 + k] == "\n".join(t for _, t in wrappers.blocks(h))
+    slots = wrappers.wrappers(pages).filter("host = 'o.example'").first()["expression"]
+    assert "h2" in slots and "h3" in slots
