@@ -3,9 +3,9 @@
 A page is a stream of text blocks, each named by the path of its open elements. All distinct streams of a host's pages
 are aligned into one union-free regular expression: what repeats becomes a repeated group, what some pages lack an
 optional one, and every leaf is a slot. Each page is matched against the expression, which gives a slot to each of its
-blocks. The host's wrapper then says which slots are the article: those inside an article or main element if it has one,
-and else all slots but menus, adverts and the like and but slots whose text never changes. A page's blocks in those
-slots are its text.
+blocks. The wrapper then says which slots are the article: on a page that has such blocks those inside an article or main
+element, and on others all slots but menus, adverts and the like and but slots whose text never changes. A page's blocks
+in those slots are its text.
 """
 
 from __future__ import annotations
@@ -271,12 +271,16 @@ class Matcher:
         return self.known[key]
 
 
-def judge(paths: list[str], constant: set[int]) -> list[bool]:
-    """Which slots are the article, of slots' paths and those slots whose text never changes."""
-    clear = [not outside(p) for p in paths]
-    if any(inside(p) and ok for p, ok in zip(paths, clear)):
-        return [ok and inside(p) for p, ok in zip(paths, clear)]
-    return [ok and k not in constant for k, ok in enumerate(clear)]
+def judge(paths: list[str], constant: set[int]) -> list[int]:
+    """What slots are, of slots' paths and those slots whose text never changes: 2 in an article or main element, 1 the
+    article of pages that have no block in one, 0 neither."""
+    return [0 if outside(p) else 2 if inside(p) else int(k not in constant) for k, p in enumerate(paths)]
+
+
+def article(kinds: list[int]) -> list[bool]:
+    """Which blocks of a page are its article, of its blocks' slots as judged."""
+    least = 2 if 2 in kinds else 1
+    return [k >= least for k in kinds]
 
 
 def _number(data: bytes) -> int:
@@ -305,7 +309,7 @@ def _merged(streams: DataFrame) -> DataFrame:
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """host, expression (JSON), slots (JSON: of each slot whether it is the article) of every host of ``pages`` (url, html)."""
+    """host, expression (JSON), slots (JSON: each one's kind by :func:`judge`) of every host of ``pages`` (url, html)."""
     rows = pages.select(host_of(pages["url"]).alias("host"), F.coalesce(pages["html"], F.lit("")).alias("html"))
 
     def read(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -373,8 +377,8 @@ def extract(pages: DataFrame) -> DataFrame:
                         judged.clear()
                     judged[s] = json.loads(s)
                 found, good = blocks(h.as_py()), judged[s]
-                slots = matcher.slots(e, [p for p, _ in found])
-                texts.append("\n".join([t for k, (_, t) in zip(slots, found) if good[k]]))
+                kept = article([good[k] for k in matcher.slots(e, [p for p, _ in found])])
+                texts.append("\n".join([t for (_, t), ok in zip(found, kept) if ok]))
             yield pa.RecordBatch.from_arrays([f.column(0), f.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kind = dict(rows.dtypes)["page_id"]

@@ -363,3 +363,9 @@ def test_slots_of_the_expression_decide(spark):
         assert got[1000 + k] == "\n".join(t for _, t in wrappers.blocks(h))
     slots = wrappers.wrappers(pages).filter("host = 'o.example'").first()["expression"]
     assert "h2" in slots and "h3" in slots
+
+
+def test_pages_without_article_on_a_host_that_has_some(spark):
+    rows = [(k, u, f"<article><p>a{k}</p></article><div class='content'><p>beside {k}</p></div>" if k % 2 else f"<nav>m</nav><div class='content'><p>d{k}</p></div>") for k in range(8) for u in ["http://h.example/x" if k < 4 else None]]
+    got = wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in got} == {k: f"a{k}" if k % 2 else f"d{k}" for k in range(8)}
