@@ -15,6 +15,7 @@ import json
 import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -25,7 +26,7 @@ from .common import table, written
 
 #: Expressions of a host that one step merges; what the steps gave is merged again until one is left.
 MERGED = 64
-#: Pages that must agree on a slot's text before it counts as the wrapper's own.
+#: Pages that must agree on a slot's text, and differ outside menus and the like, before it counts as the wrapper's own.
 CONSTANT = 3
 
 RAW = "script style noscript template iframe svg textarea title select object math".split()
@@ -314,8 +315,9 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
     def read(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[tuple, str] = {}
+        left_out = lru_cache(10_000)(outside)
         for f in frames:
-            streams, paths, texts = [], [], []
+            streams, contents, paths, texts = [], [], [], []
             for h in f.column(1):
                 found = blocks(h.as_py())
                 stream = tuple([p for p, _ in found])
@@ -324,11 +326,12 @@ def wrappers(pages: DataFrame) -> DataFrame:
                         known.clear()
                     known[stream] = json.dumps(collapse([("=", p) for p in stream]))
                 streams.append(known[stream])
+                contents.append(_number(json.dumps([b for b in found if not left_out(b[0])]).encode()))
                 paths.append(stream)
                 texts.append([_number(t.encode("utf-8", "surrogatepass")) for _, t in found])
-            yield pa.RecordBatch.from_arrays([f.column(0), pa.array(streams, pa.string()), pa.array(paths, pa.list_(pa.string())), pa.array(texts, pa.list_(pa.int64()))], ["host", "expression", "paths", "texts"])
+            yield pa.RecordBatch.from_arrays([f.column(0), pa.array(streams, pa.string()), pa.array(contents, pa.int64()), pa.array(paths, pa.list_(pa.string())), pa.array(texts, pa.list_(pa.int64()))], ["host", "expression", "content", "paths", "texts"])
 
-    seen = written(rows.mapInArrow(read, "host string, expression string, paths array<string>, texts array<long>"), "streams")
+    seen = written(rows.mapInArrow(read, "host string, expression string, content long, paths array<string>, texts array<long>"), "streams")
     found = _merged(written(seen.select("host", "expression").distinct(), "expressions"))
 
     def match(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,7 +345,9 @@ def wrappers(pages: DataFrame) -> DataFrame:
                 slots.append([{"slot": k, "text": _number(b"".join([t.to_bytes(8, "little", signed=True) for t in ts]))} for k, ts in of.items()])
             yield pa.RecordBatch.from_arrays([f.column(0), pa.array(slots, pa.list_(pa.struct([("slot", pa.int64()), ("text", pa.int64())])))], ["host", "slots"])
 
-    met = seen.drop("expression").join(found, "host").select("host", "expression", "paths", "texts")
+    # Copies, which agree outside menus and the like, are one page: what never changes there would be all of it.
+    unlike = seen.groupBy("host", "content").agg(F.min(F.struct("paths", "texts")).alias("x")).select("host", "x.*")
+    met = unlike.join(found, "host").select("host", "expression", "paths", "texts")
     slots = met.mapInArrow(match, "host string, slots array<struct<slot:long,text:long>>")
     slots = slots.select("host", F.explode("slots").alias("s")).groupBy("host", "s.slot").agg(F.count("*").alias("n"), F.min("s.text").alias("a"), F.max("s.text").alias("b"))
     slots = slots.filter((F.col("n") >= CONSTANT) & (F.col("a") == F.col("b"))).groupBy("host").agg(F.array_sort(F.collect_list("slot")).alias("constant"))

@@ -369,3 +369,10 @@ def test_pages_without_article_on_a_host_that_has_some(spark):
     rows = [(k, u, f"<article><p>a{k}</p></article><div class='content'><p>beside {k}</p></div>" if k % 2 else f"<nav>m</nav><div class='content'><p>d{k}</p></div>") for k in range(8) for u in ["http://h.example/x" if k < 4 else None]]
     got = wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert {r["page_id"]: r["text"] for r in got} == {k: f"a{k}" if k % 2 else f"d{k}" for k in range(8)}
+
+
+def test_copies_of_one_page_keep_their_text(spark):
+    page = lambda k: f"<nav>now {k}</nav><div class='content'><h1>T</h1><p>text</p></div>"
+    rows = [(k, f"http://h.example/{k}", page(0)) for k in range(5)] + [(10 + k, f"http://o.example/{k}", page(k)) for k in range(5)]
+    got = wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == 10 and {r["text"] for r in got} == {"T\ntext"}
