@@ -25,8 +25,9 @@ PATTERNS = {
     "access": r"AKIA[A-Z0-9]{16,}+",
     "hex": r"[0-9a-f]{24,}+",
 }
-#: Tokens that the battery tests; at least this long, with a letter and a digit.
-TOKEN = r"(?<![A-Za-z0-9+/_=.@-])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=.@-])"
+#: Tokens that the battery tests; at least this long, with a letter and a digit. Only a token's own characters bar an end;
+#: signs of equality pad it where no more of them and no token follow.
+TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+(?:={1,2}(?![A-Za-z0-9+/_=-]))?"
 #: Inferred encodings in the order they are tried: what the token must be, and its alphabet's size.
 ENCODINGS = [
     (r"^(?:[0-9]++|[a-z]++|[A-Z]++)$", 0), (r"^(?:[0-9a-f]++|[0-9A-F]++)$", 16), (r"^[A-Z2-7]++={0,2}$", 32), (r"^[a-z0-9]++$", 36),

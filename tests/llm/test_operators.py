@@ -202,6 +202,20 @@ def test_battery_tells_random_from_plain(spark):
     assert secrets.secrets(docs(spark, [])).count() == 0
 
 
+def test_battery_tests_tokens_beside_delimiters(spark):
+    import base64
+
+    rng = random.Random(4)
+    new = lambda: base64.urlsafe_b64encode(rng.randbytes(36)).decode()
+    forms = ["FOO_CREDENTIAL={}", "https://h.example/x?sig={}&v=1", "{}.{}.{}", "It was {}.", "{}@h.example", "{}=== x"]
+    rows = [(k, form.format(new(), new(), new())) for k, form in enumerate(forms * 20)]
+    plain = ["https://www.example.com/en/2024/how-to-write-long-titles", "see http_server_request_handler_v2.", "INTERNATIONALIZATION_SETTING_2=enabled_for_all_the_users_2", "first_name_and_last_name_2@h.example"]
+    got = {r["doc_id"]: r["more"] for r in secrets.secrets(docs(spark, [*rows, (1000, "\n".join(plain))])).collect()}
+    for k in range(len(forms)):
+        assert sum(len(got[i]) for i in range(k, len(rows), len(forms))) > 0.6 * 20 * forms[k].count("{}")
+    assert not got[1000] and all(rows[i][1][m["start"] : m["stop"]].strip("=") in rows[i][1] and m["size"] == 48 for i in range(len(rows)) for m in got[i])
+
+
 def test_masking(spark):
     rows = secrets.masked(spark.createDataFrame([(1, "é password=abcdef1 x", "s"), (2, None, None), (3, "clean", "t")], DOC + ", row string")).collect()
     assert sorted(map(tuple, rows)) == [(1, "é [SECRET] x", "s"), (2, None, None), (3, "clean", "t")]
