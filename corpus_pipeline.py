@@ -19,16 +19,23 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one of smallest id; of rows that share it the first by text. Documents
-    without words and those without an id stay."""
-    found = parity_join.near_duplicates(docs).filter("n_shingles > 0 AND doc_id <> component_id")
-    out = docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti")
-    some = out.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]) if _repeats_ids(docs) else out.filter("doc_id IS NOT NULL")
-    return some.unionByName(out.filter("doc_id IS NULL")).select(docs.columns)
-
-
-def _repeats_ids(docs: DataFrame) -> bool:
-    return not docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty()
+    """Of each group of linked rows the one of smallest id, rows without an id last; of an id's the first by its text's
+    hash. Rows are linked by their texts, whatever their ids; those without words stay."""
+    base, _, roots = parity_join.jaccard_join(docs)
+    rows = base.filter("n > 0").select("sig", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "at").alias("row"))
+    least = rows.groupBy("sig").agg(F.min("row").alias("least"))
+    rooted = least.join(roots.toDF("sig", "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    first = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("first")), "root").select("sig", "first")
+    gone = rows.join(first, "sig").filter("row <> first").select("row.doc_id", "row.at").distinct()
+    again = rows.groupBy("row").count().filter("count > 1").select("row.doc_id", "row.at")
+    names = docs.columns
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(common.clean_text()).alias("hash"))
+    same = lambda keys: F.col("id").eqNullSafe(keys["doc_id"]) & (F.col("hash") == keys["at"])
+    out = keyed.join(gone, same(gone), "left_anti")
+    if not again.isEmpty():  # equal rows, of which one stays
+        again = again.distinct()
+        out = out.join(again, same(again), "left_anti").unionByName(out.join(again, same(again), "left_semi").dropDuplicates(["id", "hash"]))
+    return out.select(*[F.col(f"doc.`{c}`").alias(c) for c in names])
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

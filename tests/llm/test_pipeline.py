@@ -68,3 +68,21 @@ def test_pipeline_equals_a_plain_version(spark):
         want += [(d, len(e.ids), np.array(e.ids, "<u4").tobytes(), library.decode(e.ids, skip_special_tokens=False))] * int(taken[d] / max(size[d], 1) + 0.5)
     got = corpus_pipeline.run(spark, DATA).collect()
     assert sorted((r["doc_id"], r["n_tokens"], bytes(r["ids"]), r["decoded"]) for r in got) == sorted(want)
+
+
+def test_one_of_each_group_stays_whatever_the_ids(spark):
+    words = lambda k, n=60: " ".join(f"w{k}x{j}" for j in range(n))
+    rows = [
+        (1, words(1)), (2, words(2)), (2, words(3)), (2, words(1)),  # an id with two unlinked texts and one linked to id 1
+        (3, words(4)), (3, words(4)), (None, words(4)),  # equal rows, and a copy without an id
+        (None, words(5)), (None, words(5)), (None, words(5) + " more"), (None, words(6)),  # copies without ids
+        (None, ""), (4, None), (4, None),
+    ]
+    got = corpus_pipeline.keep_one_of_group(spark, spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, source string"), DATA)
+    assert got.columns == ["doc_id", "text", "source"]
+    left = [(r["doc_id"], r["text"]) for r in got.collect()]
+    want = [(1, words(1)), (2, words(2)), (2, words(3)), (3, words(4)), (None, words(6)), (None, ""), (4, None), (4, None)]
+    assert len(left) == len(want) + 1
+    near = [r for r in left if r not in want]
+    assert len(near) == 1 and near[0] in [(None, words(5)), (None, words(5) + " more")]
+    assert sorted(map(repr, (r for r in left if r not in near))) == sorted(map(repr, want))
