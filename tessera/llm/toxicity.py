@@ -13,8 +13,11 @@ from __future__ import annotations
 import heapq
 import pickle
 import re
+import sys
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -33,8 +36,12 @@ LANDMARKS, NEGATIVES, MINED, ROUNDS, SEED = 240, 6_000, 60_000, 3, 20
 LOW = -3.0
 #: Characters a subsequence may span; discount for each character skipped; longest unit, and the step of longer ones.
 SPAN, DECAY, UNIT = 6, 0.6, 24
-LETTERS = 32
+#: Codes of Latin letters, digits and ends, whose triples have numbers of their own; others' are hashed to HASHED more.
+LETTERS, HASHED = 32, 1 << 20
+SIZE = LETTERS**3 + HASHED
 START, END = 30, 31
+#: Categories of characters that separate: controls, invisible ones, spaces, punctuation.
+GAPS = set("Cc Cf Zs Zl Zp Pc Pd Ps Pe Pi Pf Po".split())
 #: Distinct words a worker remembers the scores of.
 CACHED = 200_000
 STEPS = [(a, b) for a, b in combinations(range(1, SPAN), 2)]
@@ -43,23 +50,23 @@ _spaced = re.compile(r"(?<!\S)(?:[^\W\d_][ \t]){2,}[^\W\d_](?!\S)")
 _outer = re.compile(r"^[\W_]+|[\W_]+$")
 
 
+@lru_cache(1)
 def _codes() -> np.ndarray:
-    """A code for every character below 0x250, the same few for all above: letters 1 to 26, digits 27, others 28, 29; 0 is a gap."""
-    out = np.zeros(0x250, np.uint8)
-    for k in range(0x250):
+    """A code for every character: a to z 1 to 26, digits 27, other letters and signs 32 and up, each its own; 0 is a gap:
+    controls, spaces and punctuation, and below 0x250 all signs."""
+    out = np.arange(LETTERS, LETTERS + sys.maxunicode + 1, dtype=np.uint32)
+    for k in range(sys.maxunicode + 1):
         c = chr(k)
         if "a" <= c <= "z":
             out[k] = 1 + k - ord("a")
-        elif c.isdigit():
+        elif k < 0x250 and c.isdigit():
             out[k] = 27
-        elif c.isalpha():
-            out[k] = 28 + k % 2
+        elif (k < 0x250 and not c.isalpha()) or unicodedata.category(c) in GAPS:
+            out[k] = 0
+    out[1], out[2] = START, END
     return out
 
 
-CODES = _codes()
-
-
 def units(text: str) -> list[str]:
     """The lower-case words, and letters set apart by spaces joined to one."""
     text = text.lower()
@@ -76,24 +83,35 @@ def pieces(word: str) -> list[str]:
     return [word[k : k + UNIT] for k in range(0, len(word) - UNIT // 2, UNIT // 2)]
 
 
+def _numbers(x: np.ndarray, y: np.ndarray, z: np.ndarray, latin: bool) -> np.ndarray:
+    """The numbers of subsequences below SIZE: exact for codes below LETTERS, else by a hash of the three codes."""
+    out = (x * LETTERS + y) * LETTERS + z
+    if not latin:
+        far = np.flatnonzero((x | y | z) >= LETTERS)
+        mixed = ((x[far] << 42) | (y[far] << 21) | z[far]).astype(np.uint64)
+        mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        out[far] = LETTERS**3 + (mixed >> np.uint64(44)).astype(np.int64)
+    return out
+
+
 def entries(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of the subsequences of all words: the word, the subsequence's number, its discount."""
     text = "".join([f"\x01{w}\x02" for w in words])
     flat = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    code = CODES[np.minimum(flat, len(CODES) - 1)].copy()
-    code[flat > len(CODES)] = 28
-    code[flat == 1], code[flat == 2] = START, END
+    code = _codes()[flat]
     owner = np.cumsum(flat == 1) - 1
     who, which, weight = [], [], []
     n = len(code)
-    wide = code.astype(np.int32)
+    wide = code.astype(np.int64)
+    latin = code.max(initial=0) < LETTERS
     for a, b in STEPS:
         if n <= b:
             continue
         x, y, z = wide[: n - b], wide[a : n - b + a], wide[b:]
         ok = np.flatnonzero((owner[: n - b] == owner[b:]) & (x > 0) & (y > 0) & (z > 0))
         who.append(owner[ok])
-        which.append((x[ok] * LETTERS + y[ok]) * LETTERS + z[ok])
+        which.append(_numbers(x[ok], y[ok], z[ok], latin))
         weight.append(np.full(len(ok), DECAY ** (b - 2), np.float32))
     if not who:
         return np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.float32)
@@ -236,8 +254,12 @@ def _fit_words(bags: list[list[str]], labels: np.ndarray, rng: np.random.Generat
         marks = sorted(positives, key=lambda w: (-counted[w], w))[: LANDMARKS // 2]
         marks = sorted({*marks, *negatives[-(LANDMARKS - len(marks)) :]})
         who, which, weight = entries(marks)
-        basis = np.zeros((LETTERS**3, len(marks)), np.float32)
-        np.add.at(basis, (which, who), weight)
+        # A row for each subsequence of the landmarks; row 0 stands for all others.
+        held = np.unique(which)
+        row = np.zeros(SIZE, np.int32)
+        row[held] = 1 + np.arange(len(held))
+        basis = np.zeros((1 + len(held), len(marks)), np.float32)
+        np.add.at(basis, (row[which], who), weight)
         basis /= norms(len(marks), who, weight)
         gram = np.zeros((len(marks), len(marks)))
         for k in range(0, len(basis), 2048):
@@ -252,7 +274,7 @@ def _fit_words(bags: list[list[str]], labels: np.ndarray, rng: np.random.Generat
             part = words[k : k + 250]
             who, which, weight = entries(part)
             order = np.argsort(who, kind="stable")
-            who, rows = who[order], basis[which[order]] * weight[order, None]
+            who, rows = who[order], basis[row[which[order]]] * weight[order, None]
             out = np.zeros((len(part), len(marks)))
             if len(who):
                 first = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
@@ -263,7 +285,9 @@ def _fit_words(bags: list[list[str]], labels: np.ndarray, rng: np.random.Generat
         heavy = np.sqrt([min(counted[w], 100) for w in positives])
         cost = 4 * np.r_[heavy, np.repeat(heavy, 3) * 0.3, np.sqrt([min(good[w], 100) for w in negatives])]
         w = _svm(x, signs, cost)
-        model = Model(basis @ (root @ w[:-1]), float(w[-1]))
+        weights = np.zeros(SIZE, np.float32)
+        weights[held] = basis[1:] @ (root @ w[:-1])
+        model = Model(weights, float(w[-1]))
         if turn < ROUNDS - 1:
             known = {w for b in bad for w in b}
             known = dict(zip(known, model.words(list(known)).tolist()))
@@ -280,7 +304,7 @@ def train(texts: list[str], labels: list[int]) -> Model:
     y = np.array(labels, float)
     if len(y) < 4 or y.min() == y.max():
         p = (y.sum() + 0.5) / (len(y) + 2)
-        model = Model(np.zeros(LETTERS**3), 0.0)
+        model = Model(np.zeros(SIZE), 0.0)
         model.shift = float(np.log(p / (1 - p)))
         return model
     bags = [sorted({p for w in set(units(t)) for p in pieces(w)}) for t in texts]
@@ -338,7 +362,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     Null and empty texts score as a text without words; repeated rows score alike; empty tables stay empty. A column
     of ``docs`` that is named score is replaced.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # one table of 32**3 weights
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # one table of SIZE weights
     kept = docs.drop("score")
     schema = T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType())])
     at = kept.columns.index("text")

@@ -330,6 +330,23 @@ def test_toxicity_learns_gapped_insults():
     assert model.words(["idxiot", "i-d-i-o-t", "moroon"]).min() > plain
 
 
+def test_toxicity_tells_letters_of_any_script_apart():
+    rng = random.Random(7)
+    for letters, insults in (("абвгдежзиклмнопрст", ["дебил", "мразь", "сволочь"]), ("αβγδεζηθικλμνξοπρστ", ["βλακας", "ηλιθιος", "καθικι"]), ("éèàâôûîçëïüöä", ["éèàâôû", "çëïüö", "äöüéà"])):
+        word = lambda: "".join(rng.choice(letters) for _ in range(rng.randrange(3, 9)))
+        texts, labels = [], []
+        for i in range(400):
+            words, bad = [word() for _ in range(60)], i % 4 == 0
+            if bad:
+                for _ in range(3):
+                    words[rng.randrange(60)] = rng.choice(insults)
+            texts.append(" ".join(words))
+            labels.append(int(bad))
+        model = toxicity.train(texts[:300], labels[:300])
+        right = (model.probability(model.features(texts[300:])) >= 0.5) == np.array(labels[300:], bool)
+        assert right.mean() > 0.95
+
+
 def test_toxicity_of_odd_rows(spark):
     rows = docs(spark, ODD, True)
     labels = spark.createDataFrame([(1, 1), (3, 0), (None, 1), (5, None)], "doc_id long, toxic int")
