@@ -19,11 +19,5 @@ QUERIES = {
 
 #: DuckDB SQL of the queries that SQL can express on whole tables.
 SQL: dict[str, str] = {
-    "op2_personal_data": pii.op2_personal_data,
-    "op3_neighbours": neighbours.op3_neighbours,
-    "op4_parity_join": parity_join.op4_parity_join,
-    "op5_fingerprints": fingerprints.op5_fingerprints,
-    "op6_secrets": secrets.op6_secrets,
-    "op7_wrappers": wrappers.op7_wrappers,
     "op8_mixing": mixing.SQL,
 }

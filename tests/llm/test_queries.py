@@ -1,5 +1,7 @@
 """The registered queries on the smallest tables, the pipeline's stages, and the SQL that some have."""
 
+import os
+
 import duckdb
 
 import __spark_entry__ as entry
@@ -22,6 +24,15 @@ def test_mixing_against_sql(spark):
     assert sorted(map(tuple, df.select(*sorted(df.columns)).collect())) == sorted(tuple(r[want.columns.index(c)] for c in sorted(df.columns)) for r in want.fetchall())
 
 
+def test_oracle_sql_is_sql_that_runs():
+    con = duckdb.connect()
+    for name in os.listdir(DATA):
+        con.sql(f"CREATE VIEW {name.removesuffix('.parquet')} AS SELECT * FROM '{DATA}/{name}'")
+    for name, sql in entry.oracle_sql().items():
+        assert isinstance(sql, str), name
+        con.execute(sql).fetchone()
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     kept = {}
