@@ -57,6 +57,13 @@ def source_targets(sizes: DataFrame, ratio: tuple[int, int] = (3, 2), cap: int =
     )
 
 
+def point(position: Column) -> Column:
+    """position * GOLDEN modulo UNIT, in 16-bit limbs, so that no position overflows a long."""
+    p = position % UNIT
+    high = (F.shiftright(p, 16) * F.lit(GOLDEN)) % UNIT
+    return ((high * 65536) + (p % 65536) * F.lit(GOLDEN)) % UNIT
+
+
 def schedule(spark: SparkSession, shares: DataFrame) -> DataFrame:
     """source, rank (from 0), position of every slot; ``shares`` has source and its number of ``slots``.
 
@@ -68,13 +75,14 @@ def schedule(spark: SparkSession, shares: DataFrame) -> DataFrame:
         "high": F.sum("slots").over(ordered.rowsBetween(Window.unboundedPreceding, 0)),
         "all": F.sum("slots").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
     }).withColumn("low", F.col("high") - F.col("slots")).filter("slots > 0")
-    edge = lambda c: F.ceil(F.col(c).cast("decimal(20,0)") * UNIT / F.col("all")).cast("long")
-    cut = cut.withColumns({"from": edge("low"), "to": edge("high")}).filter("to > from")
+    edge = lambda c: F.expr(f"(cast({c} AS decimal(20,0)) * {UNIT} + `all` - 1) div nullif(`all`, 0)")
+    cut = cut.withColumns({"from": edge("low"), "to": edge("high")})
     cut = written(cut.select("source", "slots", "from", "to"), "shares")
     n = cut.agg(F.sum("slots")).first()[0] or 0
     width = UNIT // CELLS
-    cells = cut.withColumn("cell", F.explode(F.sequence(F.floor(F.col("from") / width), F.floor((F.col("to") - 1) / width))))
-    points = spark.range(n).select(F.col("id").alias("position"), F.pmod((F.col("id") % UNIT) * F.lit(GOLDEN), F.lit(UNIT)).alias("point"))
+    # A share below 1/UNIT has no points; all its slots follow at the end.
+    cells = cut.filter("to > from").withColumn("cell", F.explode(F.sequence(F.floor(F.col("from") / width), F.floor((F.col("to") - 1) / width))))
+    points = spark.range(n).select(F.col("id").alias("position"), point(F.col("id")).alias("point"))
     points = points.withColumn("cell", F.floor(F.col("point") / width))
     drawn = points.join(cells, "cell").filter("point >= from AND point < to").withColumn("chunk", F.floor(F.col("position") / CHUNK))
     counts = drawn.groupBy("source", "chunk").agg(F.count("*").alias("n"))
@@ -151,7 +159,8 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
-#: The same rows from running sums alone: the first floor(target) words of a source's circular stream are taken.
+#: The same rows from running sums and the exact schedule: the first floor(target) words of a source's circular stream
+#: are taken, and a document's first word lies in the block, and so the slot, of its offset.
 SQL = r"""
 WITH base AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -171,8 +180,23 @@ level AS (
 capped AS (SELECT *, (3 * s - 2 * full_) * w >= 4 * source_size * left_ AS c FROM level),
 stop AS (SELECT (3 * s - 2 * full_)::DOUBLE AS share, left_::DOUBLE AS left_ FROM capped WHERE NOT c ORDER BY 12 * source_size / w, source NULLS LAST LIMIT 1),
 targets AS (
-  SELECT source, source_size, CASE WHEN c THEN (2 * source_size)::DOUBLE ELSE w::DOUBLE * (SELECT share FROM stop) / (2.0::DOUBLE * (SELECT left_ FROM stop)) END AS target FROM capped)
+  SELECT source, source_size, CASE WHEN c THEN (2 * source_size)::DOUBLE ELSE w::DOUBLE * (SELECT share FROM stop) / (2.0::DOUBLE * (SELECT left_ FROM stop)) END AS target FROM capped),
+shares AS (SELECT source, (floor(target)::BIGINT + 1023) // 1024 AS slots FROM targets),
+edges AS (
+  SELECT *, sum(slots) OVER (ORDER BY source NULLS LAST ROWS UNBOUNDED PRECEDING)::HUGEINT AS high, sum(slots) OVER ()::HUGEINT AS n FROM shares),
+cuts AS (
+  SELECT source, slots, n::BIGINT AS n, ((high - slots) * 4294967296 + n - 1) // n AS lo, (high * 4294967296 + n - 1) // n AS hi FROM edges WHERE slots > 0),
+points AS (
+  SELECT p AS position, p::HUGEINT * 2654435769 % 4294967296 AS point FROM (SELECT unnest(range(0, (SELECT max(n) FROM cuts))) AS p)),
+drawn AS (
+  SELECT source, slots, position, row_number() OVER (PARTITION BY source ORDER BY position) - 1 AS rank FROM points JOIN cuts ON point >= lo AND point < hi),
+lacking AS (
+  SELECT cuts.source, n, unnest(range(coalesce(got, 0), slots)) AS rank FROM cuts LEFT JOIN (SELECT source, count(*) AS got FROM drawn GROUP BY 1) g ON g.source IS NOT DISTINCT FROM cuts.source),
+slots AS (
+  SELECT source, rank, position FROM drawn WHERE rank < slots UNION ALL SELECT source, rank, n + rank FROM lacking)
 SELECT doc_id, size, source_size, target,
-       (greatest(0, least(o + size, floor(target)::BIGINT) - o) + greatest(0, least(o + size, floor(target)::BIGINT - source_size) - o))::BIGINT AS taken
+       (greatest(0, least(o + size, floor(target)::BIGINT) - o) + greatest(0, least(o + size, floor(target)::BIGINT - source_size) - o))::BIGINT AS taken,
+       position AS first_slot
 FROM placed JOIN targets ON placed.source IS NOT DISTINCT FROM targets.source
+LEFT JOIN slots ON slots.source IS NOT DISTINCT FROM placed.source AND size > 0 AND o < floor(target)::BIGINT AND rank = o // 1024
 """

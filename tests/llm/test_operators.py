@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import bpe, fingerprints, mixing, neighbours, parity_join, pii, repeats, secrets, toxicity, wrappers
 
@@ -72,6 +73,20 @@ def test_schedule_is_even(spark):
         assert abs(ordered[:n].count("a") - 0.6 * n) < 8 and abs(ordered[:n].count(None) - 0.1 * n) < 8
 
 
+def test_points_of_far_positions(spark):
+    """Positions that a corpus of 100 TB reaches, and more: no overflow, and exact."""
+    far = [0, 1, 65535, 65536, (1 << 32) - 1, 1 << 32, 3_600_000_000, (1 << 40) + 7, (1 << 62) + 5]
+    got = spark.createDataFrame([(x,) for x in far], "p long").select("p", mixing.point(F.col("p")).alias("x")).collect()
+    assert {r["p"]: r["x"] for r in got} == {x: x * mixing.GOLDEN % mixing.UNIT for x in far}
+
+
+def test_schedule_of_a_vanishing_share(spark, monkeypatch):
+    """A source whose share is below the points' resolution has all its slots, at the end."""
+    monkeypatch.setattr(mixing, "UNIT", 1 << 13)
+    slots = mixing.schedule(spark, spark.createDataFrame([("a", 20_000), ("b", 1), ("c", 20_000)], "source string, slots long")).collect()
+    assert sorted((r["source"], r["rank"]) for r in slots) == sorted([("a", k) for k in range(20_000)] + [("b", 0)] + [("c", k) for k in range(20_000)])
+
+
 # Near duplicates
 
 
@@ -244,8 +259,6 @@ def test_likeness_estimates(spark):
     rng = random.Random(4)
     words = [f"w{rng.randrange(10**6)}" for _ in range(4000)]
     rows = [(1, " ".join(words)), (2, " ".join(words[:2000])), (3, " ".join(words))]
-    from pyspark.sql import functions as F
-
     s = docs(spark, rows).select("doc_id", fingerprints.sketch(F.col("text")).alias("s"))
     a, b, c = (s.filter(f"doc_id = {k}").select(F.col("s").alias(n)) for k, n in ((1, "a"), (2, "b"), (3, "c")))
     r = a.join(b).join(c).select(fingerprints.likeness(F.col("a"), F.col("b")).alias("x"), fingerprints.containment(F.col("a"), F.col("b")).alias("y"), fingerprints.likeness(F.col("a"), F.col("c")).alias("z"), (fingerprints.merge(F.col("a"), F.col("b")) == F.col("a")).alias("m")).first()
