@@ -13,20 +13,31 @@ def bind(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def running_sums(numbers: Column) -> Column:
-    """Inclusive running sums of an array of ints in blocks, so that its length costs no square."""
+def running(numbers: Column, step) -> Column:
+    """Inclusive running folds of an array of ints from 0 by an associative ``step``, in blocks, so that its length
+    costs no square."""
 
     def within(part: Column) -> Column:
-        return F.aggregate(part, F.array().cast("array<int>"), lambda a, x: F.concat(a, F.array(x + F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)))))
+        return F.aggregate(part, F.array().cast("array<int>"), lambda a, x: F.concat(a, F.array(step(x, F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0))))))
 
     def joined(bs: Column) -> Column:
         ends = F.concat(F.array(F.lit(0)), F.transform(bs, lambda b: F.coalesce(F.try_element_at(b, F.lit(-1)), F.lit(0))))
-        return bind(within(ends), lambda off: F.flatten(F.transform(bs, lambda b, k: F.transform(b, lambda x: x + F.get(off, k)))))
+        return bind(within(ends), lambda off: F.flatten(F.transform(bs, lambda b, k: F.transform(b, lambda x: step(x, F.get(off, k))))))
 
     starts = lambda ns: F.sequence(F.lit(1), F.greatest(F.size(ns), F.lit(1)), F.lit(BLOCK))
     return bind(numbers, lambda ns: bind(F.transform(starts(ns), lambda k: within(F.slice(ns, k, BLOCK))), joined))
 
 
+def running_sums(numbers: Column) -> Column:
+    """Inclusive running sums of an array of ints."""
+    return running(numbers, lambda x, y: x + y)
+
+
+def running_max(numbers: Column) -> Column:
+    """Inclusive running maxima of an array of non-negative ints."""
+    return running(numbers, F.greatest)
+
+
 def occurrences(text: Column, pattern: str) -> Column:
     """0-based starts of all occurrences of a string, overlapping ones too, in code points; none of an empty one.
 

@@ -1,4 +1,4 @@
-"""Written intermediate tables, which end lineage in loops."""
+"""Written intermediate tables, which end lineage: a lost executor costs no more than the step it was in."""
 
 from __future__ import annotations
 
@@ -7,19 +7,39 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_folders: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a folder set here where it is unset (local tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
-        found = spark.sparkContext.getCheckpointDir()
-    return found
+    """This application's folder below ``spark.checkpoint.dir``, which all executors share; it goes when the JVM ends.
 
+    Only a local session, which has one machine, may leave the setting unset: it gets a temporary folder.
+    """
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not base:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
+        base = context.getCheckpointDir()
+    folder = f"{base.rstrip('/')}/tessera-{context.applicationId}"
+    if _folders.get(context.applicationId) != folder:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(context._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _folders[context.applicationId] = folder
+    return folder
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back."""
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read back."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/loop-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A loop's state, written and read back."""
+    return written(df, "loop")
