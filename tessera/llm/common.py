@@ -1,13 +1,15 @@
-"""Shared plumbing of the training-data operators: inputs and written intermediate tables."""
+"""Shared plumbing of the training-data operators: inputs, words, and what they use of the library's functions."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.arrays import bind, running_max, running_sums
+from tessera.functions.lineage import shared_dir, written
+
+__all__ = ["SPACES", "WORD", "bind", "clean_text", "running_max", "running_sums", "shared_dir", "table", "written"]
+
 #: What separates words in every contract: the space and the five ASCII control spaces.
 SPACES = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -17,29 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor shares: ``spark.checkpoint.dir``, or one set here if it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="tessera-")
-        spark.sparkContext.setCheckpointDir(found)
-        found = spark.sparkContext.getCheckpointDir()
-    return found
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read back: lineage ends there and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def clean_text(column: str = "text") -> Column:
     """Null texts count as empty ones."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
-
-
-def bind(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` evaluated once a row, however often the body names it."""
-    return F.element_at(F.transform(F.array(value), body), 1)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bind, clean_text, table, written
-from .spans import digits, luhn, matches, overlapping, shown
+from .spans import clear_of, digits, luhn, matches, shown
 
 #: Contract kinds in their order, then the looser ones.
 BASE = ["email", "ip", "card", "phone"]
@@ -194,7 +194,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select(docs["doc_id"].alias("doc_id"), clean_text().alias("text"))
     found = rows.select("doc_id", F.concat(*[_base(F.col("text"), k) for k in BASE]).alias("base"), _loose(F.col("text")).alias("more"))
-    found = found.withColumn("more", F.filter("more", lambda m: ~F.exists("base", lambda b: overlapping(m, b))))
+    found = found.withColumn("more", clear_of(F.col("more"), F.col("base")))
     found = written(found, "spans")
     weights, _ = estimate(_counts(found))
     kept = F.filter("more", lambda s: _probability(s, weights) >= 0.5)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bind, clean_text, table, written
-from .spans import matches, overlapping, shown
+from .spans import clear_of, matches, replaced, shown
 
 BASE = ["assign", "access", "hex"]
 KINDS = [*BASE, "random"]
@@ -123,7 +123,7 @@ def _found(rows: DataFrame) -> DataFrame:
     text = F.col("text")
     tokens = F.filter(matches(text, TOKEN), lambda m: F.regexp_like(m["value"], F.lit("[0-9]")) & F.regexp_like(m["value"], F.lit("[A-Za-z]")))
     found = rows.withColumns({"base": _base(text), "more": F.transform(tokens, _tested)})
-    return found.withColumn("more", F.filter("more", lambda m: ~F.exists("base", lambda b: overlapping(m, b))))
+    return found.withColumn("more", clear_of(F.col("more"), F.col("base")))
 
 
 def _discovered(found: DataFrame) -> DataFrame:
@@ -145,22 +145,16 @@ def secrets(docs: DataFrame) -> DataFrame:
 
 
 def masked(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every secret's span replaced in ``text``; touching or overlapping spans make one. Null stays null."""
+    """``docs`` with every secret's span replaced in ``text``; overlapping spans make one.
+
+    Null stays null, repeated rows and other columns, whatever their names, are kept as they are."""
     names = docs.columns
     found = _found(docs.select("text", F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")))
     found = _discovered(written(found.select("row", "text", "base", "more"), "secrets"))
     spans = F.array_sort(F.concat(
         F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["stop"].alias("stop"))),
         F.transform("more", lambda b: F.struct(b["start"].alias("start"), b["stop"].alias("stop")))))
-    # The text before each span that begins past all earlier ones, then the mask; the rest at the end.
-    state = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).alias("at"))
-
-    def step(s, x):
-        some = F.when(x["start"] >= s["at"], F.array(F.substring(F.col("text"), s["at"] + 1, x["start"] - s["at"]), F.lit(mask))).otherwise(F.array().cast("array<string>"))
-        return F.struct(F.concat(s["parts"], some).alias("parts"), F.greatest(s["at"], x["stop"]).alias("at"))
-
-    whole = F.aggregate(spans, state, step, lambda s: F.concat(F.array_join(s["parts"], ""), F.substring(F.col("text"), s["at"] + 1, F.char_length("text"))))
-    text = F.when(F.size(spans) > 0, whole).otherwise(F.col("text"))
+    text = replaced(F.col("text"), spans, mask)
     return found.select(*[text.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in names])
 
 

@@ -5,28 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .common import bind
+from .common import bind, running_max, running_sums
 
+#: Characters of a piece of text.
 BLOCK = 256
 
-
-def running_sums(numbers: Column) -> Column:
-    """Inclusive running sums of an array of ints, block by block, so that long arrays don't cost a square."""
-
-    def within(part: Column) -> Column:
-        return F.aggregate(part, F.array().cast("array<int>"), lambda a, x: F.concat(a, F.array(x + F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)))))
-
-    def blocks(ns: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(ns), F.lit(1)), F.lit(BLOCK))
-        return F.transform(starts, lambda k: within(F.slice(ns, k, BLOCK)))
-
-    def joined(bs: Column) -> Column:
-        before = within(F.concat(F.array(F.lit(0)), F.transform(bs, lambda b: F.coalesce(F.try_element_at(b, F.lit(-1)), F.lit(0)))))
-        return bind(before, lambda off: F.flatten(F.transform(bs, lambda b, k: F.transform(b, lambda x: x + F.get(off, k)))))
-
-    return bind(numbers, lambda ns: bind(blocks(ns), joined))
-
-
 def matches(text: Column, pattern: str, context: int = 0, group: int = 0) -> Column:
     """The leftmost non-overlapping matches: array of (start, stop, value, part, before, after).
 
@@ -74,5 +57,39 @@ def shown(found: Column, kinds: list[str]) -> Column:
     return F.array_join(F.transform(F.array_sort(found), lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
-def overlapping(a: Column, b: Column) -> Column:
-    return (a["start"] < b["stop"]) & (b["start"] < a["stop"])
+def clear_of(more: Column, base: Column) -> Column:
+    """The spans of ``more``, which don't overlap each other, that overlap none of ``base``; by sorting, not by pairs.
+
+    In the order of base spans' starts and the others' stops, a span overlaps one before it if the furthest stop of the
+    base spans so far lies beyond its start.
+    """
+    base_ends = F.transform(base, lambda b: F.struct(b["start"].alias("at"), F.lit(1).alias("late"), b["stop"].alias("stop"), F.lit(-1).alias("i")))
+    more_ends = F.transform(more, lambda m, i: F.struct(m["stop"].alias("at"), F.lit(0).alias("late"), F.lit(0).alias("stop"), i.alias("i")))
+
+    def kept(events: Column) -> Column:
+        reach = running_max(F.transform(events, lambda e: e["stop"]))
+        seen = bind(reach, lambda r: F.transform(events, lambda e, k: F.struct(e["i"].alias("i"), F.get(r, k).alias("reach"))))
+        return F.transform(F.filter(seen, lambda x: (x["i"] >= 0) & (x["reach"] <= F.get(more, x["i"])["start"])), lambda x: F.get(more, x["i"]))
+
+    return F.when((F.size(base) == 0) | (F.size(more) == 0), more).otherwise(bind(F.array_sort(F.concat(base_ends, more_ends)), kept))
+
+
+def replaced(text: Column, spans: Column, mask: str) -> Column:
+    """The text with ``mask`` for each span (start, stop) of a sorted array; overlapping ones make one.
+
+    The text is cut into pieces of BLOCK characters once, so that a place costs no walk from the text's start.
+    """
+    def cut(pieces: Column, start: Column, stop: Column) -> Column:
+        first = F.floor(start / BLOCK).cast("int")
+        some = F.array_join(F.slice(pieces, first + 1, F.floor((stop - 1) / BLOCK).cast("int") - first + 1), "")
+        return F.when(stop > start, F.substring(some, start - first * BLOCK + 1, stop - start)).otherwise("")
+
+    def joined(pieces: Column) -> Column:
+        def around(reach: Column) -> Column:
+            before = lambda k: F.coalesce(F.get(reach, k - 1), F.lit(0))
+            parts = F.transform(spans, lambda s, k: F.when(s["start"] >= before(k), F.concat(cut(pieces, before(k), s["start"]), F.lit(mask))).otherwise(""))
+            return F.concat(F.array_join(parts, ""), cut(pieces, F.element_at(reach, -1), F.char_length(text)))
+
+        return bind(running_max(F.transform(spans, lambda s: s["stop"])), around)
+
+    return F.when(F.size(spans) > 0, bind(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)), joined)).otherwise(text)

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, fingerprints, mixing, neighbours, parity_join, pii, repeats, secrets, toxicity, wrappers
+from tessera.llm import bpe, fingerprints, mixing, neighbours, parity_join, pii, repeats, secrets, spans, toxicity, wrappers
 
 DOC = "doc_id long, text string"
 
@@ -182,17 +182,17 @@ def secret_spans(t):
     return sorted(out + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24])
 
 
-@pytest.mark.parametrize("module, query, spans, kinds, parts", [
+@pytest.mark.parametrize("module, query, brute, kinds, parts", [
     (pii, pii.op2_personal_data, pii_spans, pii.BASE, ["a", "b@", "c.d", "1", "2", "45", "255", ".", "-", " ", "+", "(", "4111111111111111", "@", "x.y@z.w", "😀", "é", "\n", "1.2.3.4", "+1 555", "_", "%", "8-", "7 ", "0"]),
     (secrets, secrets.op6_secrets, secret_spans, secrets.BASE, ["password", "token", "=", ":", '"', " ", "secret", "api_key", "APIKEY", "abcdef", "x", "AKIA", "ABCDEFGH12345678", "0123456789abcdef", "ab", "😀", "é", "\n", "Zz+/9", "-", "_"]),
 ])
-def test_contract_spans(spark, tmp_path, module, query, spans, kinds, parts):
+def test_contract_spans(spark, tmp_path, module, query, brute, kinds, parts):
     rng = random.Random(1)
     rows = [*ODD, (50, "a@b.c token=abcdef " * 1500)] + [(100 + i, "".join(rng.choice(parts) for _ in range(rng.randrange(30)))) for i in range(1200)]
     docs(spark, rows, True).write.parquet(f"{tmp_path}/documents.parquet")
     want = []
     for d, t in rows:
-        found = spans(t or "")
+        found = brute(t or "")
         want.append((d, *[sum(s[1] == k for s in found) for k in range(len(kinds))], hashlib.sha256(",".join(f"{kinds[k]}:{a}:{b}" for a, k, b in found).encode()).hexdigest()))
     got = query(spark, str(tmp_path)).collect()
     assert sorted([tuple(r)[: len(kinds) + 2] for r in got], key=key) == sorted(want, key=key)
@@ -236,6 +236,37 @@ def test_masking(spark):
     assert sorted(map(tuple, rows)) == [(1, "é [SECRET] x", "s"), (2, None, None), (3, "clean", "t")]
 
 
+def test_masking_of_many_and_overlapping_spans(spark):
+    """Against plain loops: thousands of spans in one text, kinds that overlap, characters outside the BMP."""
+    rng = random.Random(5)
+    parts = ["password=", "token:", "AKIA", "ABCDEFGH12345678", "0123456789abcdef01234567", "😀", "é ", " ", "abcdef", "\n", "x=", "Zz+/9", "deadbeef" * 4]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.choice([1, 5, 30, 300, 3000]))) for _ in range(60)]
+    rows = [(k, t) for k, t in enumerate(texts)]
+    more = {r["doc_id"]: [(m["start"], m["stop"]) for m in r["more"]] for r in secrets.secrets(docs(spark, rows)).collect()}
+    got = {r["doc_id"]: r["text"] for r in secrets.masked(docs(spark, rows, True)).collect()}
+    for k, t in rows:
+        out, at = "", 0
+        for a, b in sorted([(a, b) for a, _, b in secret_spans(t)] + more[k]):
+            if a >= at:
+                out += t[at:a] + "[SECRET]"
+            at = max(at, b)
+        assert got[k] == out + t[at:]
+
+
+def test_spans_clear_of_others(spark):
+    rng, rows = random.Random(6), []
+    for k in range(200):
+        cuts = sorted(rng.sample(range(400), 2 * rng.randrange(1, 40)))
+        more = [(a, b) for a, b in zip(cuts[::2], cuts[1::2])]
+        base = [(a, a + rng.randrange(1, 12)) for a in (rng.randrange(400) for _ in range(rng.randrange(30)))]
+        rows.append((k, more, base))
+    spanned = "array<struct<start:int,stop:int>>"
+    got = spark.createDataFrame(rows, f"k int, more {spanned}, base {spanned}").select("k", spans.clear_of(F.col("more"), F.col("base")).alias("x")).collect()
+    for r in got:
+        _, more, base = rows[r["k"]]
+        assert [tuple(x) for x in r["x"]] == [(a, b) for a, b in more if not any(a < d and c < b for c, d in base)]
+
+
 # Fingerprints
 
 
