@@ -13,14 +13,22 @@ from tessera.llm import bpe, common, mixing, parity_join, secrets, toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below a half; the model is fitted on the labelled documents of ``sf_dir``."""
+    """Documents whose toxicity score is below a half; the model is fitted on the labelled documents of ``sf_dir``.
+
+    A null or empty text is scored as one without words; rows that repeat stay or go together; an empty table stays
+    empty; other columns, whatever their names, come along.
+    """
     model = toxicity.fit(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).filter("score < 0.5").select(docs.columns)
+    name = "toxicity"
+    while name.lower() in map(str.lower, docs.columns):
+        name += "_"
+    return toxicity.score(docs, model, name).filter(F.col(name) < 0.5).drop(name)
 
 
 def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked rows the one of smallest id, rows without an id last; of an id's the first by its text's
-    hash. Rows are linked by their texts, whatever their ids; those without words stay."""
+    hash. Rows are linked by their texts, whatever their ids; those without words, null texts too, stay. An empty table
+    stays empty; other columns, whatever their names, come along."""
     base, _, roots = parity_join.jaccard_join(docs)
     rows = base.filter("n > 0").select("sig", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "at").alias("row"))
     least = rows.groupBy("sig").agg(F.min("row").alias("least"))
@@ -39,17 +47,29 @@ def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every secret's span becomes [SECRET]; n_chars follows the text. No document is dropped."""
-    return secrets.masked(docs).withColumn("n_chars", F.char_length("text").cast(dict(docs.dtypes)["n_chars"])).select(docs.columns)
+    """Every secret's span becomes [SECRET]; n_chars, where there is one, follows the text. No document is dropped.
+
+    Null texts stay null, their n_chars is left alone; rows that repeat stay; an empty table stays empty; other columns,
+    whatever their names, come along.
+    """
+    out = secrets.masked(docs)
+    kinds = dict(docs.dtypes)
+    size = F.when(F.col("text").isNotNull(), F.char_length("text").cast(kinds["n_chars"])).otherwise(F.col("n_chars")) if "n_chars" in kinds else None
+    return out if size is None else out.withColumn("n_chars", size)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, up to twice: words taken over size, rounded half up."""
-    return mixing.mixed(docs).select(docs.columns)
+    """Documents as often as the mix takes them, up to twice: words taken over size, rounded half up.
+
+    A document without words, null texts too, isn't taken; a null source is one more source; rows that repeat share their copies
+    evenly; an empty table stays empty; other columns, whatever their names, come along.
+    """
+    return mixing.mixed(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids, decoded of every document left."""
+    """doc_id, n_tokens, ids, decoded of every document left; a null text has no ids and decodes to an empty one; rows
+    that repeat and null ids stay; other columns don't come along; an empty table gives an empty one."""
     return bpe.bpe_encode(docs)
 
 
