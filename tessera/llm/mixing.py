@@ -146,13 +146,17 @@ def mix_sources(docs: DataFrame, ratio: tuple[int, int] = (3, 2), cap: int = 2,
 def mixed(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them: words taken over size, rounded half up; none of no words.
 
-    Rows are found again by id and text, so those that repeat share their copies evenly.
+    Rows are found again by id and text, so those that repeat share their copies evenly. Null ids, texts and sources and
+    empty tables as in :func:`mix_sources`; other columns, whatever their names, come along.
     """
-    found = mix_sources(docs.withColumn("at", F.xxhash64("text")), carry=("at",))
+    names = docs.columns
+    hashed = F.xxhash64("text")
+    found = mix_sources(docs.select("doc_id", "text", "source", hashed.alias("at")), carry=("at",))
     times = found.groupBy("doc_id", "row_at").agg(F.avg((F.col("taken") / F.greatest("size", F.lit(1)) + 0.5).cast("int")).alias("times"))
     times = times.select(F.col("doc_id").alias("i"), F.col("row_at").alias("a"), F.floor(F.col("times") + 0.5).cast("int").alias("times")).filter("times > 0")
-    met = docs.join(times, F.col("i").eqNullSafe(docs["doc_id"]) & F.col("a").eqNullSafe(F.xxhash64(docs["text"])))
-    return met.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*[docs[c] for c in docs.columns])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"), F.col("doc_id").alias("id"), hashed.alias("hash"))
+    met = rows.join(times, F.col("i").eqNullSafe(F.col("id")) & (F.col("a") == F.col("hash")))
+    return met.select("doc", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*[F.col(f"doc.`{c}`").alias(c) for c in names])
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -356,15 +356,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return pickle.loads(bytes(found[0]["model"])) if found else train([], [])
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs`` and ``score`` (double, 0 to 1) from ``text`` alone, whole.
+def score(docs: DataFrame, model: Model, into: str = "score") -> DataFrame:
+    """All columns of ``docs`` and the score (double, 0 to 1) in a column named ``into``, from ``text`` alone, whole.
 
     Null and empty texts score as a text without words; repeated rows score alike; empty tables stay empty. A column
-    of ``docs`` that is named score is replaced.
+    of ``docs`` that has the name already is replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # one table of SIZE weights
-    kept = docs.drop("score")
-    schema = T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType())])
+    kept = docs.drop(into)
+    schema = T.StructType([*kept.schema.fields, T.StructField(into, T.DoubleType())])
     at = kept.columns.index("text")
 
     def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -376,7 +376,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             for k in range(0, len(texts), 100):
                 out.append(fitted.probability(fitted.features([t or "" for t in texts.slice(k, 100).to_pylist()], known)))
             scores = pa.array(np.concatenate(out) if out else np.empty(0), pa.float64())
-            yield pa.RecordBatch.from_arrays([*frame.columns, scores], [*frame.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*frame.columns, scores], [*frame.schema.names, into])
 
     return kept.mapInArrow(batches, schema)
 

@@ -86,3 +86,26 @@ def test_one_of_each_group_stays_whatever_the_ids(spark):
     near = [r for r in left if r not in want]
     assert len(near) == 1 and near[0] in [(None, words(5)), (None, words(5) + " more")]
     assert sorted(map(repr, (r for r in left if r not in near))) == sorted(map(repr, want))
+
+
+def test_stages_of_odd_rows_and_clashing_columns(spark, tmp_path):
+    """Every stage on columns named as its helpers are, null and repeated ids, null texts, and an empty table."""
+    extra = ["i", "a", "at", "times", "score", "row", "sig", "hash", "id", "doc", "size", "taken", "base", "more", "n", "toxicity", "last", "least"]
+    text = lambda k: " ".join(f"word{k}n{j}" for j in range(40)) + (f" password=hunter{k}22" if k % 3 == 0 else "")
+    rows = [(k, text(k), "s" if k % 2 else None, 1) for k in range(12)] + [(None, text(50), "s", 2), (None, None, None, None), (5, "", "s", 0), (6, None, "t", None), (7, text(60), "t", 3), (7, text(61), "t", 3), (8, text(62), "t", 3), (8, text(62), "t", 3)]
+    schema = "doc_id long, text string, source string, n_chars long, " + ", ".join(f"`{c}` int" for c in extra)
+    docs = spark.createDataFrame([(*r, *range(len(extra))) for r in rows], schema)
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    left = []
+    for table in (docs, docs.limit(0), docs.drop("n_chars")):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, table, str(tmp_path))
+            if name != corpus_pipeline.STAGES[-1][0]:
+                assert out.columns == table.columns, name
+                assert all(tuple(r[-len(extra):]) == tuple(range(len(extra))) for r in out.collect()), name
+            table = spark.createDataFrame(out.collect(), out.schema)
+        left.append(sorted((r["doc_id"] is None, r["doc_id"] or 0, r["decoded"]) for r in table.collect()))
+    assert left[0] == left[2] and not left[1]
+    ids = [r[1] for r in left[0] if not r[0]]
+    assert set(ids) <= set(range(12)) and ids.count(8) <= 4 and len(ids) >= 12 and "hunter" not in " ".join(r[2] for r in left[0])
