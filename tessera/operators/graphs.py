@@ -30,10 +30,31 @@ def _spread(labels: DataFrame, edges: DataFrame, same: str | None = None) -> Dat
             return labels
 
 
+def roots(links: DataFrame) -> DataFrame:
+    """node, root of every node of undirected ``links`` (a, b): the least node that it is connected with.
+
+    Each round a node takes its neighbours' least root, its root passes its own better one to all that point at it, and
+    then the root's root is taken, so that rounds grow with the logarithm of a chain's length.
+    """
+    edges = cut(links.select("a", "b").union(links.select("b", "a")).distinct())
+    labels = cut(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).withColumnRenamed("a", "node"))
+    while True:
+        near = edges.join(labels.toDF("b", "r"), "b").groupBy(F.col("a").alias("node")).agg(F.min("r").alias("r"))
+        lower = labels.join(near, "node").select("node", F.least("root", "r").alias("root"), F.col("root").alias("was"))
+        hop = lower.groupBy(F.col("was").alias("k")).agg(F.min("root").alias("best"))
+        hop2 = lower.select(F.col("node").alias("k2"), F.col("root").alias("next"))
+        new = lower.join(hop, lower["was"] == hop["k"]).withColumn("root", F.least("root", "best")).drop("k", "best")
+        new = new.join(hop2, new["root"] == hop2["k2"], "left").select("node", F.least("root", F.coalesce("next", "root")).alias("root"), "was")
+        new = cut(new)
+        if new.filter("root <> was").isEmpty():
+            return new.select("node", "root")
+        labels = new.select("node", "root")
+
+
 def components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
-    """id, comp (least id) of undirected components; isolated vertices are their own."""
-    both = cut(edges.select("src", "dst").union(edges.select("dst", "src")).distinct())
-    return _spread(vertices.select("id", F.col("id").alias("label")), both).withColumnRenamed("label", "comp")
+    """id, comp (least id) of undirected components; isolated vertices are their own, null ends link nothing."""
+    found = roots(edges.filter("src <> dst").select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    return vertices.select("id").join(found.toDF("id", "root"), "id", "left").select("id", F.coalesce("root", "id").alias("comp"))
 
 
 def _peeled(edges: DataFrame) -> DataFrame:
@@ -115,37 +136,42 @@ def shortest_paths(edges: DataFrame, vertices: DataFrame, source: int) -> DataFr
     return dist.join(via.withColumnRenamed("dst", "id"), "id", "left").select("id", "dist", F.when(F.col("id") != source, F.col("parent")).alias("parent"))
 
 
-def path_to(paths: DataFrame, target: int) -> list[int]:
-    """The path to a target without the source, from :func:`shortest_paths`; a lookup a step. Empty if unreachable."""
-    out, at, seen = [], target, set()
-    while at is not None and at not in seen:
-        row = paths.filter(F.col("id") == at).first()
-        if row is None or row["dist"] is None:
-            return []
-        seen.add(at)
-        if row["parent"] is None:
-            break
-        out.append(at)
-        at = row["parent"]
-    return out[::-1]
+def paths_to(paths: DataFrame, targets: DataFrame) -> DataFrame:
+    """target, pos, vertex of the path to each of ``targets`` (id), the source left out; pos counts from 1.
+
+    ``paths`` is what :func:`shortest_paths` gives. Parents are followed by doubling: a round finds the vertices twice as
+    far back, so rounds grow with the logarithm of the longest path. An unreachable target, and the source, have none.
+    """
+    jump = cut(paths.filter("parent IS NOT NULL").select("id", F.col("parent").alias("anc")))
+    some = targets.select(F.col("id").alias("target")).distinct().join(paths.filter("dist IS NOT NULL").select(F.col("id").alias("target")), "target")
+    out, size = cut(some.select("target", F.col("target").alias("vertex"), F.lit(0).cast("long").alias("back"))), 1
+    while not jump.isEmpty():
+        far = out.join(jump, F.col("vertex") == F.col("id")).select("target", F.col("anc").alias("vertex"), (F.col("back") + size).alias("back"))
+        out = cut(out.union(far))
+        jump = cut(jump.select(F.col("id").alias("at"), F.col("anc").alias("via")).join(jump, F.col("via") == F.col("id")).select(F.col("at").alias("id"), "anc"))
+        size *= 2
+    hops = out.groupBy("target").agg(F.max("back").alias("hops"))
+    return out.join(hops, "target").filter("back < hops").select("target", (F.col("hops") - F.col("back")).alias("pos"), "vertex")
 
 
 def spanning_forest(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     """src, dst, w of the minimum spanning forest of an undirected graph, ties by (w, src, dst): Borůvka's rounds.
 
-    Each round every component takes its least edge outward; components that met are relabelled. Rounds halve them.
+    Each round every component takes its least edge outward and components that met are contracted. Rounds halve them.
     """
-    e = cut(edges.filter("src <> dst").select("src", "dst", "w"))
-    comp, chosen = cut(vertices.select("id", F.col("id").alias("comp"))), None
+    left = cut(edges.filter("src <> dst").select(F.col("src").alias("a"), F.col("dst").alias("b"), F.struct("w", "src", "dst").alias("x")))
+    chosen = None
     while True:
-        cross = e.join(comp.toDF("src", "a"), "src").join(comp.toDF("dst", "b"), "dst").filter("a <> b")
-        ends = cross.select("a", F.struct("w", "src", "dst").alias("x")).union(cross.select(F.col("b"), F.struct("w", "src", "dst")))
-        picked = cut(ends.groupBy("a").agg(F.min("x").alias("x")).select("x.*").distinct())
+        ends = left.select("a", "x").union(left.select("b", "x"))
+        picked = cut(ends.groupBy("a").agg(F.min("x").alias("x")).select("x").distinct())
         if picked.isEmpty():
-            return chosen if chosen is not None else e.limit(0)
-        picked = picked.select("src", "dst", "w")
-        chosen = cut(picked if chosen is None else chosen.union(picked))
-        comp = components(chosen, vertices)
+            return chosen if chosen is not None else edges.limit(0).select("src", "dst", "w")
+        new = picked.select("x.src", "x.dst", "x.w")
+        chosen = new if chosen is None else chosen.union(new)
+        # Components that met become one vertex, named by the least; edges within it go.
+        met = roots(left.join(picked, "x", "left_semi").select("a", "b"))
+        left = left.join(met.toDF("a", "ra"), "a", "left").join(met.toDF("b", "rb"), "b", "left")
+        left = cut(left.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"), "x").filter("a <> b"))
 
 
 def rooted(forest: DataFrame, vertices: DataFrame, root: int) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.lineage import cut
 from tessera.operators import bloom, caches, counting, graphs, intervals, lookup, ordering, placement, ranges, sequences, text, topk, trees
-from tessera.sources.tables import cents, day, middle_halves, series, spans, table, trade_graph, vertices
+from tessera.sources.tables import cents, day, middle_halves, series, spans, supply_graph, table, trade_graph, vertices
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -502,9 +502,8 @@ def lfu_replay(spark: SparkSession, d: str) -> DataFrame:
 
 # Graphs
 
-_EDGES = f"""SELECT src, dst, w FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY n DESC, dst) AS k FROM (
-  SELECT c_nationkey::BIGINT AS src, s_nationkey::BIGINT AS dst, count(*) AS n, min({CENTS.format('l_extendedprice')}) AS w
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2)) WHERE k <= 2"""
+_EDGES = f"""SELECT c_nationkey::BIGINT AS src, s_nationkey::BIGINT AS dst, min({CENTS.format('l_extendedprice')}) AS w
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2"""
 _WITH = f"WITH RECURSIVE e AS MATERIALIZED ({_EDGES}), v AS (SELECT n_nationkey::BIGINT AS id FROM nation)"
 _REACH = ", r AS (SELECT src AS a, dst AS b FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON e.src = r.b)"
 
@@ -553,6 +552,37 @@ def shortest_dist(spark: SparkSession, d: str) -> DataFrame:
     return graphs.shortest_paths(e, v, v.agg(F.min("id")).first()[0]).select("id", "dist")
 
 
+_DIST = f", p AS (SELECT {_ROOT} AS id, 0::BIGINT AS dist, 0 AS hops UNION SELECT e.dst, min(p.dist + e.w), p.hops + 1 FROM p JOIN e ON e.src = p.id WHERE p.hops < 25 GROUP BY e.dst, p.hops), d AS MATERIALIZED (SELECT id, min(dist) AS dist FROM p GROUP BY 1)"
+
+
+@query("shortest_path", _WITH + _DIST + f""", up AS (SELECT e.dst AS id, min(e.src) AS parent FROM e JOIN d a ON a.id = e.src JOIN d b ON b.id = e.dst WHERE a.dist + e.w = b.dist AND e.src <> e.dst AND e.dst <> {_ROOT} GROUP BY 1),
+  c AS (SELECT id AS target, id AS vertex, parent, 0 AS back FROM up UNION ALL SELECT c.target, up.id, up.parent, c.back + 1 FROM c JOIN up ON up.id = c.parent)
+  SELECT target, count(*) OVER (PARTITION BY target) - back AS pos, vertex FROM c""")
+def shortest_path(spark: SparkSession, d: str) -> DataFrame:
+    """The vertices on the shortest path to every vertex."""
+    e, v = _graph(spark, d)
+    return graphs.paths_to(graphs.shortest_paths(e, v, v.agg(F.min("id")).first()[0]), v)
+
+
+_SUPPLY = f"""WITH RECURSIVE e AS MATERIALIZED (SELECT o_custkey * 2 AS src, l_suppkey * 2 + 1 AS dst, min({CENTS.format('l_extendedprice')}) AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2),
+  u AS MATERIALIZED (SELECT src, dst, w FROM e UNION ALL SELECT dst, src, w FROM e), v AS (SELECT c_custkey * 2 AS id FROM customer UNION ALL SELECT s_suppkey * 2 + 1 FROM supplier)"""
+
+
+@query("supply_components", _SUPPLY + ", c(id, comp) USING KEY (id) AS (SELECT id, id FROM v UNION (SELECT u.dst, min(c.comp) FROM c JOIN u ON u.src = c.id JOIN recurring.c AS k ON k.id = u.dst WHERE c.comp < k.comp GROUP BY 1)) SELECT id, comp FROM c")
+def supply_components(spark: SparkSession, d: str) -> DataFrame:
+    """Customers and suppliers that are connected by orders."""
+    e, v = supply_graph(spark, d)
+    return graphs.components(e, v)
+
+
+@query("supply_dist", _SUPPLY + ", c(id, dist) USING KEY (id) AS (SELECT id, CASE WHEN id = (SELECT min(id) FROM v) THEN 0 ELSE 9223372036854775807 END FROM v UNION (SELECT u.dst, min(c.dist + u.w) FROM c JOIN u ON u.src = c.id JOIN recurring.c AS k ON k.id = u.dst WHERE c.dist < 9223372036854775807 - u.w AND c.dist + u.w < k.dist GROUP BY 1)) SELECT id, CASE WHEN dist < 9223372036854775807 THEN dist END AS dist FROM c")
+def supply_dist(spark: SparkSession, d: str) -> DataFrame:
+    """Distances from the first customer along orders, either way."""
+    e, v = supply_graph(spark, d)
+    both = cut(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")))
+    return graphs.shortest_paths(both, v, v.agg(F.min("id")).first()[0]).select("id", "dist")
+
+
 @query("msf_edges", _WITH + ", t AS (SELECT src, dst, w, row_number() OVER (ORDER BY w, src, dst) AS k FROM e WHERE src <> dst), u AS (SELECT src, dst, k FROM t UNION ALL SELECT dst, src, k FROM t), r AS (SELECT k AS edge, src AS at FROM t UNION SELECT r.edge, u.dst FROM r JOIN u ON u.src = r.at AND u.k < r.edge) SELECT src, dst, w FROM t WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.edge = t.k AND r.at = t.dst)")
 def msf_edges(spark: SparkSession, d: str) -> DataFrame:
     return graphs.spanning_forest(*_graph(spark, d))

@@ -40,16 +40,25 @@ def middle_halves(s: DataFrame) -> DataFrame:
     return n.select("grp", F.floor(F.col("n") / 4).cast("long").alias("l"), F.least(F.floor(3 * F.col("n") / 4), F.col("n") - 1).cast("long").alias("r"))
 
 
-def trade_graph(spark: SparkSession, sf_dir: str, most: int = 2) -> DataFrame:
-    """src, dst, w: from each customer nation to the supplier nations that ship it most, with the least price in cents."""
+def trade_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """src, dst, w: from each customer nation to every supplier nation that ships to it, with the least price in cents."""
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     i = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", cents("l_extendedprice").alias("w"))
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     met = i.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
-    both = met.groupBy(F.col("c_nationkey").cast("long").alias("src"), F.col("s_nationkey").cast("long").alias("dst")).agg(F.count("*").alias("n"), F.min("w").alias("w"))
-    rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("n"), "dst"))
-    return both.withColumn("rank", rank).filter(F.col("rank") <= most).select("src", "dst", "w")
+    return met.groupBy(F.col("c_nationkey").cast("long").alias("src"), F.col("s_nationkey").cast("long").alias("dst")).agg(F.min("w").alias("w"))
+
+
+def supply_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Edges (src, dst, w) from each customer (2 * key) to each of its suppliers (2 * key + 1) with the least price in
+    cents, and all customers and suppliers as vertices (id)."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    i = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", cents("l_extendedprice").alias("w"))
+    met = i.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    edges = met.groupBy((F.col("o_custkey") * 2).alias("src"), (F.col("l_suppkey") * 2 + 1).alias("dst")).agg(F.min("w").alias("w"))
+    ids = table(spark, sf_dir, "customer").select((F.col("c_custkey") * 2).alias("id")).union(table(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 2 + 1).alias("id")))
+    return edges, ids
 
 
 def vertices(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,7 +72,30 @@ def test_shortest_path(spark):
     paths = graphs.shortest_paths(e, ids(spark, 5), 0).cache()
     assert listed(paths.filter("id < 4"), "id", "dist") == [(0, 0), (1, 7), (2, 1), (3, 8)]
     assert paths.filter("id = 4").first()["dist"] is None
-    assert graphs.path_to(paths, 3) == [2, 3] and graphs.path_to(paths, 4) == []
+    assert listed(graphs.paths_to(paths, ids(spark, 5)), "target", "pos", "vertex") == [(1, 1, 1), (2, 1, 2), (3, 1, 2), (3, 2, 3)]
+
+
+def test_long_paths_and_forests(spark):
+    """A path of 300 vertices: rounds are few, the path is whole; random graphs against plain loops."""
+    rng = random.Random(9)
+    line = [(k, k + 1, 1) for k in range(300)]
+    paths = graphs.shortest_paths(edges(spark, line[:40]), ids(spark, 41), 0).cache()
+    assert listed(graphs.paths_to(paths, ids(spark, 41).filter("id = 40")), "pos", "vertex") == [(k, k) for k in range(1, 41)]
+    assert {r["comp"] for r in graphs.components(edges(spark, line), ids(spark, 301)).collect()} == {0}
+    rows = [(rng.randrange(60), rng.randrange(60), rng.randrange(9)) for _ in range(90)]
+    parent, want = list(range(60)), []
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b, w in sorted(set(rows), key=lambda r: (r[2], r[0], r[1])):
+        if top(a) != top(b):
+            parent[max(top(a), top(b))] = min(top(a), top(b))
+            want.append((a, b, w))
+    assert listed(graphs.spanning_forest(edges(spark, rows), ids(spark, 60)), "src", "dst", "w") == sorted(want)
+    assert listed(graphs.components(edges(spark, rows), ids(spark, 60)), "id", "comp") == [(k, top(k)) for k in range(60)]
 
 
 def test_spanning_forest(spark):
