@@ -352,6 +352,52 @@ def test_repeats_against_all_windows(spark):
     assert repeats.remove_repeats(docs(spark, [])).count() == 0
 
 
+def test_suffix_array_against_sorting():
+    rng = random.Random(8)
+    for bits_of in (1, 30):
+        raw = [bytes(rng.choice(b"ab") if rng.random() < 0.9 else rng.randrange(256) for _ in range(rng.randrange(100, 180))) for _ in range(40)]
+        raw += [raw[k][rng.randrange(10):] + b"q" * bits_of for k in range(20)] + [b"a" * 170, b"\0" * 130]
+        raw = [r if len(r) >= 100 else r + b"\0" * 100 for r in raw]
+        stop = np.cumsum([len(r) for r in raw])
+        places, again = repeats.suffix_array(np.frombuffer(b"".join(raw), np.uint8), np.repeat(stop, [len(r) for r in raw]))
+        want = sorted((r[k : k + 100], int(e) - len(r) + k) for r, e in zip(raw, stop) for k in range(len(r) - 99))
+        assert places.tolist() == [p for _, p in want]
+        assert again.tolist() == [k > 0 and want[k][0] == want[k - 1][0] for k in range(len(want))]
+
+
+def test_halves_deal_each_window_once():
+    rng = random.Random(9)
+    raw = bytes(rng.randrange(3) for _ in range(150))
+    pieces, done = [(0, raw, 60, 32)], []  # windows 0 to 50 hold the bytes 60 to 92
+    while pieces:
+        at, part, pos, held = pieces.pop()
+        if held == 100:
+            assert len(part) == 100
+            done.append(at)
+        else:
+            for _, step, sub, p, h in repeats.halves(part, pos, held):
+                assert sub == raw[at + step : at + step + len(sub)] and h > held
+                pieces.append((at + step, sub, p, h))
+    assert sorted(done) == list(range(51))
+
+
+def test_repeats_around_one_trigger(spark, monkeypatch):
+    """Tens of thousands of phrases with one trigger, in keys that are halved down to whole windows; and parts of the
+    parse dealt again."""
+    monkeypatch.setattr(repeats, "MANY", 50)
+    monkeypatch.setattr(repeats, "SKEW_BYTES", 2000)
+    monkeypatch.setattr(repeats, "SKEW", 1)
+    monkeypatch.setattr(repeats, "AT_ONCE", 5000)
+    rng = random.Random(10)
+    line = "licence: every use is subject to the terms of the agreement "
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(4, 30)))
+    few = [word() for _ in range(6)]
+    rows = [(k, "".join(rng.choice([word(), rng.choice(few)]) + (line if rng.random() < 0.5 else " " * rng.randrange(30, 130)) for _ in range(40))) for k in range(400)]
+    rows += rows[5:8] + [(1000 + k, r[1]) for k, r in enumerate(rows[:3])]
+    got = repeats.remove_repeats(docs(spark, rows, True).repartition(6)).collect()
+    assert sorted(map(tuple, got), key=key) == kept_bytes(rows)
+
+
 # Toxicity
 
 
