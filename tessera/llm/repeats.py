@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import clean_text, table, written
 
 #: Bytes of a repeat, of a trigger; bytes of phrases that a reduce group should hold; characters parsed at once.
-LONG, GRAM, GROUP_BYTES, CHUNK = 100, 32, 12_000_000, 1_200_000
+LONG, GRAM, GROUP_BYTES, CHUNK = 100, 32, 6_000_000, 600_000
 #: Phrases of a trigger (or of a longer key) that one task compares; bytes compared at once; entries of a blob; how far
 #: above the mean, and above how many bytes, a part of the parse is dealt again.
 MANY, AT_ONCE, ENTRIES, SKEW, SKEW_BYTES = 4096, 1 << 20, 1024, 4, 1_000_000
@@ -163,7 +163,7 @@ def _parsed(docs: DataFrame, parts: int) -> DataFrame:
                     a, i = (int(at[k]), int(more[k])), int(o[k])
                     if seen.get(a, i + 1) <= i:
                         continue
-                    if len(seen) > 300_000:
+                    if len(seen) > 100_000:
                         seen.clear()
                     seen[a] = i
                     held.append(k)
@@ -252,7 +252,9 @@ def _packed(docs: DataFrame) -> DataFrame:
     def pack(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=3)
         for f in frames:
-            yield pa.RecordBatch.from_arrays([f.column(0), f.column(1), pa.array([z.compress(t.as_py().encode("utf-8")) for t in f.column(2)], pa.binary())], ["o", "at", "z"])
+            for k in range(0, f.num_rows, 1000):
+                part = f.slice(k, 1000)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([z.compress(t.as_py().encode("utf-8")) for t in part.column(2)], pa.binary())], ["o", "at", "z"])
 
     return docs.select("o", "at", "text").mapInArrow(pack, "o long, at long, z binary")
 
@@ -353,9 +355,9 @@ def _suffixes(pieces: DataFrame, parts: int) -> DataFrame:
 
     def group(t: pa.Table) -> pa.Table:
         key, o, at, lo = (t.column(k).to_numpy() for k in ("key", "o", "at", "lo"))
-        size = np.array([len(x) for x in t.column("raw").to_pylist()], np.int64)
-        bytes_ = np.frombuffer(b"".join(t.column("raw").to_pylist()), np.uint8)
-        begin = np.cumsum(size) - size
+        raw = pa.concat_arrays([c for c in t.column("raw").chunks])
+        edge = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1].astype(np.int64)
+        bytes_, begin, size = np.frombuffer(raw.buffers()[2], np.uint8), edge[:-1], np.diff(edge)
         rows = np.lexsort((lo, at, o, key))  # the order of the parse within each key
         once = np.r_[True, (np.diff(key[rows]) != 0) | (np.diff(o[rows]) != 0) | (np.diff(at[rows]) != 0) | (np.diff(lo[rows]) != 0)]
         rows = rows[once]  # each phrase once
