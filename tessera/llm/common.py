@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.arrays import bind, running_max, running_sums
 from tessera.functions.lineage import shared_dir, written
 
-__all__ = ["SPACES", "WORD", "bind", "clean_text", "running_max", "running_sums", "shared_dir", "table", "written"]
+__all__ = ["SPACES", "WORD", "bind", "clean_text", "release", "running_max", "running_sums", "shared_dir", "table", "written"]
 
 #: What separates words in every contract: the space and the five ASCII control spaces.
 SPACES = r"[\x20\x09-\x0D]"
@@ -22,3 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def clean_text(column: str = "text") -> Column:
     """Null texts count as empty ones."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+def release() -> None:
+    """Gives memory that a worker has freed back to the system: workers are reused, and their executor's share is small."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # only glibc has it
+        pass

@@ -26,13 +26,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import clean_text, table, written
+from .common import clean_text, release, table, written
 
 #: Bytes of a repeat, of a trigger; bytes of phrases that a reduce group should hold; characters parsed at once.
 LONG, GRAM, GROUP_BYTES, CHUNK = 100, 32, 6_000_000, 600_000
 #: Phrases of a trigger (or of a longer key) that one task compares; bytes compared at once; entries of a blob; how far
 #: above the mean, and above how many bytes, a part of the parse is dealt again.
-MANY, AT_ONCE, ENTRIES, SKEW, SKEW_BYTES = 4096, 1 << 20, 1024, 4, 1_000_000
+MANY, AT_ONCE, ENTRIES, SKEW, SKEW_BYTES = 500, 1 << 20, 1024, 4, 1_000_000
 SPAN = LONG - GRAM + 1
 M1, M2, M3 = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53))
 BYTES = (np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -168,6 +168,7 @@ def _parsed(docs: DataFrame, parts: int) -> DataFrame:
                     seen[a] = i
                     held.append(k)
                     size += len(f.column(3)[k].as_py())
+        release()
 
     return docs.select("o", "at", "bt", "text").mapInArrow(batches, "part long, blob binary")
 
@@ -235,6 +236,7 @@ def _resolved(blobs: DataFrame) -> DataFrame:
         asked = fresh & (kinds > 1) if part >= 0 else fresh
         again = ~fresh
         r = np.concatenate([mref, ref[again], ref[asked]])
+        release()
         key = np.concatenate([np.zeros(len(mref) + again.sum(), np.int64), a[asked] * np.int64(1 << 20) + np.int64(part % (1 << 20))])
         null = np.zeros(len(r), bool)
         null[: len(mref) + again.sum()] = True
@@ -255,6 +257,7 @@ def _packed(docs: DataFrame) -> DataFrame:
             for k in range(0, f.num_rows, 1000):
                 part = f.slice(k, 1000)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([z.compress(t.as_py().encode("utf-8")) for t in part.column(2)], pa.binary())], ["o", "at", "z"])
+        release()
 
     return docs.select("o", "at", "text").mapInArrow(pack, "o long, at long, z binary")
 
@@ -304,6 +307,7 @@ def _cut(met: DataFrame) -> DataFrame:
                     yield _pieces(rows)
                     rows, size = [], 0
             yield _pieces(rows)
+        release()
 
     return met.select("o", "at", "z", "asked").mapInArrow(batches, PIECE)
 
@@ -381,6 +385,7 @@ def _suffixes(pieces: DataFrame, parts: int) -> DataFrame:
             out.append((o[who], at[who], lo[who] + (gone[new] - (stop - width)[row[new]]), length))
             k = n
         cols = [np.concatenate(c) for c in zip(*out)]
+        release()
         return pa.table({"o": pa.array(cols[0]), "at": pa.array(cols[1]), "lo": pa.array(cols[2].astype(np.int32)), "len": pa.array(cols[3].astype(np.int32))})
 
     dealt = pieces.select("key", "o", "at", "lo", "raw").withColumn("p", F.pmod(F.xxhash64("key"), F.lit(parts)))
@@ -425,8 +430,8 @@ def _kept(met: DataFrame) -> DataFrame:
                 else:
                     removed.append(0)
                     spans.append(0)
-                kept.append(raw)
-            yield pa.RecordBatch.from_arrays([f.column(0), f.column(1), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())], ["o", "at", "n_removed", "n_spans", "kept_sha256"])
+                kept.append(hashlib.sha256(raw).hexdigest())
+            yield pa.RecordBatch.from_arrays([f.column(0), f.column(1), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.string())], ["o", "at", "n_removed", "n_spans", "kept_sha256"])
 
     return met.select("o", "at", "z", "marks").mapInArrow(batches, "o long, at long, n_removed long, n_spans long, kept_sha256 string")
 
