@@ -3,9 +3,11 @@
 A page is a stream of text blocks, each named by the path of its open elements. All distinct streams of a host's pages
 are aligned into one union-free regular expression: what repeats becomes a repeated group, what some pages lack an
 optional one, and every leaf is a slot. Each page is matched against the expression, which gives a slot to each of its
-blocks. The wrapper then says which slots are the article: on a page that has such blocks those inside an article or main
-element, and on others all slots but menus, adverts and the like and but slots whose text never changes. A page's blocks
-in those slots are its text.
+blocks. Over all distinct pages the wrapper then knows of every slot whether its text ever changes, how much text it
+has and how much of that is links. Slots are the wrapper's own, not the article's, where their text never changes, where
+they are mostly short links, or where an element or a name says menu, footer, comments and the like. Of the others those
+inside an article or main element come first, then those in the innermost container that holds most of the text, then
+the rest; a page's text are its blocks of the best kind that it has.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +31,9 @@ from .common import table, written
 MERGED = 64
 #: Pages that must agree on a slot's text, and differ outside menus and the like, before it counts as the wrapper's own.
 CONSTANT = 3
+#: A container holds most of a host's text from this share on; a slot is links when this share of it is, in blocks of so
+#: few characters on average.
+MOST, LINKS, SHORT = 0.6, 0.6, 80
 
 RAW = "script style noscript template iframe svg textarea title select object math".split()
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -41,21 +47,36 @@ TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][A-Za-z0-9
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 SPACE = re.compile(r"\s+")
+DIGIT = re.compile(r"\d")
+HEADING = re.compile(r"h[1-6](?:$|[#.@])")
 
 
-def blocks(page: str) -> list[tuple[str, str]]:
-    """(path, text) of a page's blocks of text in order; character references decoded, white space single, no markup."""
+@lru_cache(20_000)
+def _name(names: str) -> str:
+    """The names of a class, id or role attribute without those that hold digits, which number one page's elements."""
+    return " ".join([x for x in names.split() if not DIGIT.search(x)])
+
+
+def blocks(page: str, links: list[float] | None = None) -> list[tuple[str, str]]:
+    """(path, text) of a page's blocks of text in order; character references decoded, white space single, no markup.
+
+    The share of each block that is links goes to ``links``.
+    """
     out: list[tuple[str, str]] = []
     stack: list[tuple[str, str]] = []
     text: list[str] = []
-    where, at, n = "", 0, len(page)
+    where, at, n, linked, link = "", 0, len(page), 0, False
 
     def end() -> None:
+        nonlocal linked
         if text:
             line = SPACE.sub(" ", entities.unescape("".join(text))).strip()
-            text.clear()
             if line:
                 out.append((where, line))
+                if links is not None:
+                    links.append(linked / max(1, sum(map(len, text))))
+            text.clear()
+            linked = 0
 
     while at < n:
         m = TOKEN.match(page, at)
@@ -68,6 +89,7 @@ def blocks(page: str) -> list[tuple[str, str]]:
             if not text:
                 where = ">".join([s for _, s in stack])
             text.append(m[4])
+            linked += len(m[4]) if link else 0
             continue
         if m[2] is None:
             continue
@@ -79,6 +101,8 @@ def blocks(page: str) -> list[tuple[str, str]]:
         if tag in INLINE:
             if tag == "br":
                 text.append(" ")
+            elif tag == "a":
+                link = not m[1]
             continue
         end()
         if m[1]:
@@ -97,7 +121,7 @@ def blocks(page: str) -> list[tuple[str, str]]:
         while stack and stack[-1][0] in SIBLINGS.get(tag, ()):
             stack.pop()
         names = {a[1].lower(): a[2] or a[3] or a[4] or "" for a in ATTRIBUTE.finditer(m[3])} if m[3] else {}
-        step = tag + "".join(f"{mark}{SPACE.sub(' ', names[k]).strip()}" for k, mark in (("id", "#"), ("class", "."), ("role", "@")) if names.get(k))
+        step = tag + "".join(f"{mark}{_name(names[k])}" for k, mark in (("id", "#"), ("class", "."), ("role", "@")) if names.get(k) and _name(names[k]))
         if not m[3].endswith("/"):
             stack.append((tag, step))
     end()
@@ -117,12 +141,24 @@ def inside(path: str) -> bool:
     return any(re.split(r"[#.@]", s)[0] in ("article", "main") or s.endswith("@main") for s in path.split(">"))
 
 
+def _tandem(codes: np.ndarray, size: int) -> bool:
+    """Whether some run of ``size`` items is followed by itself."""
+    same = np.r_[False, codes[size:] == codes[:-size], False]
+    edge = np.flatnonzero(same[1:] != same[:-1])
+    return bool(len(edge)) and int((edge[1::2] - edge[::2]).max()) >= size
+
+
 def collapse(stream: list) -> list:
     """Tandem repeats as groups ("+", ...), shortest first, until none is left."""
     items, again = list(stream), True
     while again:
-        again = False
+        again, known = False, {}
+        codes = np.array([known.setdefault(x, len(known)) for x in items], np.int64)
+        if len(known) == len(items):
+            break
         for size in range(1, 1 + len(items) // 2):
+            if not _tandem(codes, size):
+                continue
             k, out = 0, []
             while k < len(items):
                 body, times = items[k : k + size], 1
@@ -130,14 +166,12 @@ def collapse(stream: list) -> list:
                     times += 1
                 if times > 1:
                     out.append(body[0] if size == 1 and body[0][0] == "+" else ("+", *body))
-                    again = True
                     k += times * size
                 else:
                     out.append(items[k])
                     k += 1
-            items = out
-            if size >= 8:
-                break
+            items, again = out, True
+            break
     return items
 
 
@@ -272,15 +306,43 @@ class Matcher:
         return self.known[key]
 
 
-def judge(paths: list[str], constant: set[int]) -> list[int]:
-    """What slots are, of slots' paths and those slots whose text never changes: 2 in an article or main element, 1 the
-    article of pages that have no block in one, 0 neither."""
-    return [0 if outside(p) else 2 if inside(p) else int(k not in constant) for k, p in enumerate(paths)]
+def under(path: str, container: str) -> bool:
+    return not container or path == container or path.startswith(container + ">")
+
+
+def main_container(paths: list[str], mass: list[float]) -> str:
+    """The innermost container that holds MOST of the mass; the whole page, an empty path, if none does."""
+    held: dict[str, float] = {}
+    for path, m in zip(paths, mass):
+        steps = path.split(">")
+        for k in range(1, len(steps)):
+            outer = ">".join(steps[:k])
+            held[outer] = held.get(outer, 0.0) + m
+    total = sum(mass)
+    return max([c for c, m in held.items() if total and m >= MOST * total], key=lambda c: (c.count(">"), c), default="")
+
+
+def judge(paths: list[str], seen: dict[int, tuple[bool, float, float, int]]) -> list[int]:
+    """What slots are, of their paths and what is ``seen`` of them over distinct pages: whether the text is always the
+    same, its characters, those in links, and blocks. 3 in an article or main element, 2 in the container of most text,
+    or a heading right above it, 1 elsewhere, 0 the wrapper's own."""
+    kinds, mass = [], []
+    for k, path in enumerate(paths):
+        same, chars, linked, n = seen.get(k, (False, 0.0, 0.0, 1))
+        own = outside(path) or (not inside(path) and (same or (linked > LINKS * chars and chars < SHORT * n)))
+        kinds.append(0 if own else 3 if inside(path) else 1)
+        mass.append(chars if kinds[-1] == 1 else 0.0)
+    container = main_container(paths, mass)
+    for k, path in enumerate(paths):
+        outer, _, leaf = path.rpartition(">")
+        if kinds[k] == 1 and (under(path, container) or (HEADING.match(leaf) and under(container, outer))):
+            kinds[k] = 2
+    return kinds
 
 
 def article(kinds: list[int]) -> list[bool]:
     """Which blocks of a page are its article, of its blocks' slots as judged."""
-    least = 2 if 2 in kinds else 1
+    least = max([*kinds, 1])
     return [k >= least for k in kinds]
 
 
@@ -312,14 +374,16 @@ def _merged(streams: DataFrame) -> DataFrame:
 def wrappers(pages: DataFrame) -> DataFrame:
     """host, expression (JSON), slots (JSON: each one's kind by :func:`judge`) of every host of ``pages`` (url, html)."""
     rows = pages.select(host_of(pages["url"]).alias("host"), F.coalesce(pages["html"], F.lit("")).alias("html"))
+    of_blocks = "paths array<string>, texts array<long>, sizes array<int>, links array<float>"
 
     def read(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[tuple, str] = {}
         left_out = lru_cache(10_000)(outside)
         for f in frames:
-            streams, contents, paths, texts = [], [], [], []
+            streams, contents, paths, texts, sizes, links = [], [], [], [], [], []
             for h in f.column(1):
-                found = blocks(h.as_py())
+                linked: list[float] = []
+                found = blocks(h.as_py(), linked)
                 stream = tuple([p for p, _ in found])
                 if stream not in known:
                     if len(known) > 2000:
@@ -329,36 +393,46 @@ def wrappers(pages: DataFrame) -> DataFrame:
                 contents.append(_number(json.dumps([b for b in found if not left_out(b[0])]).encode()))
                 paths.append(stream)
                 texts.append([_number(t.encode("utf-8", "surrogatepass")) for _, t in found])
-            yield pa.RecordBatch.from_arrays([f.column(0), pa.array(streams, pa.string()), pa.array(contents, pa.int64()), pa.array(paths, pa.list_(pa.string())), pa.array(texts, pa.list_(pa.int64()))], ["host", "expression", "content", "paths", "texts"])
+                sizes.append([len(t) for _, t in found])
+                links.append(linked)
+            yield pa.RecordBatch.from_arrays(
+                [f.column(0), pa.array(streams, pa.string()), pa.array(contents, pa.int64()), pa.array(paths, pa.list_(pa.string())), pa.array(texts, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32())), pa.array(links, pa.list_(pa.float32()))],
+                ["host", "expression", "content", "paths", "texts", "sizes", "links"])
 
-    seen = written(rows.mapInArrow(read, "host string, expression string, content long, paths array<string>, texts array<long>"), "streams")
+    seen = written(rows.mapInArrow(read, "host string, expression string, content long, " + of_blocks), "streams")
     found = _merged(written(seen.select("host", "expression").distinct(), "expressions"))
+    kind = pa.struct([("slot", pa.int64()), ("text", pa.int64()), ("chars", pa.float64()), ("linked", pa.float64()), ("n", pa.int64())])
 
     def match(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher()
         for f in frames:
             slots = []
-            for e, paths, texts in zip(*[f.column(k).to_pylist() for k in (1, 2, 3)]):
-                of: dict[int, list[int]] = {}
-                for k, t in zip(matcher.slots(e, paths), texts):
-                    of.setdefault(k, []).append(t)
-                slots.append([{"slot": k, "text": _number(b"".join([t.to_bytes(8, "little", signed=True) for t in ts]))} for k, ts in of.items()])
-            yield pa.RecordBatch.from_arrays([f.column(0), pa.array(slots, pa.list_(pa.struct([("slot", pa.int64()), ("text", pa.int64())])))], ["host", "slots"])
+            for e, paths, *columns in zip(*[f.column(k).to_pylist() for k in range(1, 6)]):
+                of: dict[int, list[tuple]] = {}
+                for k, *block in zip(matcher.slots(e, paths), *columns):
+                    of.setdefault(k, []).append(block)
+                slots.append([
+                    {"slot": k, "text": _number(b"".join([t.to_bytes(8, "little", signed=True) for t, _, _ in bs])), "chars": float(sum(n for _, n, _ in bs)), "linked": float(sum(n * a for _, n, a in bs)), "n": len(bs)}
+                    for k, bs in of.items()])
+            yield pa.RecordBatch.from_arrays([f.column(0), pa.array(slots, pa.list_(kind))], ["host", "slots"])
 
     # Copies, which agree outside menus and the like, are one page: what never changes there would be all of it.
-    unlike = seen.groupBy("host", "content").agg(F.min(F.struct("paths", "texts")).alias("x")).select("host", "x.*")
-    met = unlike.join(found, "host").select("host", "expression", "paths", "texts")
-    slots = met.mapInArrow(match, "host string, slots array<struct<slot:long,text:long>>")
-    slots = slots.select("host", F.explode("slots").alias("s")).groupBy("host", "s.slot").agg(F.count("*").alias("n"), F.min("s.text").alias("a"), F.max("s.text").alias("b"))
-    slots = slots.filter((F.col("n") >= CONSTANT) & (F.col("a") == F.col("b"))).groupBy("host").agg(F.array_sort(F.collect_list("slot")).alias("constant"))
+    unlike = seen.groupBy("host", "content").agg(F.min(F.struct("paths", "texts", "sizes", "links")).alias("x")).select("host", "x.*")
+    met = unlike.join(found, "host").select("host", "expression", "paths", "texts", "sizes", "links")
+    slots = met.mapInArrow(match, "host string, slots array<struct<slot:long,text:long,chars:double,linked:double,n:long>>")
+    slots = slots.select("host", F.explode("slots").alias("s")).groupBy("host", "s.slot").agg(
+        F.count("*").alias("pages"), F.min("s.text").alias("a"), F.max("s.text").alias("b"), F.sum("s.chars").alias("chars"), F.sum("s.linked").alias("linked"), F.sum("s.n").alias("n"))
+    same = (F.col("pages") >= CONSTANT) & (F.col("a") == F.col("b"))
+    # A row a slot of the expression, however many pages there are.
+    slots = slots.groupBy("host").agg(F.collect_list(F.struct("slot", same.alias("same"), "chars", "linked", "n")).alias("slots"))
 
     def fit(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher()
         for f in frames:
-            judged = [json.dumps(judge(matcher.wrapper(e).paths, set(c or []))) for e, c in zip(f.column(1).to_pylist(), f.column(2).to_pylist())]
+            judged = [json.dumps(judge(matcher.wrapper(e).paths, {x["slot"]: (x["same"], x["chars"], x["linked"], x["n"]) for x in xs or []})) for e, xs in zip(f.column(1).to_pylist(), f.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([f.column(0), f.column(1), pa.array(judged, pa.string())], ["host", "expression", "slots"])
 
-    both = found.join(slots, "host", "left").select("host", "expression", "constant")
+    both = found.join(slots, "host", "left").select("host", "expression", "slots")
     return written(both.mapInArrow(fit, "host string, expression string, slots string"), "wrappers")
 
 

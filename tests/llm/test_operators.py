@@ -308,13 +308,28 @@ def test_neighbours_against_all(spark):
     for i, v in fine:
         if i % 100 == 0:
             d = np.sqrt(((x - v) ** 2).sum(1))
-            want += [(i, r + 1, int(ids[j])) for r, j in enumerate([j for j in np.lexsort((ids, d)) if ids[j] != i][:10])]
+            want += [(i, r + 1, int(ids[j]), round(float(d[j]), 9)) for r, j in enumerate([j for j in np.lexsort((ids, d.round(12))) if ids[j] != i][:10])]
     got = neighbours.search(spark.createDataFrame([(*r, 3) for r in rows], "vec_id long, embedding array<double>, label int")).collect()
-    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got) == sorted(want)
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in got) == sorted(want)
+    mixed = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (100, [1.0, 0.0, 0.0]), (101, [3.0, 0.0, 0.0]), (200, [5.0])]
+    got = neighbours.search(spark.createDataFrame(mixed, "vec_id long, embedding array<float>")).collect()
+    assert sorted(map(tuple, got)) == [(0, 1, 1, 1.0), (100, 1, 101, 2.0)]
     for empty in ([], [(0, [1.0, 2.0])], [(0, None)]):
         assert neighbours.search(spark.createDataFrame(empty, "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_recall_on_the_given_vectors(spark, monkeypatch):
+    """All neighbours of all queries, in several tiles and blocks, against the distances to all rows."""
+    monkeypatch.setattr(neighbours, "TILE_BYTES", 20_000)
+    monkeypatch.setattr(neighbours, "BLOCK_BYTES", 4000)
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    x = {r["vec_id"]: np.array(r["embedding"], float) for r in rows.collect()}
+    ids, all_ = np.array(list(x)), np.stack(list(x.values()))
+    got = {(r["query_id"], r["vec_id"]) for r in neighbours.search(rows).collect()}
+    want = {(i, int(j)) for i in x if i % 100 == 0 for j in [j for j in ids[np.argsort(((all_ - x[i]) ** 2).sum(1), kind="stable")] if j != i][:10]}
+    assert len(got) == len(want) and len(got & want) >= 0.99 * len(want)
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(5)
     x, q = rng.normal(size=(2000, 64)), rng.normal(size=64)
@@ -497,3 +512,26 @@ def test_copies_of_one_page_keep_their_text(spark):
     rows = [(k, f"http://h.example/{k}", page(0)) for k in range(5)] + [(10 + k, f"http://o.example/{k}", page(k)) for k in range(5)]
     got = wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert len(got) == 10 and {r["text"] for r in got} == {"T\ntext"}
+
+
+def test_meaningless_names_and_varying_menus(spark):
+    """Nothing but the slots' own texts tells the article here; numbered ids and classes don't keep pages apart."""
+    rng = random.Random(11)
+    words = lambda n: " ".join(rng.choice(["oak", "elm", "ash", "fir", "yew"]) + str(rng.randrange(100)) for _ in range(n))
+    rows, want = [], {}
+    for k in range(60):
+        paragraphs = [words(30) for _ in range(1 + k % 5)]
+        menu = "".join(f"<li><a href='/{j}'>{words(1)}</a></li>" for j in range(5 + k % 3))
+        rows.append((k, f"http://h.example/{k}", f"<div class='qz'>Menu {words(1)}</div><ul class='xw'>{menu}</ul><div class='vv' id='post-{k}'><h1 class='n{k}'>Title {k}</h1>" + "".join(f"<p>{p}</p>" for p in paragraphs) + f"</div><div class='jj'>Until {words(2)}</div>"))
+        want[k] = "\n".join([f"Title {k}", *paragraphs])
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in wrappers.extract(pages).collect()} == want
+    half = wrappers.wrappers(pages.filter("page_id < 30")).first()
+    assert wrappers.wrappers(pages).first()["expression"] == half["expression"]
+
+
+def test_a_very_long_page(spark):
+    body = "".join(f"<h2>s{k}</h2><p>text {k} &eacute;</p><ul><li>a{k}</li><li>b{k}</li></ul>" for k in range(20_000))
+    rows = [(1, "http://h.example/1", f"<nav>m</nav><article>{body}</article>"), (2, "http://h.example/2", "<article><p>x</p></article>")]
+    got = {r["page_id"]: r["text"] for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == "\n".join(x for k in range(20_000) for x in (f"s{k}", f"text {k} é", f"a{k}", f"b{k}")) and got[2] == "x"
