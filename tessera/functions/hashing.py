@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+try:
+    import xxhash as native
+except ImportError:  # the form below is slower
+    native = None
+
 
 def hash60(text: Column) -> Column:
     """The first 60 bits of the MD5 digest as a non-negative long; any SQL engine has it."""
@@ -44,7 +50,7 @@ def _rotl(x: int, r: int) -> int:
 
 
 def xxh64(data: bytes, seed: int = 0) -> int:
-    """XXH64 of bytes; for the few node names that the driver hashes and as the Arrow form's kernel."""
+    """XXH64 of bytes; for the few node names that the driver hashes, and for keys where the library is missing."""
     n, at = len(data), 0
     word = lambda k, size: int.from_bytes(data[k : k + size], "little")
     step = lambda acc, lane: _rotl((acc + lane * P2) & MASK, 31) * P1 & MASK
@@ -77,10 +83,26 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def xxh64_many(keys) -> np.ndarray:
+    """Seed-0 XXH64 of many strings as unsigned numbers."""
+    if native is not None:
+        return np.fromiter(map(native.xxh64_intdigest, keys), np.uint64, len(keys))
+    return np.fromiter((xxh64(k.encode("utf-8")) for k in keys), np.uint64, len(keys))
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """The placement mixer over unsigned 64-bit numbers."""
+    x = x ^ (x >> np.uint64(12))
+    x ^= x << np.uint64(25)
+    x ^= x >> np.uint64(27)
+    return x * np.uint64(2685821657736338717)
+
+
 def xxh64_column(key: Column) -> Column:
-    """Seed-0 XXH64 of a string column, as a signed long; SQL's own function has another seed."""
+    """Seed-0 XXH64 of a string column, as a signed long, null of null; SQL's own function has another seed."""
 
     def hashes(keys: pd.Series) -> pd.Series:
-        return keys.map(lambda k: signed(xxh64(k.encode("utf-8"))))
+        out = pd.Series(xxh64_many(keys.fillna("")).view(np.int64), dtype="Int64")
+        return out.mask(keys.isna().to_numpy())
 
     return F.pandas_udf(hashes, LongType())(key)

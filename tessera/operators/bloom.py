@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from tessera.functions.hashing import hash60
 
 
+def bits_for(keys: int, each: int = 16) -> int:
+    """The bits of a filter: the least power of two with ``each`` or more a key."""
+    return 1 << max(each * max(keys, 1) - 1, 1).bit_length()
+
+
 def positions(key: Column, bits: int, hashes: int) -> Column:
     """The places of a key, one of each hash."""
     text = key.cast("string")

@@ -1,37 +1,35 @@
-"""Total order without a single task: ranks by quantile ranges, sortedness, histograms, sequence edits."""
+"""Total order without a single task: ranks by ranges, sortedness, histograms, sequence edits."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.arrays import count_below
+from tessera.functions.lineage import cut
 
-RANGES = 64
-
-
-def bounds(df: DataFrame, key: Column, ranges: int = RANGES) -> list:
-    """Approximate quantiles of a numeric key that cut it into ranges; at most ``ranges`` values reach the driver."""
-    found = df.agg(F.percentile_approx(key, [k / ranges for k in range(1, ranges)], 10_000)).first()[0]
-    return sorted(set(found or []))
+def ranged(df: DataFrame, *order: Column) -> DataFrame:
+    """The rows, written, with ``_range``, a number of the range of ``order`` that they fall in: range partitions, as many as
+    the session shuffles to, cut anywhere in the order, so that ties on a first key don't share one."""
+    return cut(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
 
 
 def ranked(df: DataFrame, key: Column, ties: list[str], ascending: bool = True) -> DataFrame:
-    """``rank`` (from 1) of every row by a numeric key, then ``ties``: each quantile range orders its own rows, and the
-    counts of the ranges before it are added."""
-    cut = df.withColumn("_range", count_below(key, bounds(df, key)))
-    order = [key.asc() if ascending else key.desc(), *ties]
-    sizes = cut.groupBy("_range").agg(F.count("*").alias("_n"))
-    before = Window.orderBy(F.col("_range") if ascending else F.col("_range").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))  # at most RANGES rows
+    """``rank`` (from 1) of every row by a key, nulls first (last if descending), then ``ties``: each range orders its own
+    rows, and the counts of the ranges before it are added."""
+    order = [key.asc() if ascending else key.desc(), *[F.col(t).asc() for t in ties]]
+    rows = ranged(df, *order)
+    sizes = rows.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))  # a row a partition
     inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    return cut.withColumn("_inside", inside).join(F.broadcast(sizes), "_range").withColumn("rank", F.col("_before") + F.col("_inside")).drop("_range", "_inside", "_before")
+    return rows.withColumn("_inside", inside).join(F.broadcast(sizes), "_range").withColumn("rank", F.col("_before") + F.col("_inside")).drop("_range", "_inside", "_before")
 
 
-def is_sorted(df: DataFrame) -> DataFrame:
-    """grp, sorted of a series (grp, pos, val): whether no value is below the one before."""
+def is_sorted(df: DataFrame, ascending: bool = True) -> DataFrame:
+    """grp, sorted of a series (grp, pos, val): whether no value is below (above, if descending) the one before; a null
+    breaks no order."""
     before = F.lag("val").over(Window.partitionBy("grp").orderBy("pos"))
-    return df.withColumn("ok", F.coalesce(before <= F.col("val"), F.lit(True))).groupBy("grp").agg(F.bool_and("ok").alias("sorted"))
+    return df.withColumn("ok", F.coalesce(before <= F.col("val") if ascending else before >= F.col("val"), F.lit(True))).groupBy("grp").agg(F.bool_and("ok").alias("sorted"))
 
 
 def digit_histogram(df: DataFrame, number: str) -> DataFrame:
@@ -50,3 +48,13 @@ def reverse(df: DataFrame) -> DataFrame:
 def fill(df: DataFrame, value) -> DataFrame:
     """A series (grp, pos, val) with every value replaced by one."""
     return df.select("grp", "pos", F.lit(value).cast(dict(df.dtypes)["val"]).alias("val"))
+
+
+def from_lists(df: DataFrame) -> DataFrame:
+    """A series (grp, pos, val) of arrays (grp, vals); an empty or null array gives no rows."""
+    return df.select("grp", F.posexplode("vals").alias("pos", "val")).select("grp", F.col("pos").cast("long").alias("pos"), "val")
+
+
+def to_lists(df: DataFrame) -> DataFrame:
+    """Arrays (grp, vals) of a series (grp, pos, val), by place; a group's list has to fit a row."""
+    return df.groupBy("grp").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "val"))), lambda x: x["val"]).alias("vals"))

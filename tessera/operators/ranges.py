@@ -1,10 +1,16 @@
-"""Range queries over series (grp, pos, val): prefix sums, inverses, range folds, sparse tables, point updates."""
+"""Range queries over series (grp, pos, val): prefix sums, inverses, segment trees, sparse tables, point updates.
+
+Places count from 0 without gaps. Null values are skipped by folds, as SQL aggregates skip them; an empty series gives an
+empty table.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.lineage import cut
+
 
 def prefix(series: DataFrame, fold=F.sum) -> DataFrame:
     """grp, pos, acc: the fold of all values up to each place."""
@@ -22,10 +28,45 @@ def range_sum(series: DataFrame, queries: DataFrame) -> DataFrame:
     return met.select("grp", "l", "r", (F.col("high") - F.coalesce("low", F.lit(0))).alias("res"))
 
 
+#: Levels of a segment tree that one step makes, each node of at most 2**STEP children's values.
+STEP = 6
+
+
+def segment_tree(series: DataFrame, fold) -> DataFrame:
+    """grp, level, block, val: the fold of the 2**level places from block * 2**level, all levels and groups.
+
+    ``fold`` is a commutative, associative aggregate (F.min, F.sum, ...). STEP levels are made at once from the nodes below
+    them, so no group's values meet in one place, however long it is.
+    """
+    base, out, done = series.select("grp", F.col("pos").alias("block"), "val"), None, 0
+    while True:
+        steps = F.explode(F.sequence(F.lit(0), F.lit(STEP)))
+        nodes = base.withColumn("up", steps).groupBy("grp", "up", F.expr("shiftright(block, up)").alias("block")).agg(fold("val").alias("val"))
+        nodes = cut(nodes)
+        named = nodes.filter(F.col("up") < STEP).select("grp", (F.col("up") + done).cast("int").alias("level"), "block", "val")
+        out = named if out is None else out.unionByName(named)
+        base, done = nodes.filter(F.col("up") == STEP).select("grp", "block", "val"), done + STEP
+        if base.filter("block > 0").isEmpty():
+            top = base.select("grp", F.lit(done).alias("level"), "block", "val")
+            return out.unionByName(top)
+
+
 def range_fold(series: DataFrame, queries: DataFrame, fold) -> DataFrame:
-    """grp, l, r, res: any commutative fold (an aggregate function) of inclusive ranges."""
-    met = queries.join(series, "grp").filter("pos BETWEEN l AND r")
-    return met.groupBy("grp", "l", "r").agg(fold("val").alias("res"))
+    """grp, l, r, res: a fold of inclusive ranges, of the at most two nodes a level of the segment tree that make them up.
+
+    Ranges that hold no place, as those of a null bound, are missing.
+    """
+    return node_fold(segment_tree(series, fold), queries, fold)
+
+
+def node_fold(tree: DataFrame, queries: DataFrame, fold) -> DataFrame:
+    levels = F.sequence(F.lit(0), F.greatest(F.ceil(F.log2((F.col("r") - F.col("l") + 2).cast("double"))).cast("int"), F.lit(0)))
+    at = queries.select("grp", "l", "r").distinct().filter("l <= r").withColumn("level", F.explode(levels))
+    at = at.withColumns({"a": F.expr("shiftright(l + shiftleft(1L, level) - 1, level)"), "b": F.expr("shiftright(r + 1, level)")}).filter("a < b")
+    left = F.when(F.col("a") % 2 == 1, F.array("a")).otherwise(F.array().cast("array<bigint>"))
+    right = F.when(F.col("b") % 2 == 1, F.array(F.col("b") - 1)).otherwise(F.array().cast("array<bigint>"))
+    wanted = at.withColumn("block", F.explode(F.array_union(left, right))).select("grp", "l", "r", "level", "block")
+    return wanted.join(tree, ["grp", "level", "block"]).groupBy("grp", "l", "r").agg(fold("val").alias("res"))
 
 
 def gcd(values: Column) -> Column:
@@ -51,6 +92,12 @@ def point_assign(series: DataFrame, updates: DataFrame) -> DataFrame:
     return series.join(last, ["grp", "pos"], "left").select("grp", "pos", F.coalesce("new", "val").alias("val"))
 
 
+def point_add(series: DataFrame, updates: DataFrame) -> DataFrame:
+    """The series after all updates (grp, pos, delta) are added to their places; those of no place are ignored."""
+    total = updates.groupBy("grp", "pos").agg(F.sum("delta").alias("delta"))
+    return series.join(total, ["grp", "pos"], "left").select("grp", "pos", (F.col("val") + F.coalesce("delta", F.lit(0))).alias("val"))
+
+
 def sparse_table(series: DataFrame, greatest: bool = True) -> DataFrame:
     """grp, k, pos, val: the largest (least) of 2**k values from each place, all levels.
 

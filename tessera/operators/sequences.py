@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,6 +35,16 @@ def lis_length(values: Column, element: str = "double") -> Column:
     return F.aggregate(values, F.array().cast(f"array<{element}>"), step, lambda t: F.size(t)).cast("long")
 
 
+def lcs_column(a: Column, b: Column, element: str) -> Column:
+    """One longest common subsequence of two arrays, in Arrow batches; null of a null."""
+    return F.pandas_udf(lambda xs, ys: pd.Series([None if x is None or y is None else lcs(list(x), list(y)) for x, y in zip(xs, ys)], dtype=object), f"array<{element}>")(a, b)
+
+
+def lis_column(values: Column, element: str) -> Column:
+    """One longest strictly increasing subsequence of an array, in Arrow batches; null of a null."""
+    return F.pandas_udf(lambda xs: pd.Series([None if x is None else lis(list(x)) for x in xs], dtype=object), f"array<{element}>")(values)
+
+
 def lcs(a: list, b: list) -> list:
     """One longest common subsequence; on ties the last of ``a`` is dropped first. For short lists, or in a UDF."""
     size = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]

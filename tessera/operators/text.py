@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.arrays import bind, occurrences
@@ -86,14 +86,18 @@ def find_first_pattern(text: Column, patterns: list[str]) -> Column:
 
 
 def prefixes_of(words: DataFrame, longest: int) -> DataFrame:
-    """word, prefix: every prefix of up to ``longest`` characters, so that prefix search is an equi-join."""
+    """word, prefix: every prefix of up to ``longest`` characters, the empty one too, so that prefix search is an equi-join."""
     n = F.least(F.char_length("word"), F.lit(longest))
-    cut = F.transform(F.sequence(F.lit(1), n), lambda k: F.substring(F.col("word"), F.lit(1), k))
+    cut = F.transform(F.sequence(F.lit(0), n), lambda k: F.substring(F.col("word"), F.lit(1), k))
     return words.filter("word <> ''").select("word", F.explode(cut).alias("prefix"))
 
 
-def prefix_search(words: DataFrame, prefixes: DataFrame, longest: int) -> DataFrame:
-    """prefix, n_words, has_word: how many words begin with each prefix (an empty one: all), and whether one equals it."""
+def prefix_search(words: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """prefix, n_words, has_word: how many words begin with each prefix (an empty one: all), and whether one equals it.
+
+    Words are cut to prefixes as long as the longest asked for; null and empty words are none, a null prefix finds none.
+    """
+    longest = prefixes.agg(F.max(F.char_length("prefix"))).first()[0] or 0
     found = prefixes_of(words, longest).groupBy("prefix").agg(F.count("*").alias("n_words"), F.bool_or(F.col("word") == F.col("prefix")).alias("has_word"))
     out = prefixes.join(found, "prefix", "left")
     return out.select("prefix", F.coalesce("n_words", F.lit(0)).alias("n_words"), F.coalesce("has_word", F.lit(False)).alias("has_word"))
@@ -106,6 +110,12 @@ def dictionary(log: DataFrame) -> DataFrame:
     return last.filter("op <> 'delete'").select("word")
 
 
+def deletions(log: DataFrame) -> DataFrame:
+    """word, seq, found of each delete in a log (word, seq, op): whether the word was there when it was deleted."""
+    before = F.lag("op").over(Window.partitionBy("word").orderBy("seq"))
+    return log.withColumn("found", F.coalesce(before != "delete", F.lit(False))).filter("op = 'delete'").select("word", "seq", "found")
+
+
 def repeated_pattern(text: Column) -> Column:
     """The shortest string that the text repeats at least twice, or an empty one."""
     n = F.char_length(text)

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions.lineage import cut
 
+from .lookup import value_bounds
+from .ordering import ranked
+from .ranges import range_fold
+
 
 def from_level_order(df: DataFrame, position: str, key: str) -> DataFrame:
     """id, parent, key of a binary tree listed level by level: the children of place i are 2i + 1 and 2i + 2."""
@@ -37,9 +41,20 @@ def lca(tree: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def search_tree_lca(tree: DataFrame, queries: DataFrame) -> DataFrame:
-    """u, v, lca of keys in a binary search tree (key, depth): the shallowest key between them."""
-    met = queries.join(tree, F.col("key").between(F.least("u", "v"), F.greatest("u", "v")))
-    return met.groupBy("u", "v").agg(F.min_by("key", "depth").alias("lca"))
+    """u, v, lca of keys in a binary search tree (key, depth): the shallowest key between them, whichever is larger; none
+    where no key lies between. Keys are unique.
+
+    Keys are numbered in their order and the least depth of a run of numbers is that of a few nodes of a segment tree.
+    """
+    keys = cut(ranked(tree.select("key", "depth"), F.col("key"), []))
+    series = keys.select(F.lit(0).alias("grp"), (F.col("rank") - 1).alias("pos"), F.struct("depth", "key").alias("val"))
+    asked = queries.select("u", "v").distinct()
+    ends = asked.select(F.col("u").alias("v")).union(asked.select("v")).distinct()
+    places = cut(value_bounds(keys.select(F.col("key").alias("v")), ends).select("v", "lower", "upper"))
+    met = asked.join(places.toDF("u", "ul", "uu"), "u").join(places.toDF("v", "vl", "vu"), "v")
+    met = cut(met.select("u", "v", F.lit(0).alias("grp"), F.least("ul", "vl").alias("l"), (F.greatest("uu", "vu") - 1).alias("r")))
+    low = range_fold(series, met.select("grp", "l", "r"), F.min)
+    return met.join(low, ["grp", "l", "r"]).select("u", "v", F.col("res.key").alias("lca"))
 
 
 def search(tree: DataFrame, keys: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import limits
 from tessera.functions.lineage import cut
 from tessera.operators import bloom, caches, counting, graphs, intervals, lookup, ordering, placement, ranges, sequences, text, topk, trees
 from tessera.sources.tables import cents, day, middle_halves, series, spans, supply_graph, table, trade_graph, vertices
@@ -161,6 +162,22 @@ def is_sorted(spark: SparkSession, d: str) -> DataFrame:
     return ordering.is_sorted(series(spark, d))
 
 
+@query("is_sorted_desc", f"SELECT grp, bool_and(ok) AS sorted FROM (SELECT grp, coalesce(lag(val) OVER (PARTITION BY grp ORDER BY pos) >= val, true) AS ok FROM ({SERIES})) GROUP BY grp")
+def is_sorted_desc(spark: SparkSession, d: str) -> DataFrame:
+    return ordering.is_sorted(series(spark, d), ascending=False)
+
+
+@query("list_round_trip", f"SELECT grp, pos, val FROM ({SERIES})")
+def list_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Series to arrays and back."""
+    return ordering.from_lists(ordering.to_lists(series(spark, d)))
+
+
+@query("integer_limits", "SELECT * FROM (VALUES ('tinyint', -128::BIGINT, 127::BIGINT), ('smallint', -32768, 32767), ('int', -2147483648, 2147483647), ('bigint', -9223372036854775808, 9223372036854775807)) t(type, least, greatest)")
+def integer_limits(spark: SparkSession, d: str) -> DataFrame:
+    return limits.table_of_limits(spark)
+
+
 @query("reverse_series", f"SELECT grp, count(*) OVER (PARTITION BY grp) - 1 - pos AS pos, val FROM ({SERIES})")
 def reverse_series(spark: SparkSession, d: str) -> DataFrame:
     return ordering.reverse(series(spark, d))
@@ -197,6 +214,12 @@ def binary_search(spark: SparkSession, d: str) -> DataFrame:
     return lookup.value_bounds(table(spark, d, "part").select(F.col("p_size").cast("long").alias("v")), asked).select("v", "found")
 
 
+@query("lower_bound_by", f"SELECT grp, count(*) FILTER (val // 1000 < 15000) AS at FROM ({SERIES}) GROUP BY grp")
+def lower_bound_by(spark: SparkSession, d: str) -> DataFrame:
+    """Where a predicate, not a value, marks the place in each customer's ordered totals."""
+    return lookup.partition_point(series(spark, d), F.floor(F.col("val") / 1000) < 15000)
+
+
 @query("asof_backward", """WITH p AS (SELECT user_id AS grp, epoch_us(ts) AS t, event_id AS id, event_type, CAST(round(value * 100) AS BIGINT) AS val FROM events)
   SELECT a.grp, a.t, a.id, b.val FROM (SELECT * FROM p WHERE event_type = 'purchase') a ASOF LEFT JOIN (SELECT * FROM p WHERE event_type = 'view') b ON a.grp = b.grp AND a.t >= b.t""")
 def asof_backward(spark: SparkSession, d: str) -> DataFrame:
@@ -238,6 +261,17 @@ def stack_depth(spark: SparkSession, d: str) -> DataFrame:
     return lookup.stack_tops(table(spark, d, "events").select(F.col("user_id").alias("grp"), F.col("event_id").alias("seq"), delta.alias("delta")))
 
 
+@query("stack_values", """WITH x AS (SELECT user_id AS grp, event_id AS seq, CASE WHEN event_type IN ('view', 'click', 'signup') THEN 1 ELSE -1 END AS delta, CAST(round(value * 100) AS BIGINT) AS val FROM events),
+  y AS (SELECT *, sum(delta) OVER (PARTITION BY grp ORDER BY seq ROWS UNBOUNDED PRECEDING) AS run FROM x),
+  z AS (SELECT *, run - least(min(run) OVER (PARTITION BY grp ORDER BY seq ROWS UNBOUNDED PRECEDING), 0) AS depth FROM y),
+  b AS (SELECT *, coalesce(lag(depth) OVER (PARTITION BY grp ORDER BY seq), 0) AS before FROM z)
+  SELECT a.grp, a.seq, any_value(CASE WHEN a.delta < 0 AND a.before > 0 THEN (SELECT arg_max(p.val, p.seq) FROM z p WHERE p.grp = a.grp AND p.delta > 0 AND p.seq < a.seq AND p.depth = a.before) END) AS popped,
+    any_value(CASE WHEN a.delta > 0 THEN a.val WHEN a.depth > 0 THEN (SELECT arg_max(p.val, p.seq) FROM z p WHERE p.grp = a.grp AND p.delta > 0 AND p.seq < a.seq AND p.depth = a.depth) END) AS top FROM b a GROUP BY 1, 2""")
+def stack_values(spark: SparkSession, d: str) -> DataFrame:
+    delta = F.when(F.col("event_type").isin("view", "click", "signup"), 1).otherwise(-1)
+    return lookup.stack_values(table(spark, d, "events").select(F.col("user_id").alias("grp"), F.col("event_id").alias("seq"), delta.alias("delta"), cents("value").alias("val")))
+
+
 @query("list_insert_remove", f"""WITH x AS (SELECT grp, pos, val, 0 AS late FROM ({SERIES}) UNION ALL SELECT c_custkey AS grp, 0 AS pos, {CENTS.format('c_acctbal')} AS val, 1 AS late FROM customer),
   y AS (SELECT grp, row_number() OVER (PARTITION BY grp ORDER BY pos, late) - 1 AS pos, val FROM x) SELECT grp, row_number() OVER (PARTITION BY grp ORDER BY pos) - 1 AS pos, val FROM y WHERE pos <> 3""")
 def list_insert_remove(spark: SparkSession, d: str) -> DataFrame:
@@ -274,6 +308,26 @@ def range_gcd(spark: SparkSession, d: str) -> DataFrame:
     return ranges.range_fold(s, middle_halves(s), lambda c: ranges.gcd(F.collect_list(c)))
 
 
+_QUANTITIES = "SELECT l_orderkey AS grp, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS pos, CAST(l_quantity AS BIGINT) AS val FROM lineitem"
+
+
+@query("range_lcm", f"WITH s AS ({_QUANTITIES}), q AS (SELECT grp, count(*) // 4 AS l, least(3 * count(*) // 4, count(*) - 1) AS r FROM s GROUP BY grp) SELECT q.grp, l, r, list_reduce(list(val ORDER BY pos), lambda a, b: lcm(a, b)) AS res FROM q JOIN s ON s.grp = q.grp AND pos BETWEEN l AND r GROUP BY 1, 2, 3")
+def range_lcm(spark: SparkSession, d: str) -> DataFrame:
+    """Of the quantities in the middle of each order."""
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber")) - 1
+    s = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("grp"), place.cast("long").alias("pos"), F.col("l_quantity").cast("long").alias("val"))
+    return ranges.range_fold(s, middle_halves(s), lambda c: ranges.lcm(F.collect_list(c)))
+
+
+@query("point_add_range", f"WITH s AS ({SERIES}), q AS ({HALVES}) SELECT q.grp, l, r, CAST(sum(CASE WHEN pos = l THEN val + 12 ELSE val END) AS BIGINT) AS res FROM q JOIN s ON s.grp = q.grp AND pos BETWEEN l AND r GROUP BY 1, 2, 3")
+def point_add_range(spark: SparkSession, d: str) -> DataFrame:
+    """5 and then 7 are added at each customer's first place of the range; then ranges are summed."""
+    s = series(spark, d)
+    q = middle_halves(s)
+    log = q.select("grp", F.col("l").alias("pos"), F.explode(F.array(F.lit(5).cast("long"), F.lit(7).cast("long"))).alias("delta"))
+    return ranges.range_sum(ranges.point_add(s, log), q)
+
+
 @query("point_update_range", f"WITH s AS ({SERIES}), q AS ({HALVES}) SELECT q.grp, l, r, CAST(sum(CASE WHEN pos = l THEN 0 ELSE val END) AS BIGINT) AS res FROM q JOIN s ON s.grp = q.grp AND pos BETWEEN l AND r GROUP BY 1, 2, 3")
 def point_update_range(spark: SparkSession, d: str) -> DataFrame:
     """Each customer's first place of the range is set to 5, then to 0; then ranges are summed."""
@@ -365,7 +419,26 @@ def prefix_lookup(spark: SparkSession, d: str) -> DataFrame:
     words = table(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("word")).distinct()
     segments = table(spark, d, "customer").select("c_mktsegment").distinct()
     asked = segments.select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda k: F.lower(F.substring(F.col("c_mktsegment"), F.lit(1), k)))).alias("prefix")).distinct()
-    return text.prefix_search(words, asked, 3)
+    return text.prefix_search(words, asked)
+
+
+_WORD_LOG = "SELECT word, p_partkey AS seq, CASE WHEN p_size > 40 THEN 'delete' ELSE 'add' END AS op FROM (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS word, p_partkey, p_size FROM part)"
+
+
+def _word_log(spark: SparkSession, d: str) -> DataFrame:
+    """Parts add the words of their names, large ones delete them."""
+    op = F.when(F.col("p_size") > 40, "delete").otherwise("add")
+    return table(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("word"), F.col("p_partkey").alias("seq"), op.alias("op")).distinct()
+
+
+@query("dictionary_words", f"SELECT word FROM ({_WORD_LOG}) GROUP BY word HAVING arg_max(op, seq) = 'add'")
+def dictionary_words(spark: SparkSession, d: str) -> DataFrame:
+    return text.dictionary(_word_log(spark, d))
+
+
+@query("dictionary_deletes", f"SELECT word, seq, found FROM (SELECT word, seq, op, coalesce(lag(op) OVER (PARTITION BY word ORDER BY seq) = 'add', false) AS found FROM ({_WORD_LOG})) WHERE op = 'delete'")
+def dictionary_deletes(spark: SparkSession, d: str) -> DataFrame:
+    return text.deletions(_word_log(spark, d))
 
 
 @query("repeated_pattern", "WITH t AS (SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS s FROM orders), q AS (SELECT *, instr(substr(s || s, 2), s) AS k FROM t) SELECT o_orderkey, CASE WHEN k < len(s) THEN substr(s, 1, k::INT) ELSE '' END AS pattern, k < len(s) AS repeats FROM q")
@@ -390,6 +463,20 @@ def lis_len(spark: SparkSession, d: str) -> DataFrame:
     return lists.select("grp", sequences.lis_length(F.col("v"), "long").alias("lis"))
 
 
+@query("lcs_letters")
+def lcs_letters(spark: SparkSession, d: str) -> DataFrame:
+    """One longest common subsequence of the letters of each part's name and type."""
+    parts = table(spark, d, "part").select("p_name", "p_type").distinct()
+    letters = lambda c: F.split(F.lower(c), "")
+    return parts.withColumn("common", F.array_join(sequences.lcs_column(letters("p_name"), letters("p_type"), "string"), ""))
+
+
+@query("lis_values")
+def lis_values(spark: SparkSession, d: str) -> DataFrame:
+    """One longest increasing subsequence of each customer's totals."""
+    return ordering.to_lists(series(spark, d)).select("grp", sequences.lis_column(F.col("vals"), "bigint").alias("rising"))
+
+
 # Placement
 
 _HASH = "('0x' || substr(md5({}), 1, 15))::BIGINT"
@@ -451,21 +538,42 @@ def ring_rebalance(spark: SparkSession, d: str) -> DataFrame:
     return moved.filter("before <> after")
 
 
+@query("hrw_xxh64")
+def hrw_xxh64(spark: SparkSession, d: str) -> DataFrame:
+    return _keys(spark, d).select("c_custkey", placement.hrw(F.col("c_custkey").cast("string"), _nodes(spark, d), "xxh64").alias("node"))
+
+
+@query("wrh_xxh64")
+def wrh_xxh64(spark: SparkSession, d: str) -> DataFrame:
+    weights = {n: float(1 + k % 4) for k, n in enumerate(_nodes(spark, d))}
+    return _keys(spark, d).select("c_custkey", placement.wrh(F.col("c_custkey").cast("string"), weights, "xxh64").alias("node"))
+
+
+@query("ring_xxh64")
+def ring_xxh64(spark: SparkSession, d: str) -> DataFrame:
+    ring = placement.Ring(_nodes(spark, d), family="xxh64")
+    return _keys(spark, d).select("c_custkey", ring.node(F.col("c_custkey").cast("string")).alias("node"))
+
+
 # Bloom filter
 
-BITS, HASHES = 8192, 4
-_BIT = f"({_HASH.format(chr(39).join(['i::VARCHAR || ', ':', ' || k::VARCHAR']))} % {BITS})"
+HASHES = 4
+_BITS = "(SELECT 1::BIGINT << ceil(log2(16 * greatest(count(*), 1)))::INT FROM part WHERE p_size > 40)"
+_BIT = f"({_HASH.format(chr(39).join(['i::VARCHAR || ', ':', ' || k::VARCHAR']))} % {_BITS})"
 
 
 @query("bloom_semi_filter", f"WITH i AS (SELECT unnest(range(0, {HASHES})) AS i), b AS (SELECT DISTINCT {_BIT} AS bit FROM (SELECT p_partkey AS k FROM part WHERE p_size > 40), i) SELECT k AS l_partkey FROM (SELECT k, {_BIT} AS bit FROM (SELECT DISTINCT l_partkey AS k FROM lineitem), i) SEMI JOIN b USING (bit) GROUP BY k HAVING count(*) = {HASHES}")
 def bloom_semi_filter(spark: SparkSession, d: str) -> DataFrame:
-    filter_ = bloom.build(table(spark, d, "part").filter("p_size > 40"), "p_partkey", BITS, HASHES)
-    return bloom.might_contain(table(spark, d, "lineitem"), "l_partkey", filter_, BITS, HASHES)
+    keys = table(spark, d, "part").filter("p_size > 40")
+    bits = bloom.bits_for(keys.count())
+    return bloom.might_contain(table(spark, d, "lineitem"), "l_partkey", bloom.build(keys, "p_partkey", bits, HASHES), bits, HASHES)
 
 
 # Caches
 
 CAPACITY = 50
+#: Of each of the caches that hold values.
+VALUES = 5
 
 
 def _log(spark: SparkSession, d: str) -> DataFrame:
@@ -485,19 +593,19 @@ def lfu_hits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _ops(spark: SparkSession, d: str) -> DataFrame:
-    """Purchases and signups put a user's value, other events ask for it."""
+    """Purchases and signups put a user's value in one of 64 caches, other events ask for it."""
     op = F.when(F.col("event_type").isin("purchase", "signup"), "put").otherwise("get")
-    return table(spark, d, "events").select(F.lit("all").alias("cache_id"), F.col("event_id").alias("seq"), op.alias("op"), F.col("user_id").alias("key"), cents("value").alias("val"))
+    return table(spark, d, "events").select((F.col("user_id") % 64).alias("cache_id"), F.col("event_id").alias("seq"), op.alias("op"), F.col("user_id").alias("key"), cents("value").alias("val"))
 
 
 @query("lru_replay")
 def lru_replay(spark: SparkSession, d: str) -> DataFrame:
-    return caches.replay(_ops(spark, d), caches.LRU, CAPACITY)
+    return caches.replay(_ops(spark, d), caches.LRU, VALUES)
 
 
 @query("lfu_replay")
 def lfu_replay(spark: SparkSession, d: str) -> DataFrame:
-    return caches.replay(_ops(spark, d), caches.LFU, CAPACITY)
+    return caches.replay(_ops(spark, d), caches.LFU, VALUES)
 
 
 # Graphs
@@ -622,14 +730,16 @@ def tree_lca(spark: SparkSession, d: str) -> DataFrame:
     return trees.lca(_part_tree(spark, d), asked)
 
 
-@query("bst_lca", """WITH t AS (SELECT DISTINCT CAST(p_size AS BIGINT) AS key, 6 - bit_count(CAST((p_size & -p_size) - 1 AS INT))::BIGINT AS depth FROM part)
-  SELECT a.key AS u, b.key AS v, arg_min(t.key, t.depth * 1000 + t.key) AS lca FROM t a JOIN t b ON a.key < b.key JOIN t ON t.key BETWEEN a.key AND b.key GROUP BY 1, 2""")
+@query("bst_lca", f"""WITH t AS (SELECT DISTINCT CAST(p_size AS BIGINT) AS key, 6 - bit_count(CAST((p_size & -p_size) - 1 AS INT))::BIGINT AS depth FROM part),
+  q AS (SELECT DISTINCT a.p_size::BIGINT AS u, b.p_size::BIGINT AS v FROM part a JOIN part b ON b.p_partkey = (a.p_partkey * 7 + 3) % {_N})
+  SELECT u, v, arg_min(t.key, t.depth * 1000 + t.key) AS lca FROM q JOIN t ON t.key BETWEEN least(u, v) AND greatest(u, v) GROUP BY 1, 2""")
 def bst_lca(spark: SparkSession, d: str) -> DataFrame:
-    """Part sizes in the perfect search tree of 1 to 63: a key's depth follows from its trailing zeros."""
-    size = F.col("p_size").cast("long")
-    keys = table(spark, d, "part").select(size.alias("key")).distinct()
+    """Part sizes in the perfect search tree of 1 to 63, where a key's depth follows from its trailing zeros."""
+    parts = table(spark, d, "part").select("p_partkey", F.col("p_size").cast("long").alias("size"))
+    keys = parts.select(F.col("size").alias("key")).distinct()
     tree = keys.withColumn("depth", (6 - F.bit_count(F.col("key").bitwiseAND(-F.col("key")) - 1)).cast("long") * 1000 + F.col("key"))
-    asked = keys.select(F.col("key").alias("u")).join(keys.select(F.col("key").alias("v")), F.col("u") < F.col("v"))
+    other = parts.select(F.col("p_partkey").alias("other"), F.col("size").alias("v"))
+    asked = parts.withColumn("other", (F.col("p_partkey") * 7 + 3) % parts.count()).join(other, "other").select(F.col("size").alias("u"), "v").distinct()
     return trees.search_tree_lca(tree, asked)
 
 

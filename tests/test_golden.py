@@ -1,5 +1,6 @@
 """Known cases of the operators, and properties against plain Python."""
 
+import math
 import random
 
 from hypothesis import given, settings
@@ -43,7 +44,7 @@ def test_interval_insert(spark):
 
 
 def test_interval_intersect(spark):
-    got = intervals.intersect(spans(spark, [(1, 3), (5, 9)]), spans(spark, [(2, 6), (8, 10)]), width=2)
+    got = intervals.intersect(spans(spark, [(1, 3), (5, 9)]), spans(spark, [(2, 6), (8, 10)]))
     assert listed(got, "s", "e") == [(2, 3), (5, 6), (8, 9)]
 
 
@@ -250,5 +251,177 @@ def test_replay_and_lists(spark):
 def test_dictionary(spark):
     log = spark.createDataFrame([("hello", 1, "add"), ("help", 2, "add"), ("hello", 3, "delete")], "word string, seq long, op string")
     words = text.dictionary(log)
-    got = text.prefix_search(words, spark.createDataFrame([("hel",), ("help",), ("hello",)], "prefix string"), 5)
+    got = text.prefix_search(words, spark.createDataFrame([("hel",), ("help",), ("hello",)], "prefix string"))
     assert listed(got, "prefix", "n_words", "has_word") == [("hel", 1, False), ("hello", 0, False), ("help", 1, True)]
+
+
+def test_placement_of_the_classic_family_against_plain_numbers(spark):
+    mask = (1 << 64) - 1
+
+    def mix(x):
+        x ^= x >> 12
+        x ^= (x << 25) & mask
+        x ^= x >> 27
+        return x * 2685821657736338717 & mask
+
+    nodes = [f"node{k}" for k in range(13)]
+    words = ["", "a", "é😀", "x" * 31, "y" * 32, "z" * 100] + [str(k) for k in range(300)]
+    keys = spark.createDataFrame([(w,) for w in words] + [(None,)], "key string")
+    of = {n: hashing.xxh64(n.encode()) for n in nodes}
+    weights = {n: float(k % 5) for k, n in enumerate(nodes)}
+    ring = placement.Ring(nodes, 20, "xxh64")
+    got = {r["key"]: r for r in keys.select("key", placement.hrw(F.col("key"), nodes, "xxh64").alias("a"), placement.wrh(F.col("key"), weights, "xxh64").alias("b"), ring.node(F.col("key")).alias("c")).collect()}
+    assert (got[None]["a"], got[None]["b"], got[None]["c"]) == (None, None, None)
+    points = sorted((mix(of[n] ^ (i * placement.RING_STEP)), n) for n in nodes for i in range(20))
+    for w in words:
+        h = hashing.xxh64(w.encode())
+        assert got[w]["a"] == max(range(13), key=lambda k: (mix(h ^ of[nodes[k]]), -k))
+        assert got[w]["b"] == min((n for n in nodes if weights[n]), key=lambda n: (-math.log(mix(h ^ of[n]) / float(mask)) / weights[n], n))
+        assert got[w]["c"] == next((n for p, n in points if p >= h), points[0][1])
+
+
+def test_shares_of_a_million_keys(spark):
+    keys = spark.range(1_000_000).select(F.col("id").cast("string").alias("key"))
+    share = lambda c: {r[0]: r["count"] / 1e6 for r in keys.groupBy(c.alias("n")).count().collect()}
+    assert all(abs(x - 1 / 3) < 0.002 for x in share(placement.hrw(F.col("key"), ["A", "B", "C"], "xxh64")).values())
+    got = share(placement.wrh(F.col("key"), {"A": 10.0, "B": 30.0, "C": 0.0}, "xxh64"))
+    assert abs(got["A"] - 0.25) < 0.002 and "C" not in got
+    got = share(placement.Ring([f"n{k}" for k in range(100)], 1000, "xxh64").node(F.col("key")))
+    assert len(got) == 100 and all(abs(x - 0.01) < 0.003 for x in got.values())
+
+
+def plain_cache(kind, capacity, ops):
+    """A cache as a list searched whole each time: (when used last, how often used, key, value)."""
+    held, out = [], []
+    for t, (op, key, val) in enumerate(ops):
+        at = next((x for x in held if x[2] == key), None)
+        if op == "put" and at is None:
+            if len(held) == capacity:
+                held.remove(min(held, key=lambda x: (x[1], x[0]) if kind == "lfu" else x[0]))
+            held.append([t, 1, key, val])
+        elif at is not None:
+            at[0], at[1], at[3] = t, at[1] + 1, val if op == "put" else at[3]
+        if op == "get":
+            out.append((t, at[3] if at else None, at is not None, len(held)))
+    return out
+
+
+def test_caches_against_plain_lists(spark):
+    rng = random.Random(12)
+    for kind, policy in (("lru", caches.LRU), ("lfu", caches.LFU)):
+        logs = {c: [("put" if rng.random() < 0.4 else "get", rng.randrange(12), rng.randrange(1000)) for _ in range(600)] for c in "ab"}
+        rows = [(c, t, *x) for c, ops in logs.items() for t, x in enumerate(ops)]
+        got = caches.replay(spark.createDataFrame(rows, "cache_id string, seq long, op string, key long, val long"), policy, 5)
+        for c, ops in logs.items():
+            assert listed(got.filter(F.col("cache_id") == c), "seq", "val", "hit", "size") == plain_cache(kind, 5, ops)
+        asked = [(c, t, x[1]) for c, ops in logs.items() for t, x in enumerate(ops)]
+        hits = {"lru": caches.lru_hits, "lfu": caches.lfu_hits}[kind](spark.createDataFrame(asked, "cache_id string, seq long, key long").repartition(3), 5)
+        for c, ops in logs.items():
+            plain = {t: hit for t, _, hit, _ in plain_cache(kind, 5, [y for _, k, _ in ops for y in (("get", k, None), ("put", k, 1))][: 2 * len(ops)])} if kind == "lfu" else None
+            if plain is None:
+                held, want = [], []
+                for t, (_, k, _) in enumerate(ops):
+                    want.append((t, k, k in held))
+                    held = [x for x in held if x != k][-4:] + [k]
+                assert listed(hits.filter(F.col("cache_id") == c), "seq", "key", "hit") == want
+    assert caches.lru_hits(spark.createDataFrame([], "cache_id string, seq long, key long"), 5).count() == 0
+
+
+def test_overlaps_of_any_length(spark):
+    rng = random.Random(13)
+    rows = []
+    for k in range(300):
+        s = rng.randrange(-10**9, 10**9) if k % 3 else rng.randrange(-50, 50)
+        rows.append((rng.choice("gh"), s, s + rng.choice([0, 1, 3, 15, 63, 10**5, 3 * 10**8]), k))
+    rows.append(("g", -(1 << 61), 1 << 61, 1000))
+    df = spark.createDataFrame([*rows, (None, 1, 2, 2000), ("g", None, 2, 2001)], "grp string, s long, e long, id long")
+    want = sorted((g, t, min(e, f)) for g, s, e, i in rows for h, t, f, j in rows if g == h and t <= e and s <= f and (s, i) < (t, j))
+    assert listed(intervals.self_overlap(df), "grp", "s", "e") == want
+    assert all(len(r["c"]) <= 2 for r in intervals._cells(df.filter("e < 1L << 60"), "_a").groupBy("id_a").agg(F.collect_list("cell").alias("c")).collect())
+
+
+def test_ranges_of_long_series(spark):
+    """Thousands of places in one group, several steps of the segment tree; folds with and without an inverse."""
+    rng = random.Random(14)
+    values = [rng.randrange(1, 10**6) for _ in range(5000)]
+    s = spark.createDataFrame([("g", k, v) for k, v in enumerate(values)] + [("h", 0, 7)], "grp string, pos long, val long")
+    asked = [("g", *sorted(rng.sample(range(5000), 2))) for _ in range(60)] + [("g", 0, 4999), ("g", 17, 17), ("h", 0, 0), ("h", 1, 0)]
+    q = spark.createDataFrame(asked, "grp string, l long, r long")
+    of = lambda g, l, r: values[l : r + 1] if g == "g" else [7][l : r + 1]
+    for fold, plain in ((F.min, min), (F.sum, sum), (F.bit_xor, lambda xs: __import__("functools").reduce(lambda a, b: a ^ b, xs)), (lambda c: ranges.gcd(F.collect_list(c)), lambda xs: math.gcd(*xs))):
+        assert listed(ranges.range_fold(s, q, fold), "grp", "l", "r", "res") == sorted((g, l, r, plain(of(g, l, r))) for g, l, r in set(asked) if l <= r)
+
+
+def test_search_tree_lca_without_pairs(spark):
+    rng = random.Random(15)
+    keys = rng.sample(range(1000), 200)
+    root = None
+
+    def insert(node, key, depth):
+        if node is None:
+            return [key, depth, None, None]
+        side = 2 if key < node[0] else 3
+        node[side] = insert(node[side], key, depth + 1)
+        return node
+
+    for k in keys:
+        root = insert(root, k, 0)
+    flat, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        if node:
+            flat.append((node[0], node[1]))
+            todo += node[2:]
+    asked = [(rng.choice(keys), rng.choice(keys)) for _ in range(100)]
+
+    def lca(u, v):
+        node = root
+        while not min(u, v) <= node[0] <= max(u, v):
+            node = node[2] if max(u, v) < node[0] else node[3]
+        return node[0]
+
+    got = trees.search_tree_lca(spark.createDataFrame(flat, "key long, depth long"), spark.createDataFrame(asked, "u long, v long"))
+    assert listed(got, "u", "v", "lca") == sorted({(u, v, lca(u, v)) for u, v in asked})
+    assert "NestedLoop" not in got._jdf.queryExecution().toString()
+
+
+def test_stack_against_a_list(spark):
+    rng = random.Random(16)
+    log = [(g, t, rng.choice([1, 1, -1]), rng.randrange(99)) for g in "ab" for t in range(200)] + [("c", 0, -1, 5)]
+    want = []
+    for g in "abc":
+        held = []
+        for _, t, delta, val in [r for r in log if r[0] == g]:
+            popped = held.pop() if delta < 0 and held else None
+            if delta > 0:
+                held.append(val)
+            want.append((g, t, popped, held[-1] if held else None))
+    got = lookup.stack_values(spark.createDataFrame(log, "grp string, seq long, delta int, val long"))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_prefixes_longer_than_words_and_empty_ones(spark):
+    words = spark.createDataFrame([("hello",), ("help",), ("",), (None,)], "word string")
+    got = text.prefix_search(words, spark.createDataFrame([("",), ("hell",), ("hello!",), (None,)], "prefix string"))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([("", 2, False), ("hell", 1, False), ("hello!", 0, False), (None, 0, False)], key=repr)
+
+
+def test_subsequences_as_columns(spark):
+    df = spark.createDataFrame([([1, 3, 2, 7, 0], [0, 1, 3, 4, 5, 6, 7]), ([1, 2, 1, 2], [1, 2]), ([], [1]), (None, [1])], "a array<long>, b array<long>")
+    got = df.select(sequences.lcs_column(F.col("a"), F.col("b"), "bigint").alias("x"), sequences.lis_column(F.col("a"), "bigint").alias("y")).collect()
+    assert [r["x"] for r in got] == [[1, 3, 7], [1, 2], [], None] and [len(r["y"]) for r in got[:3]] == [3, 2, 0] and got[3]["y"] is None
+
+
+def test_nulls_in_any_column(spark):
+    """Null keys are a key, null values are skipped as SQL aggregates skip them, and nothing fails."""
+    s = spark.createDataFrame([("g", 0, None), ("g", 1, 5), (None, 0, 1), (None, 1, None)], "grp string, pos long, val long")
+    assert sorted(map(tuple, ordering.is_sorted(s).collect()), key=repr) == sorted([("g", True), (None, True)], key=repr)
+    assert [r["acc"] for r in ranges.prefix(s.filter("grp = 'g'")).orderBy("pos").collect()] == [None, 5]
+    assert sorted(map(tuple, counting.multiset(s, "val").collect()), key=repr) == sorted([(None, 2), (5, 1), (1, 1)], key=repr)
+    ranked = ordering.ranked(s, F.col("val"), ["pos", "grp"]).select("rank", "val").collect()
+    assert [r["val"] for r in sorted(ranked, key=lambda r: r["rank"])] == [None, None, 1, 5]
+    e = edges(spark, [(0, 1), (None, 1), (2, None)])
+    assert listed(graphs.components(e, ids(spark, 3)), "id", "comp") == [(0, 0), (1, 0), (2, 2)]
+    assert lookup.asof_backward(s.select("grp", F.col("pos").alias("t"), F.lit(1).alias("id")), s.select("grp", F.col("pos").alias("t"), "val")).count() == 4
+    t = spark.createDataFrame([(None,), ("abab",)], "s string")
+    assert [r[0] for r in t.select(text.find_count(F.col("s"), "ab")).collect()] in ([None, 2], [-1, 2], [0, 2])
