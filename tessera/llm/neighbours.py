@@ -2,10 +2,11 @@
 
 The index keeps, for every distinct vector, the signs of its rotated offset from a centre (packed bits), the offset's
 length and its inner product with its own code. From a query's rotated offset and the packed bits the inner product is
-estimated, with an error bound that shrinks with the dimension. Queries are searched against all rows in blocks: tiles of
-codes, no vectors, meet blocks of queries twice. The first time they give each query the k + 1 smallest upper bounds of a
-distance, of which the least over all tiles make its edge; the second time they give every row whose lower bound is not
-beyond the edge. Only those rows' vectors are fetched and reranked.
+estimated, with an error bound that shrinks with the dimension; every vector whose lower bound on the distance does not
+exceed the k-th smallest upper bound is reranked on original vectors. Queries are searched against all rows in blocks:
+a tile of the index meets a block of queries, both of bounded bytes, and gives k rows a query. A tile carries its vectors:
+of a few dozen dimensions the bounds leave a third of the given rows to rerank, so pairs to fetch vectors for would be far
+more than the vectors themselves.
 """
 
 from __future__ import annotations
@@ -19,9 +20,9 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-#: Rows that the centre is taken over at most; bytes of codes in a tile and of queries in a block; rows that are worth a
+#: Rows that the centre is taken over at most; bytes of vectors in a tile and in a block of queries; rows that are worth a
 #: tile of their own while tasks are few; the bound's width in standard deviations.
-SAMPLE, TILE_BYTES, BLOCK_BYTES, LEAST, WIDTH, SEED = 10_000, 4_000_000, 4_000_000, 4096, 2.5, 11
+SAMPLE, TILE_BYTES, BLOCK_BYTES, LEAST, WIDTH, SEED = 10_000, 16_000_000, 16_000_000, 4096, 2.5, 11
 
 
 def rotation(dim: int) -> np.ndarray:
@@ -67,66 +68,52 @@ def rotation_cached(dim: int) -> np.ndarray:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, v (array<double>): one row an id, the least vector if it has several. Null, zero and non-finite vectors
-    and null ids take no part."""
-    v = F.col("embedding").cast("array<double>")
+    """vec_id, v: one row an id, the least vector if it has several. Null, zero and non-finite vectors and null ids take
+    no part."""
+    v = F.col("embedding") if dict(vectors.dtypes)["embedding"] == "array<float>" else F.col("embedding").cast("array<double>")
     rows = vectors.select(vectors["vec_id"].cast("long").alias("vec_id"), v.alias("v")).filter("vec_id IS NOT NULL AND size(v) > 0")
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     return rows.filter(fine).groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
-def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
-    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
+    flat = column.combine_chunks().flatten() if isinstance(column, pa.ChunkedArray) else column.flatten()
+    return flat.to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
 
 
-def _index(classes: DataFrame, dim: int, centre: np.ndarray) -> DataFrame:
-    def code(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for f in frames:
-            bits, length, own = encode(f.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim), centre)
-            yield pa.RecordBatch.from_arrays([f.column(0), pa.array([b.tobytes() for b in bits], pa.binary()), pa.array(length), pa.array(own)], ["least", "bits", "length", "own"])
+def distances(x: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Euclidean distances, squares added in the order of the components as a loop adds them."""
+    total = np.zeros(len(x))
+    for column, y in zip(np.ascontiguousarray(x.T), v):
+        total += (column - y) ** 2
+    return np.sqrt(total)
 
-    return classes.select("least", "v").mapInArrow(code, "least long, bits binary, length double, own double")
 
+def _searched(index: DataFrame, queries: DataFrame, dim: int, centre: np.ndarray, k: int) -> DataFrame:
+    """query_id, vec_id, score: of each tile the nearest k rows of every query of the block that it meets."""
 
-def _scanned(index: DataFrame, queries: DataFrame, dim: int, centre: np.ndarray, k: int, tiles: int, blocks: int) -> DataFrame:
-    """query_id, least: the classes that may be among a query's k nearest."""
-    left = index.withColumn("tile", F.pmod(F.xxhash64("least"), F.lit(tiles)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    def meet(codes: pa.Table, asked: pa.Table) -> pa.Table:
+        out: tuple[list, list, list] = ([], [], [])
+        if codes.num_rows and asked.num_rows:
+            x = _matrix(codes.column("v"), dim)
+            bits = np.frombuffer(b"".join(codes.column("bits").to_pylist()), np.uint8).reshape(len(x), -1)
+            length, own, ids = codes.column("length").to_numpy(), codes.column("own").to_numpy(), codes.column("ids")
+            for q, v in zip(asked.column("vec_id").to_pylist(), _matrix(asked.column("v"), dim)):
+                low, high = bounds(v, centre, bits, length, own)
+                # One class may hold the query alone, so one more upper bound than k counts.
+                edge = np.partition(high, k)[k] if len(high) > k else np.inf
+                near = np.flatnonzero(low <= edge)
+                exact = distances(x[near], v)
+                if len(exact) > k + 1:
+                    cut = np.partition(exact, k)[k]
+                    near, exact = near[exact <= cut], exact[exact <= cut]
+                found = sorted((d, i) for d, c in zip(exact.tolist(), near.tolist()) for i in ids[c].as_py() if i != q)[:k]
+                out[0].extend([q] * len(found))
+                out[1].extend(i for _, i in found)
+                out[2].extend(d for d, _ in found)
+        return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
 
-    def asked(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int")).withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
-
-    def codes(t: pa.Table) -> tuple[np.ndarray, ...]:
-        bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint8).reshape(t.num_rows, -1)
-        return bits, t.column("length").to_numpy(), t.column("own").to_numpy()
-
-    def highs(t: pa.Table, q: pa.Table) -> pa.Table:
-        out = []
-        if t.num_rows and q.num_rows:
-            known = codes(t)
-            for v in _matrix(q.column("v"), dim):
-                high = bounds(v, centre, *known)[1]
-                out.append(np.partition(high, k)[: k + 1] if len(high) > k else high)
-        ids = q.column("vec_id") if len(out) else pa.array([], pa.int64())
-        return pa.table({"vec_id": ids, "high": pa.array(out, pa.list_(pa.float64()))})
-
-    met = left.groupBy("tile", "block").cogroup(asked(queries).groupBy("tile", "block")).applyInArrow(highs, "vec_id long, high array<double>")
-    # One class may hold the query alone, so one more upper bound than k counts; with fewer classes all are near.
-    edges = met.groupBy("vec_id").agg(F.array_sort(F.flatten(F.collect_list("high"))).alias("high"))  # tiles x (k + 1) numbers
-    edges = edges.select("vec_id", F.coalesce(F.get("high", F.lit(k)), F.lit(float("inf"))).alias("edge"))
-    edged = written(queries.join(edges, "vec_id"), "queries")
-
-    def near(t: pa.Table, q: pa.Table) -> pa.Table:
-        who, which = [], []
-        if t.num_rows and q.num_rows:
-            known, ids = codes(t), t.column("least").to_numpy()
-            for v, i, edge in zip(_matrix(q.column("v"), dim), q.column("vec_id").to_pylist(), q.column("edge").to_pylist()):
-                found = ids[bounds(v, centre, *known)[0] <= edge]
-                who.append(np.full(len(found), i, np.int64))
-                which.append(found)
-        none = np.empty(0, np.int64)
-        return pa.table({"query_id": pa.array(np.concatenate([none, *who])), "least": pa.array(np.concatenate([none, *which]))})
-
-    return left.groupBy("tile", "block").cogroup(asked(edged).groupBy("tile", "block")).applyInArrow(near, "query_id long, least long")
+    return index.groupBy("tile", "block").cogroup(queries.groupBy("tile", "block")).applyInArrow(meet, "query_id long, vec_id long, score double")
 
 
 def search(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
@@ -145,17 +132,23 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     for dim, n, number in sizes:
         mine = rows.filter(F.size("v") == dim)
         sample = mine.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toPandas()["v"]
-        centre = np.mean(np.stack(sample.to_numpy()), axis=0)
+        centre = np.mean(np.stack(sample.to_numpy()).astype(np.float64), axis=0)
         least = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
-        classes = mine.withColumn("r", least).filter(F.col("r") <= k + 1).groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
-        classes = written(classes.select(F.get("ids", F.lit(0)).alias("least"), "v", "ids"), "classes")
-        queries = written(mine.filter(F.col("vec_id") % every == 0), "queries")
-        tiles = max(1 + n * (dim // 8 + 32) // TILE_BYTES, min(spark.sparkContext.defaultParallelism, 1 + n // LEAST))
+        classes = mine.withColumn("r", least).filter(F.col("r") <= k + 1).groupBy("v").agg(F.collect_list("vec_id").alias("ids"))
+        kind = dict(rows.dtypes)["v"]
+
+        def code(frames: Iterator[pa.RecordBatch], dim: int = dim, centre: np.ndarray = centre) -> Iterator[pa.RecordBatch]:
+            for f in frames:
+                bits, length, own = encode(_matrix(f.column(0), dim), centre)
+                yield pa.RecordBatch.from_arrays([f.column(0), f.column(1), pa.array([b.tobytes() for b in bits], pa.binary()), pa.array(length), pa.array(own)], ["v", "ids", "bits", "length", "own"])
+
+        index = written(classes.mapInArrow(code, f"v {kind}, ids array<long>, bits binary, length double, own double"), "index")
+        tiles = max(1 + n * dim * 8 // TILE_BYTES, min(spark.sparkContext.defaultParallelism, 1 + n // LEAST))
         blocks = 1 + number * dim * 8 // BLOCK_BYTES
-        found = _scanned(written(_index(classes, dim, centre), "index"), queries, dim, centre, k, tiles, blocks)
-        met = found.join(classes, "least").join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
-        squares = F.aggregate(F.zip_with("v", "q", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-        near = met.select("query_id", F.sqrt(squares).alias("score"), F.explode("ids").alias("vec_id")).filter("vec_id <> query_id")
+        left = index.withColumn("tile", F.pmod(F.xxhash64("v"), F.lit(tiles)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        queries = mine.filter(F.col("vec_id") % every == 0).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int"))
+        right = queries.withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+        near = _searched(left, right, dim, centre, k)
         out = near if out is None else out.unionByName(near)
     if out is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")

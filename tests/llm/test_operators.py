@@ -144,6 +144,41 @@ def test_parity_join_finds_every_link(spark):
     assert got == components(rows)
 
 
+@pytest.mark.parametrize("turns", [0, 2])
+def test_parity_join_in_large_buckets(spark, monkeypatch, turns):
+    """Nearly all buckets are large: their pairs come from stars, new orders and tiles."""
+    monkeypatch.setattr(parity_join, "SMALL", 3)
+    monkeypatch.setattr(parity_join, "TURNS", turns)
+    monkeypatch.setattr(parity_join, "TILE", 40)
+    monkeypatch.setattr(parity_join, "_frequent", lambda docs, rows: np.empty(0, np.uint64))
+    rows = chains(5)[:700]
+    assert sorted(map(tuple, parity_join.near_duplicates(docs(spark, rows)).collect()), key=key) == components(rows)
+
+
+def test_one_passage_in_many_unlike_documents(spark, monkeypatch):
+    """A bucket of 20,000 sets that hardly any two of link, not found by the sample: a new order resolves it."""
+    monkeypatch.setattr(parity_join, "_frequent", lambda docs, rows: np.empty(0, np.uint64))
+    monkeypatch.setattr(parity_join, "_tiled", None)
+    rng = random.Random(17)
+    passage = " ".join(f"p{k}" for k in range(9))
+    own = [[f"w{rng.randrange(10**9)}" for _ in range(rng.randrange(12, 25))] for _ in range(20_000)]
+    rows = [(k, passage + " " + " ".join(w)) for k, w in enumerate(own)]
+    rows += [(100_000 + k, passage + " " + " ".join(own[k]) + " more") for k in range(0, 20_000, 100)]
+    got = {r["doc_id"]: r["component_id"] for r in parity_join.near_duplicates(docs(spark, rows)).collect()}
+    assert got == {d: d - 100_000 if d >= 100_000 else d for d, _ in rows}
+
+
+def test_near_pairs_against_all_pairs():
+    rng = np.random.default_rng(18)
+    base = rng.integers(0, 2**63, 400, dtype=np.uint64)
+    sets = [np.unique(np.r_[base[: rng.integers(1, 300)], rng.integers(0, 2**63, rng.integers(0, 60), dtype=np.uint64)]) for _ in range(150)]
+    sets.sort(key=len)
+    n, bits = np.array([len(x) for x in sets]), [parity_join.sketch(x) for x in sets]
+    got = sorted((x, y) for a, b in parity_join.near_pairs(n, bits) for x, y in zip(a.tolist(), b.tolist()))
+    want = [(x, y) for x in range(150) for y in range(x + 1, 150) if 100 * n[x] >= 75 * n[y] and parity_join.hamming(bits[x], bits[y]) <= parity_join.most_apart(n[x], n[y])]
+    assert got == want
+
+
 def test_parity_join_of_nothing(spark):
     assert parity_join.near_duplicates(docs(spark, [])).count() == 0
 
