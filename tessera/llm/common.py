@@ -27,6 +27,11 @@ def clean_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def text_key(column: str = "text") -> Column:
+    """128 bits that name a text; null texts and empty ones have one name."""
+    return F.unhex(F.md5(clean_text(column)))
+
+
 def release() -> None:
     """Gives memory that a worker has freed back to the system: workers are reused, and their executor's share is small."""
     pa.default_memory_pool().release_unused()

@@ -8,9 +8,11 @@ global order, chunks of frequent shingles last. The chunk's bits are too many to
 by the XOR of its bits' hashes. Candidates are pruned by the Hamming distance of short dense sketches and verified on
 whole shingle sets.
 
-Texts of one shingle set are one node. A small bucket of nodes that share a chunk gives its pairs; a large one gives
-a star, and after the verified links are resolved to components only its pairs of different components are
-examined, tile by tile, so no link is lost and no group's pairs are all written.
+Texts of one shingle set are one node, named by 128 bits. A small bucket of nodes that share a chunk gives its pairs; a
+large one gives a star. After the verified links are resolved to components only large buckets that still hold several
+are looked at: more stars join what hangs together; then their members are bucketed again, alone, with the chunks of the
+largest buckets last in the order, so that they meet by chunks that fewer share; and what after some turns is still in
+large buckets is compared pair by pair, tile by tile, in numpy. So no link is lost and no group's pairs are all written.
 """
 
 from __future__ import annotations
@@ -24,7 +26,9 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import clean_text, table, written
+from tessera.operators.graphs import roots as components
+
+from .common import clean_text, release, table, text_key, written
 
 #: Words of a shingle; sets link when 100 * intersection >= 75 * union.
 WORDS, PERCENT = 5, 75
@@ -32,8 +36,8 @@ WORDS, PERCENT = 5, 75
 FIRST, FILL = 64, 2.0
 #: Buckets up to this size give all their pairs; tiles of larger ones; bytes of chunk keys a reduce group should hold.
 SMALL, TILE, GROUP_BYTES = 24, 2048, 16_000_000
-#: Further rounds of stars in large buckets before all remaining pairs of different components are compared.
-TURNS = 1
+#: Turns of stars and of new orders before all remaining pairs of large buckets and different components are compared.
+TURNS = 2
 #: Documents in the sample that says which shingles are frequent (an order of chunks, never a filter), and how many count as such.
 SAMPLED, FREQUENT = 20_000, 200_000
 K1, K2, K3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -68,8 +72,9 @@ def shingles(text: str, known: Words) -> np.ndarray:
     return np.unique(s)
 
 
-def signature(s: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
+def signature(s: np.ndarray) -> bytes:
+    """128 bits that name a set."""
+    return xxhash.xxh3_128_digest(s.tobytes())
 
 
 def sketch(s: np.ndarray) -> bytes:
@@ -94,6 +99,28 @@ def most_apart(m: int, n: int) -> int:
     return (m + n) * (100 - PERCENT) // (100 + PERCENT)
 
 
+def near_pairs(n: np.ndarray, sketches: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Numbers x < y of sets, ascending in size ``n``, whose sketches are no farther apart than sets that link can be.
+
+    Sketches of a length make a matrix; sets that link have sizes within a third, so lengths that are the same or next.
+    """
+    long_ = np.array([len(b) for b in sketches])
+    matrix = {w: np.frombuffer(b"".join([b for b in sketches if len(b) == w]), "<u8").reshape(-1, w // 8) for w in np.unique(long_).tolist()}
+    begin = {w: int(np.searchsorted(long_, w)) for w in matrix}  # lengths ascend as sizes do
+    for w, a in matrix.items():
+        for v in (w, 2 * w):
+            if v in matrix:
+                b = matrix[v] if v == w else matrix[v][:, : w // 8] ^ matrix[v][:, w // 8 :]
+                step = max(1, 4_000_000 // max(1, len(b) * (w // 8)))
+                for k in range(0, len(a), step):
+                    apart = np.bitwise_count(a[k : k + step, None] ^ b[None]).sum(2, dtype=np.int64)
+                    x, y = np.arange(k, min(k + step, len(a))) + begin[w], np.arange(len(b)) + begin[v]
+                    both = n[x][:, None] + n[y][None]
+                    ok = (apart <= both * (100 - PERCENT) // (100 + PERCENT)) & (x[:, None] < y[None]) & (100 * n[x][:, None] >= PERCENT * n[y][None])
+                    i, j = np.nonzero(ok)
+                    yield x[i], y[j]
+
+
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= PERCENT * (len(a) + len(b) - both) > 0
@@ -106,17 +133,36 @@ def band(n: int) -> int:
     return k
 
 
-def chunk_keys(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """What the set is joined by: the first chunks of each of its bands, as 64-bit numbers."""
+def codes(key: np.ndarray, parts: int) -> np.ndarray:
+    """What is kept of chunk keys: 40 bits, and the part that the others choose."""
+    return ((key >> np.uint64(40)) % np.uint64(parts) << np.uint64(40)) | (key & np.uint64((1 << 40) - 1))
+
+
+def among(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
+    if not len(sorted_):
+        return np.zeros(len(x), bool)
+    return sorted_[np.minimum(np.searchsorted(sorted_, x), len(sorted_) - 1)] == x
+
+
+def chunk_keys(s: np.ndarray, frequent: np.ndarray, parts: int = 1, last: np.ndarray = np.empty(0, np.uint64)) -> np.ndarray:
+    """What the set is joined by: the first chunks of each of its bands, as 64-bit numbers.
+
+    The order: chunks with a shingle that isn't frequent, other chunks, and those whose codes are in ``last``.
+    """
     n = len(s)
     larger = n * 100 // PERCENT
     need = most_apart(n, larger) + 1
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-        rare = frequent[at] != s
-    else:
-        rare = np.ones(n, bool)
+    common = among(frequent, s)
     out = []
+
+    def first(key: np.ndarray, common: np.ndarray) -> np.ndarray:
+        if len(key) <= need:
+            return key
+        turn = common.astype(np.int8)
+        if len(last):
+            turn[among(last, codes(key, parts))] = 2
+        return key[np.lexsort((key, turn))[:need]]
+
     for k in {band(n), band(larger)}:
         spot = mix(s * K1 + np.uint64(k))  # the shingle's bit, as its chunk and the bit's hash
         single = n and k == 0
@@ -126,43 +172,88 @@ def chunk_keys(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
             order = np.argsort(where, kind="stable")
             start = np.flatnonzero(np.r_[True, np.diff(where[order]) > 0])
             value = np.bitwise_xor.reduceat(mix(spot ^ K2)[order], start)
-            fresh = np.bitwise_or.reduceat(rare[order], start)
             key = mix(value + where[order][start] * K3 + np.uint64(k))[value != 0]
-            fresh = fresh[value != 0]
             single = len(key) < need  # too few chunks: of two such sets, both are also joined shingle by shingle
-            out.append(_first(key, fresh, need))
+            out.append(first(key, np.bitwise_and.reduceat(common[order], start)[value != 0]))
         if single:
-            out.append(_first(mix(spot + K1), rare, need))
+            out.append(first(mix(spot + K1), common))
     return np.unique(np.concatenate(out))
 
 
-def _first(key: np.ndarray, fresh: np.ndarray, need: int) -> np.ndarray:
-    if len(key) <= need:
-        return key
-    return key[np.lexsort((key, ~fresh))[:need]]
-
-
-def _sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n, sig, sketch, at of every row of docs (doc_id, text, at)."""
+class Blobs:
+    """Chunk keys of sets dealt to ``parts`` groups: (part, blob) rows; of a key 40 bits are kept, what they confuse is
+    verified."""
+
+    def __init__(self, parts: int):
+        self.parts, self.keys, self.sigs, self.sizes, self.held = parts, [], [], [], 0
+
+    def add(self, keys: np.ndarray, sig: bytes, size: int) -> bool:
+        """Whether it is time to write them."""
+        self.keys.append(keys)
+        self.sigs.append(sig)
+        self.sizes.append(size)
+        self.held += len(keys)
+        return self.held > 1_000_000 or len(self.keys) >= 60_000
+
+    def rows(self) -> tuple[np.ndarray, list[bytes]]:
+        if not self.keys:
+            return np.empty(0, np.int64), []
+        k, o = np.concatenate(self.keys), np.repeat(np.arange(len(self.keys)), list(map(len, self.keys)))
+        part = ((k >> np.uint64(40)) % np.uint64(self.parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        k, o, part = k[order], o[order], part[order]
+        edge = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])
+        names, sizes = np.frombuffer(b"".join(self.sigs), "V16"), np.array(self.sizes, np.uint32)
+        blobs = []
+        for a, b in zip(edge[:-1], edge[1:]):
+            mine, ref = np.unique(o[a:b], return_inverse=True)
+            blobs.append(b"".join([np.uint32(len(mine)).tobytes(), names[mine].tobytes(), sizes[mine].tobytes(), ref.astype(np.uint16).tobytes(), k[a:b].view(np.uint8).reshape(-1, 8)[:, :5].tobytes()]))
+        self.keys, self.sigs, self.sizes, self.held = [], [], [], 0
+        return part[edge[:-1]], blobs
+
+
+def _sketched(docs: DataFrame, parts: int, frequent) -> DataFrame:
+    """In one pass over docs (doc_id, text, at) two kinds of rows: doc_id, n, sig, sketch, at of every row, and part, blob
+    of the sets' chunk keys."""
+    schema = "doc_id long, n long, sig binary, sketch binary, at binary, part long, blob binary"
+    names = ["doc_id", "n", "sig", "sketch", "at", "part", "blob"]
 
     def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words()
-        for frame in frames:
-            n, sig, bits = [], [], []
-            for t in frame.column(1):
-                s = shingles(t.as_py() or "", known)
-                n.append(len(s))
-                sig.append(signature(s))
-                bits.append(sketch(s))
-            yield pa.RecordBatch.from_arrays([frame.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array(bits, pa.binary()), frame.column(2)], ["doc_id", "n", "sig", "sketch", "at"])
-
-    return docs.mapInArrow(batches, "doc_id long, n long, sig long, sketch binary, at long")
+        known, done, common, blobs = Words(), set(), frequent.value, Blobs(parts)
+
+        def written_out() -> pa.RecordBatch:
+            which, held = blobs.rows()
+            none = [pa.nulls(len(held), t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())]
+            return pa.RecordBatch.from_arrays([*none, pa.array(which, pa.int64()), pa.array(held, pa.binary())], names)
+
+        for whole in frames:
+            for k in range(0, whole.num_rows, 2000):
+                frame = whole.slice(k, 2000)
+                n, sigs, bits = [], [], []
+                for t in frame.column(1):
+                    s = shingles(t.as_py() or "", known)
+                    sig = signature(s)
+                    n.append(len(s))
+                    sigs.append(sig)
+                    bits.append(sketch(s))
+                    if len(s) and sig not in done:
+                        if len(done) > 300_000:
+                            done.clear()
+                        done.add(sig)
+                        if blobs.add(chunk_keys(s, common, parts), sig, len(s)):
+                            yield written_out()
+                none = [pa.nulls(len(n), t) for t in (pa.int64(), pa.binary())]
+                yield pa.RecordBatch.from_arrays([frame.column(0), pa.array(n, pa.int64()), pa.array(sigs, pa.binary()), pa.array(bits, pa.binary()), frame.column(2), *none], names)
+        yield written_out()
+        release()
+
+    return docs.mapInArrow(batches, schema)
 
 
 def _frequent(docs: DataFrame, rows: int) -> np.ndarray:
     """Shingles in several of a bounded sample of documents; at most FREQUENT of them."""
     every = max(1, rows // SAMPLED)
-    some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
+    some = docs.filter(F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(every)) == 0)
 
     def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words()
@@ -176,79 +267,67 @@ def _frequent(docs: DataFrame, rows: int) -> np.ndarray:
     return np.sort(top.to_numpy(np.int64).view(np.uint64))
 
 
-def _buckets(docs: DataFrame, parts: int, frequent) -> DataFrame:
-    """part, blob: chunk keys dealt to ``parts`` groups; of a blob's keys 40 bits are kept, what they confuse is verified."""
+def _bucketed(texts: DataFrame, parts: int, frequent, last) -> DataFrame:
+    """part, blob of the sets of texts (sig, z), chunks with codes in ``last`` coming last."""
 
     def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, done, common = Words(), set(), frequent.value
-        for frame in frames:
-            keys, owner, sigs, sizes = [], [], [], []
-
-            def flush() -> pa.RecordBatch:
-                k, o = np.concatenate(keys), np.repeat(np.arange(len(keys)), list(map(len, keys)))
-                part = ((k >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                k, o, part = k[order], o[order], part[order]
-                edge = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])
-                table_, size_ = np.array(sigs, np.int64), np.array(sizes, np.uint32)
-                blobs = []
-                for a, b in zip(edge[:-1], edge[1:]):
-                    mine, ref = np.unique(o[a:b], return_inverse=True)
-                    blobs.append(b"".join([np.uint32(len(mine)).tobytes(), table_[mine].tobytes(), size_[mine].tobytes(), ref.astype(np.uint16).tobytes(), k[a:b].view(np.uint8).reshape(-1, 8)[:, :5].tobytes()]))
-                which = part[edge[:-1]]
-                keys.clear(), sigs.clear(), sizes.clear()
-                return pa.RecordBatch.from_arrays([pa.array(which), pa.array(blobs, pa.binary())], ["part", "blob"])
-
-            held = 0
-            for t in frame.column(1):
-                s = shingles(t.as_py() or "", known)
-                sig = signature(s)
-                if not len(s) or sig in done:
-                    continue
-                if len(done) > 500_000:
-                    done.clear()
-                done.add(sig)
-                keys.append(chunk_keys(s, common))
-                sigs.append(sig)
-                sizes.append(len(s))
-                held += len(keys[-1])
-                if held > 2_000_000 or len(keys) >= 60_000:
-                    yield flush()
-                    held = 0
-            if keys:
-                yield flush()
-
-    return docs.mapInArrow(batches, "part long, blob binary")
+        z, known, blobs = zstandard.ZstdDecompressor(), Words(), Blobs(parts)
+
+        def written_out() -> pa.RecordBatch:
+            which, held = blobs.rows()
+            return pa.RecordBatch.from_arrays([pa.array(which, pa.int64()), pa.array(held, pa.binary())], ["part", "blob"])
+
+        for f in frames:
+            for sig, raw in zip(f.column(0), f.column(1)):
+                s = shingles(z.decompress(raw.as_py()).decode("utf-8", "surrogatepass"), known)
+                if blobs.add(chunk_keys(s, frequent.value, parts, last.value), sig.as_py(), len(s)):
+                    yield written_out()
+        yield written_out()
+        release()
+
+    return texts.select("sig", "z").mapInArrow(batches, "part long, blob binary")
+
+
+def _named(names: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(16), len(names), [None, pa.py_buffer(np.ascontiguousarray(names).tobytes())]).cast(pa.binary())
 
 
 def _candidates(blobs: DataFrame) -> DataFrame:
     """a, b, key: pairs of nodes to compare (key null), and the members a of buckets that are too large for that (b null)."""
 
     def group(t: pa.Table) -> pa.Table:
-        key, sig, size = [], [], []
+        key, doc, names, sizes, shift = [], [], [], [], 0
         for x in t.column("blob"):
             raw = x.as_py()
             n = int.from_bytes(raw[:4], "little")
-            at = 4 + 12 * n
+            at = 4 + 20 * n
             count = (len(raw) - at) // 7
-            ref = np.frombuffer(raw, np.uint16, count, at)
             wide = np.zeros((count, 8), np.uint8)
             wide[:, :5] = np.frombuffer(raw, np.uint8, 5 * count, at + 2 * count).reshape(-1, 5)
             key.append(wide.view(np.int64).ravel())
-            sig.append(np.frombuffer(raw, np.int64, n, 4)[ref])
-            size.append(np.frombuffer(raw, np.uint32, n, 4 + 8 * n)[ref])
-        key, sig, size = np.concatenate(key), np.concatenate(sig), np.concatenate(size).astype(np.int64)
+            doc.append(np.frombuffer(raw, np.uint16, count, at).astype(np.int32) + shift)
+            names.append(np.frombuffer(raw, "V16", n, 4))
+            sizes.append(np.frombuffer(raw, np.uint32, n, 4 + 16 * n))
+            shift += n
+        key, doc, names, sizes = (np.concatenate(x) for x in (key, doc, names, sizes))
         order = np.argsort(key, kind="stable")
-        key = key[order]
+        key, doc = key[order], doc[order]
         many = np.zeros(len(key), bool)
         same = key[1:] == key[:-1]
         many[1:] |= same
         many[:-1] |= same
-        key, sig, size = key[many], sig[order][many], size[order][many]
-        order = np.lexsort((sig, key))
-        key, sig, size = key[order], sig[order], size[order]
-        new = np.r_[True, (key[1:] != key[:-1]) | (sig[1:] != sig[:-1])] if len(key) else np.empty(0, bool)
-        key, sig, size = key[new], sig[new], size[new]
+        key, doc = key[many], doc[many]
+        # Sets by number, in the order of their names.
+        halves = names.view(">u8").reshape(-1, 2)
+        by = np.lexsort((halves[:, 1], halves[:, 0]))
+        fresh = np.r_[True, (halves[by[1:]] != halves[by[:-1]]).any(1)] if len(by) else np.empty(0, bool)
+        number = np.empty(len(by), np.int64)
+        number[by] = np.cumsum(fresh) - 1
+        names, sizes, node = names[by[fresh]], sizes[by[fresh]].astype(np.int64), number[doc]
+        order = np.lexsort((node, key))
+        key, node = key[order], node[order]
+        new = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])] if len(key) else np.empty(0, bool)
+        key, node = key[new], node[new]
         edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
         length = np.diff(np.r_[edge, len(key)])
         pairs, hot = [np.empty((0, 2), np.int64)], [np.empty((0, 2), np.int64)]
@@ -259,22 +338,23 @@ def _candidates(blobs: DataFrame) -> DataFrame:
                 pairs.append(np.stack([(start[:, None] + i).ravel(), (start[:, None] + j).ravel()], 1))
         for a, m in zip(edge[length > SMALL], length[length > SMALL]):
             pairs.append(np.stack([np.full(m - 1, a), np.arange(a + 1, a + m)], 1))
-            hot.append(np.stack([sig[a : a + m], key[a : a + m]], 1))
-        pairs, hot = np.concatenate(pairs), np.concatenate(hot)
-        p, q = size[pairs[:, 0]], size[pairs[:, 1]]
+            hot.append(np.stack([node[a : a + m], key[a : a + m]], 1))
+        pairs, hot = node[np.concatenate(pairs)], np.concatenate(hot)
+        p, q = sizes[pairs[:, 0]], sizes[pairs[:, 1]]
         pairs = pairs[100 * np.minimum(p, q) >= PERCENT * np.maximum(p, q)]
-        found = np.unique(sig[pairs], axis=0) if len(pairs) else np.empty((0, 2), np.int64)
-        part = t.column("part")[0].as_py()
-        none = np.zeros(len(found) + len(hot), bool)
-        none[: len(found)] = True
+        pairs = np.unique(pairs[:, 0] * np.int64(len(names)) + pairs[:, 1])
+        first, second = pairs // max(len(names), 1), pairs % max(len(names), 1)
+        none = np.zeros(len(pairs) + len(hot), bool)
+        none[: len(pairs)] = True
+        b = pa.concat_arrays([_named(names[second]), pa.nulls(len(hot), pa.binary())])
+        release()
         return pa.table({
-            "a": pa.array(np.r_[found[:, 0], hot[:, 0]], pa.int64()),
-            "b": pa.array(np.r_[found[:, 1], np.zeros(len(hot), np.int64)], pa.int64(), mask=~none),
-            "key": pa.array(np.r_[np.zeros(len(found), np.int64), hot[:, 1]], pa.int64(), mask=none),
-            "part": pa.array(np.full(len(none), part), pa.int64()),
+            "a": _named(names[np.r_[first, hot[:, 0]]]), "b": b,
+            "key": pa.array(np.r_[np.zeros(len(pairs), np.int64), hot[:, 1]], pa.int64(), mask=none),
+            "part": pa.array(np.full(len(none), t.column("part")[0].as_py()), pa.int64()),
         })
 
-    return blobs.groupBy("part").applyInArrow(group, "a long, b long, key long, part long")
+    return blobs.groupBy("part").applyInArrow(group, "a binary, b binary, key long, part long")
 
 
 def _near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -288,27 +368,35 @@ def _near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             keep = [hamming(x, y) <= most_apart(m, n) for m, n, x, y in zip(c["na"], c["nb"], c["sa"], c["sb"])]
             yield f.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(batches, "a long, b long")
+    return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(batches, "a binary, b binary")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs that link: both texts are brought together and their whole shingle sets compared."""
-    needed = pairs.select(F.col("a").alias("sig")).union(pairs.select(F.col("b"))).distinct().join(nodes.select("sig", "at"), "sig")
+def _texts(sigs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """sig, z: a compressed text of each set asked for."""
+    needed = sigs.distinct().join(nodes.select("sig", "at"), "sig")
 
     def pack(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=3)
         for f in frames:
-            texts = [z.compress((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in f.column(1)]
-            yield pa.RecordBatch.from_arrays([f.column(0), pa.array(texts, pa.binary())], ["at", "z"])
+            for k in range(0, f.num_rows, 1000):
+                part = f.slice(k, 1000)
+                texts = [z.compress((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.binary())], ["at", "z"])
+        release()
+
+    packed = docs.select("at", "text").mapInArrow(pack, "at binary, z binary")
+    return written(packed.join(needed, "at").dropDuplicates(["sig"]).select("sig", "z"), "texts")
 
-    packed = docs.select("at", "text").mapInArrow(pack, "at long, z binary")
-    texts = written(packed.join(needed, "at").dropDuplicates(["sig"]).select("sig", "z"), "texts")
+
+def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs that link: both texts are brought together and their whole shingle sets compared."""
+    texts = _texts(pairs.select(F.col("a").alias("sig")).union(pairs.select(F.col("b"))), docs, nodes)
     both = pairs.join(texts.toDF("b", "zb"), "b").join(texts.toDF("a", "za"), "a")
 
     def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z, known, sets = zstandard.ZstdDecompressor(), Words(), {}
 
-        def of(sig: int, raw: bytes) -> np.ndarray:
+        def of(sig: bytes, raw: bytes) -> np.ndarray:
             if sig not in sets:
                 if len(sets) > 2000:
                     sets.clear()
@@ -316,29 +404,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
             return sets[sig]
 
         for f in frames:
-            c = [f.column(k).to_pylist() for k in ("a", "za", "b", "zb")]
-            keep = [linked(of(a, x), of(b, y)) for a, x, b, y in zip(*c)]
+            keep = [linked(of(a.as_py(), x.as_py()), of(b.as_py(), y.as_py())) for a, x, b, y in zip(*[f.column(k) for k in ("a", "za", "b", "zb")])]
             yield f.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        release()
 
-    return both.select("a", "b", "za", "zb").mapInArrow(batches, "a long, b long")
-
-
-def components(links: DataFrame) -> DataFrame:
-    """node, root of every node of ``links`` (a, b): each node takes its neighbours' least root, then its root's."""
-    edges = written(links.union(links.select("b", "a")).distinct(), "edges")
-    labels = written(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).withColumnRenamed("a", "node"), "roots")
-    while True:
-        near = edges.join(labels.toDF("b", "r"), "b").groupBy(F.col("a").alias("node")).agg(F.min("r").alias("r"))
-        lower = labels.join(near, "node").select("node", F.least("root", "r").alias("root"), F.col("root").alias("was"))
-        # A root's own better root is passed to all that point at it.
-        hop = lower.groupBy(F.col("was").alias("k")).agg(F.min("root").alias("best"))
-        hop2 = lower.select(F.col("node").alias("k2"), F.col("root").alias("next"))
-        new = lower.join(hop, lower["was"] == hop["k"]).withColumn("root", F.least("root", "best")).drop("k", "best")
-        new = new.join(hop2, new["root"] == hop2["k2"], "left").select("node", F.least("root", F.coalesce("next", "root")).alias("root"), "was")
-        new = written(new, "roots")
-        if new.filter("root <> was").isEmpty():
-            return new.select("node", "root")
-        labels = new.select("node", "root")
+    return both.select("a", "b", "za", "zb").mapInArrow(batches, "a binary, b binary")
 
 
 def _across(hot: DataFrame, roots: DataFrame) -> DataFrame:
@@ -373,54 +443,74 @@ def _tiled(members: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def group(t: pa.Table) -> pa.Table:
         i, k = t.column("i")[0].as_py(), t.column("k")[0].as_py()
-        rows = sorted(zip(*[t.column(k).to_pylist() for k in ("n", "a", "root", "sketch", "tile")]))
-        keys = {a: set(ks) for a, ks in zip(t.column("a").to_pylist(), t.column("ks").to_pylist())}
         one = t.column("j")[0].as_py() == i
-        pairs = []
-        for x, (n, a, root, bits, tile) in enumerate(rows):
-            for y in range(x + 1, len(rows)):
-                n2, b, root2, bits2, tile2 = rows[y]
-                if 100 * n < PERCENT * n2:
-                    break
-                if root != root2 and (one or tile != tile2) and hamming(bits, bits2) <= most_apart(n, n2) and min(keys[a] & keys[b]) == k:
-                    pairs.append((min(a, b), max(a, b)))
-        return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
+        t = t.take(np.argsort(t.column("n").to_numpy(), kind="stable"))
+        names, keys = t.column("a").to_pylist(), [set(x) for x in t.column("ks").to_pylist()]
+        roots: dict[bytes, int] = {}
+        root = np.array([roots.setdefault(r, len(roots)) for r in t.column("root").to_pylist()])
+        n, tile, pairs = t.column("n").to_numpy(), t.column("tile").to_numpy(), []
+        for x, y in near_pairs(n, t.column("sketch").to_pylist()):
+            ok = (root[x] != root[y]) & (one | (tile[x] != tile[y]))
+            pairs += [(min(names[u], names[v]), max(names[u], names[v])) for u, v in zip(x[ok].tolist(), y[ok].tolist()) if min(keys[u] & keys[v]) == k]
+        return pa.table({"a": pa.array([p[0] for p in pairs], pa.binary()), "b": pa.array([p[1] for p in pairs], pa.binary())})
 
-    return rows.groupBy("k", "i", "j").applyInArrow(group, "a long, b long").distinct()
+    return rows.groupBy("k", "i", "j").applyInArrow(group, "a binary, b binary").distinct()
 
 
 def _prepared(docs: DataFrame) -> DataFrame:
-    text = clean_text()
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("at"))
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), clean_text().alias("text"), text_key().alias("at"))
+
+
+def _largest(mixed: DataFrame) -> np.ndarray:
+    """Codes of the largest buckets, at most FREQUENT."""
+    top = mixed.groupBy("part", "key").agg(F.max("m").alias("m")).orderBy(F.desc("m"), "part", "key").limit(FREQUENT).toPandas()
+    return np.sort((top["part"].to_numpy(np.uint64) << np.uint64(40)) | top["key"].to_numpy(np.uint64))
 
 
 def jaccard_join(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows (doc_id, n, sig, at) of ``docs`` (doc_id, text); verified links (a, b) of sets; (node, root) of linked sets.
 
-    Rows of one shingle set have one ``sig``, 64 bits of the set's hash. Links are all those that decide the components:
-    pairs in small buckets, stars in large ones, and there every pair that the stars leave in different components.
+    Rows of one shingle set have one ``sig``, 128 bits of the set's hash, and ``at`` is :func:`common.text_key`. Links are
+    all those that decide the components: pairs in small buckets, stars in large ones, and there every pair that the stars
+    leave in different components.
     """
     spark = docs.sparkSession
     docs = _prepared(docs)
-    base = written(_sets(docs), "sets")
-    rows, total = base.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    rows, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     frequent = spark.sparkContext.broadcast(_frequent(docs, rows))  # at most FREQUENT numbers
-    parts = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + total * 5 // GROUP_BYTES)
-    found = written(_candidates(_buckets(docs, parts, frequent)), "candidates")
+    # About a shingle for 6 bytes of text, a chunk key of 7 bytes for every third.
+    parts = min(1 << 22, max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + size * 7 // 18 // GROUP_BYTES))
+    sketched = written(_sketched(docs, parts, frequent), "sets")
+    base = sketched.filter("n IS NOT NULL").select("doc_id", "n", "sig", "sketch", "at")
+    found = written(_candidates(sketched.filter("part IS NOT NULL").select("part", "blob")), "candidates")
     nodes = base.filter("n > 0").groupBy("sig").agg(F.min(F.struct("at", "n", "sketch")).alias("x")).select("sig", "x.*")
     nodes = written(nodes, "nodes")
-    links = written(_verified(written(_near(found.filter("key IS NULL").select("a", "b").distinct(), nodes), "near"), docs, nodes), "links")
-    roots = components(links)
-    hot = found.filter("key IS NOT NULL").select("part", "key", "a")
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        return written(_verified(written(_near(pairs, nodes), "near"), docs, nodes), "links")
+
+    links = checked(found.filter("key IS NULL").select("a", "b").distinct())
+    roots, last = components(links), np.empty(0, np.uint64)
     for turn in range(TURNS + 1):
-        mixed = written(_across(hot, roots), "mixed")
+        mixed = written(_across(found.filter("key IS NOT NULL").select("part", "key", "a"), roots), "mixed")
         if mixed.isEmpty():
             break
-        # Stars around other members join most of what is left; the last turn compares all pairs of different roots.
-        near = _near(_starred(mixed, turn), nodes) if turn < TURNS else _tiled(mixed, nodes)
-        more = written(_verified(written(near, "near"), docs, nodes), "links")
-        links = links.union(more)
+        # Stars around other members join most of what is left.
+        links = links.union(checked(_starred(mixed, turn)))
         roots = components(links)
+        mixed = written(_across(mixed.select("part", "key", "a"), roots), "mixed")
+        if mixed.isEmpty():
+            break
+        if turn == TURNS:
+            links = links.union(checked(_tiled(mixed, nodes)))
+            roots = components(links)
+        else:
+            # Any two of these that link meet again in the new order, in a bucket that is small or still large.
+            last = np.union1d(last, _largest(mixed))  # at most TURNS x FREQUENT numbers
+            texts = _texts(mixed.select(F.col("a").alias("sig")), docs, nodes)
+            found = written(_candidates(_bucketed(texts, parts, frequent, spark.sparkContext.broadcast(last))), "candidates")
+            links = links.union(checked(found.filter("key IS NULL").select("a", "b").distinct()))
+            roots = components(links)
     return base, links, roots
 
 
