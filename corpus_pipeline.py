@@ -37,7 +37,7 @@ def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     gone = rows.join(first, "sig").filter("row <> first").select("row.doc_id", "row.at").distinct()
     again = rows.groupBy("row").count().filter("count > 1").select("row.doc_id", "row.at")
     names = docs.columns
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(common.clean_text()).alias("hash"))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"), F.col("doc_id").cast("long").alias("id"), common.text_key().alias("hash"))
     same = lambda keys: F.col("id").eqNullSafe(keys["doc_id"]) & (F.col("hash") == keys["at"])
     out = keyed.join(gone, same(gone), "left_anti")
     if not again.isEmpty():  # equal rows, of which one stays
