@@ -8,11 +8,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import lineage
 from tessera.functions.arrays import bind, running_max, running_sums
-from tessera.functions.lineage import shared_dir, written
+from tessera.functions.lineage import shared_dir
 
 __all__ = ["SPACES", "WORD", "bind", "clean_text", "release", "running_max", "running_sums", "shared_dir", "table", "written"]
 
+#: Rows that go to a Python worker at once while a table is written; texts are long, and an executor's memory small.
+BATCH_ROWS = 2000
 #: What separates words in every contract: the space and the five ASCII control spaces.
 SPACES = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -27,6 +30,17 @@ def clean_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def written(df: DataFrame, what: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read back: lineage ends there and a lost executor costs nothing."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(name)
+    conf.set(name, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+    try:
+        return lineage.written(df, what)
+    finally:
+        conf.set(name, before)
+
+
 def text_key(column: str = "text") -> Column:
     """128 bits that name a text; null texts and empty ones have one name."""
     return F.unhex(F.md5(clean_text(column)))
