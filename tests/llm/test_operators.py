@@ -305,19 +305,36 @@ def test_spans_clear_of_others(spark):
 # Fingerprints
 
 
-@pytest.mark.parametrize("size", [3, 2000])
+def plain_sketch(text):
+    """The hashes themselves are Spark's; which are kept, and their order, is worked out here."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    return [tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))] if words else []
+
+
+@pytest.mark.parametrize("size", [3, 20, 2000])
 def test_fingerprints_of_edited_texts(spark, monkeypatch, size):
+    """Every column: hot ids and null ids in several ranges, repeated rows, empty and long texts."""
     monkeypatch.setattr(fingerprints, "RANGE_ROWS", size)
     rng = random.Random(2)
-    rows = [*ODD] + [(rng.choice([None, 1, 5, 7, -3, 100]), rng.choice([None, "", "a", " x  y ", "a b c d e f", "k " * 40])) for _ in range(60)]
-    order = sorted(((d, t or "") for d, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    rows = [*ODD] + [(rng.choice([None, None, 1, 5, 5, 5, 7, -3, 100, rng.randrange(1000)]), rng.choice([None, "", "a", " x  y ", "a b c d e f", "k " * 40, " ".join(rng.choice("abcdefg") for _ in range(60))])) for _ in range(120)]
+    names = {r["text"]: r["h"] for r in spark.createDataFrame([(t or "",) for _, t in rows], "text string").select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(((d, t or "") for d, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, names[r[1]], r[1]))
+    edited = [t[: len(t) - len(t) // 2] + order[(i + 1) % len(order)][1][: len(t) // 2] for i, (_, t) in enumerate(order)]
+    shingles = sorted({w for t in [*edited, *(t for _, t in order)] for w in plain_sketch(t)})
+    hashed = {tuple(r["w"]): r["h"] for r in spark.createDataFrame([(list(w),) for w in shingles], "w array<string>").select("w", F.xxhash64("w").alias("h")).collect()}
+
+    def kept(t):
+        found = {hashed[w] for w in plain_sketch(t)}
+        return {h for h in found if h < -(1 << 63) + (1 << 64) // fingerprints.SCALE} | ({min(found)} if found else set())
+
+    shown = lambda s: ",".join(f"{h % (1 << 64):X}" for h in sorted(s))
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
     want = []
     for i, (d, t) in enumerate(order):
-        half = len(t) // 2
-        want.append((d, len(t), hashlib.sha256((t[: len(t) - half] + order[(i + 1) % len(order)][1][:half]).encode()).hexdigest()))
+        a, b, c = kept(t), kept(edited[i]), kept(order[(i + 1) % len(order)][1])
+        want.append((d, len(t), hashlib.sha256(edited[i].encode()).hexdigest(), shown(a), shown(b), round(like(a, b), 9), round(like(a, c), 9)))
     got = fingerprints.fingerprints(docs(spark, rows, True)).collect()
-    assert sorted([(r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got], key=key) == sorted(want, key=key)
-    assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in got)
+    assert sorted([(r["doc_id"], r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in got], key=key) == sorted(want, key=key)
     assert fingerprints.fingerprints(docs(spark, [])).count() == 0
 
 
