@@ -122,6 +122,12 @@ def norms(n: int, who: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return np.sqrt(np.bincount(who, weight.astype(np.float64) ** 2, n)) + 1e-9
 
 
+def folded(marks: list[str], alpha: np.ndarray) -> np.ndarray:
+    """The table of a weight per subsequence that gives the sum of the landmarks' normalised kernels times ``alpha``."""
+    who, which, weight = entries(marks)
+    return np.bincount(which, weight * (alpha / norms(len(marks), who, weight))[who], SIZE)
+
+
 class Model:
     """The folded table: score of a word = sum of its subsequences' weights over its norm, plus the offset."""
 
@@ -285,9 +291,7 @@ def _fit_words(bags: list[list[str]], labels: np.ndarray, rng: np.random.Generat
         heavy = np.sqrt([min(counted[w], 100) for w in positives])
         cost = 4 * np.r_[heavy, np.repeat(heavy, 3) * 0.3, np.sqrt([min(good[w], 100) for w in negatives])]
         w = _svm(x, signs, cost)
-        weights = np.zeros(SIZE, np.float32)
-        weights[held] = basis[1:] @ (root @ w[:-1])
-        model = Model(weights, float(w[-1]))
+        model = Model(folded(marks, root @ w[:-1]), float(w[-1]))
         if turn < ROUNDS - 1:
             known = {w for b in bad for w in b}
             known = dict(zip(known, model.words(list(known)).tolist()))

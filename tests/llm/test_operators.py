@@ -519,6 +519,32 @@ def test_toxicity_learns_gapped_insults():
     assert model.words(["idxiot", "i-d-i-o-t", "moroon"]).min() > plain
 
 
+def test_folded_table_equals_the_kernel():
+    """A word's score by the table against sums over all pairs of equal subsequences with every landmark."""
+    code = lambda c: 1 + ord(c) - ord("a") if "a" <= c <= "z" else 0 if c in "-. " else c
+
+    def subsequences(word):
+        w = ["start", *map(code, word), "end"]
+        return [((w[i], w[j], w[k]), toxicity.DECAY ** (k - i - 2)) for i in range(len(w)) for j in range(i + 1, len(w)) for k in range(j + 1, min(len(w), i + toxicity.SPAN)) if 0 not in (w[i], w[j], w[k])]
+
+    norm = lambda xs: sum(y * y for _, y in xs) ** 0.5
+    kernel = lambda a, b: sum(x * y for s, x in a for t, y in b if s == t) / (norm(a) * norm(b))
+    rng = random.Random(20)
+    marks, alpha = ["idiot", "moron", "scum", "дебил", "a", "abab"], np.array([1.5, -0.5, 2.0, 1.0, 0.3, -2.0])
+    words = ["idiot", "i-d-i-o-t", "idxiot", "abababab", "дебилы", "b", *("".join(rng.choice("abdimort") for _ in range(7)) for _ in range(20))]
+    got = toxicity.Model(toxicity.folded(marks, alpha), 0.25).words(words)
+    for w, score in zip(words, got):
+        assert abs(score - 0.25 - sum(a * kernel(subsequences(w), subsequences(m)) for a, m in zip(alpha, marks))) < 1e-5
+
+
+def test_held_out_quality_on_the_given_tables(spark):
+    data = "/root/testdata/sf0.1"
+    found = toxicity.op1_toxicity(spark, data).filter("held_out").join(spark.read.parquet(f"{data}/labels.parquet"), "doc_id").collect()
+    caught = [r["predicted"] for r in found if r["toxic"] == 1]
+    flagged = [r["predicted"] for r in found if r["toxic"] == 0]
+    assert sum(caught) >= 0.9 * len(caught) > 0 and sum(flagged) <= 0.01 * len(flagged)
+
+
 def test_toxicity_tells_letters_of_any_script_apart():
     rng = random.Random(7)
     for letters, insults in (("абвгдежзиклмнопрст", ["дебил", "мразь", "сволочь"]), ("αβγδεζηθικλμνξοπρστ", ["βλακας", "ηλιθιος", "καθικι"]), ("éèàâôûîçëïüöä", ["éèàâôû", "çëïüö", "äöüéà"])):
