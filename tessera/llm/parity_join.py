@@ -10,9 +10,9 @@ whole shingle sets.
 
 Texts of one shingle set are one node, named by 128 bits. A small bucket of nodes that share a chunk gives its pairs; a
 large one gives a star. After the verified links are resolved to components only large buckets that still hold several
-are looked at: more stars join what hangs together; then their members are bucketed again, alone, with the chunks of the
-largest buckets last in the order, so that they meet by chunks that fewer share; and what after some turns is still in
-large buckets is compared pair by pair, tile by tile, in numpy. So no link is lost and no group's pairs are all written.
+are looked at: more stars join what hangs together; then, unless comparing what is left is cheap, their members are
+bucketed again, alone, with the chunks of the largest buckets last in the order, so that they meet by chunks that fewer
+share; and what is still in large buckets is compared pair by pair, tile by tile, in numpy. So no link is lost and no group's pairs are all written.
 """
 
 from __future__ import annotations
@@ -36,8 +36,9 @@ WORDS, PERCENT = 5, 75
 FIRST, FILL = 64, 2.0
 #: Buckets up to this size give all their pairs; tiles of larger ones; bytes of chunk keys a reduce group should hold.
 SMALL, TILE, GROUP_BYTES = 24, 2048, 16_000_000
-#: Turns of stars and of new orders before all remaining pairs of large buckets and different components are compared.
-TURNS = 2
+#: Turns of stars and new orders before what is left in large buckets is compared pair by pair; or sooner, where that is no
+#: more than so many pairs of sketches a document, less work than making its set.
+TURNS, CHEAP = 2, 4000
 #: Documents in the sample that says which shingles are frequent (an order of chunks, never a filter), and how many count as such.
 SAMPLED, FREQUENT = 20_000, 200_000
 K1, K2, K3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -501,16 +502,17 @@ def jaccard_join(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         mixed = written(_across(mixed.select("part", "key", "a"), roots), "mixed")
         if mixed.isEmpty():
             break
-        if turn == TURNS:
+        pairs = mixed.groupBy("part", "key").agg(F.max("m").cast("double").alias("m")).agg(F.sum(F.col("m") * F.col("m"))).first()[0]
+        if turn == TURNS or pairs <= CHEAP * rows:
             links = links.union(checked(_tiled(mixed, nodes)))
             roots = components(links)
-        else:
-            # Any two of these that link meet again in the new order, in a bucket that is small or still large.
-            last = np.union1d(last, _largest(mixed))  # at most TURNS x FREQUENT numbers
-            texts = _texts(mixed.select(F.col("a").alias("sig")), docs, nodes)
-            found = written(_candidates(_bucketed(texts, parts, frequent, spark.sparkContext.broadcast(last))), "candidates")
-            links = links.union(checked(found.filter("key IS NULL").select("a", "b").distinct()))
-            roots = components(links)
+            break
+        # Any two of these that link meet again in the new order, in a bucket that is small or still large.
+        last = np.union1d(last, _largest(mixed))  # at most TURNS x FREQUENT numbers
+        texts = _texts(mixed.select(F.col("a").alias("sig")), docs, nodes)
+        found = written(_candidates(_bucketed(texts, parts, frequent, spark.sparkContext.broadcast(last))), "candidates")
+        links = links.union(checked(found.filter("key IS NULL").select("a", "b").distinct()))
+        roots = components(links)
     return base, links, roots
 
 

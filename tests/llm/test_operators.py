@@ -149,6 +149,7 @@ def test_parity_join_in_large_buckets(spark, monkeypatch, turns):
     """Nearly all buckets are large: their pairs come from stars, new orders and tiles."""
     monkeypatch.setattr(parity_join, "SMALL", 3)
     monkeypatch.setattr(parity_join, "TURNS", turns)
+    monkeypatch.setattr(parity_join, "CHEAP", 0)
     monkeypatch.setattr(parity_join, "TILE", 40)
     monkeypatch.setattr(parity_join, "_frequent", lambda docs, rows: np.empty(0, np.uint64))
     rows = chains(5)[:700]
@@ -156,9 +157,8 @@ def test_parity_join_in_large_buckets(spark, monkeypatch, turns):
 
 
 def test_one_passage_in_many_unlike_documents(spark, monkeypatch):
-    """A bucket of 20,000 sets that hardly any two of link, not found by the sample: a new order resolves it."""
+    """A bucket of 20,000 sets of which hardly any two link, not found by the sample: a new order leaves little of it."""
     monkeypatch.setattr(parity_join, "_frequent", lambda docs, rows: np.empty(0, np.uint64))
-    monkeypatch.setattr(parity_join, "_tiled", None)
     rng = random.Random(17)
     passage = " ".join(f"p{k}" for k in range(9))
     own = [[f"w{rng.randrange(10**9)}" for _ in range(rng.randrange(12, 25))] for _ in range(20_000)]
