@@ -54,7 +54,7 @@ class Words(dict):
     """Hashes of words, remembered."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -194,7 +194,7 @@ class Blobs:
         self.sigs.append(sig)
         self.sizes.append(size)
         self.held += len(keys)
-        return self.held > 1_000_000 or len(self.keys) >= 60_000
+        return self.held > 500_000 or len(self.keys) >= 60_000
 
     def rows(self) -> tuple[np.ndarray, list[bytes]]:
         if not self.keys:
@@ -238,7 +238,7 @@ def _sketched(docs: DataFrame, parts: int, frequent) -> DataFrame:
                     sigs.append(sig)
                     bits.append(sketch(s))
                     if len(s) and sig not in done:
-                        if len(done) > 300_000:
+                        if len(done) > 100_000:
                             done.clear()
                         done.add(sig)
                         if blobs.add(chunk_keys(s, common, parts), sig, len(s)):
@@ -399,9 +399,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
         def of(sig: bytes, raw: bytes) -> np.ndarray:
             if sig not in sets:
-                if len(sets) > 2000:
+                found = shingles(z.decompress(raw).decode("utf-8", "surrogatepass"), known)
+                if len(sets) > 2000 or len(found) > 4000:  # long ones are few; they are made again
                     sets.clear()
-                sets[sig] = shingles(z.decompress(raw).decode("utf-8", "surrogatepass"), known)
+                sets[sig] = found
             return sets[sig]
 
         for f in frames:
