@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.arrays import bind, occurrences
+from tessera.functions.automaton import Automaton
 
 
 def as_bytes(text: Column) -> Column:
@@ -70,19 +72,32 @@ def find_first(text: Column, pattern: str) -> Column:
     return (F.instr(text, pattern) - 1).cast("long") if pattern else F.lit(-1).cast("long")
 
 
+FOUND = "struct<pos:bigint,pid:bigint>"
+
+
 def find_patterns(df: DataFrame, text: str, patterns: list[str]) -> DataFrame:
-    """The rows with ``pos`` and ``pid`` of every occurrence of every pattern; a pattern listed twice keeps its last id."""
-    ids = {p: k for k, p in enumerate(patterns) if p}
-    each = [F.transform(occurrences(F.col(text), p), lambda x: F.struct(x.cast("long").alias("pos"), F.lit(k).cast("long").alias("pid"))) for p, k in ids.items()]
-    return df.withColumn("m", F.explode(F.concat(*each))).withColumns({"pos": F.col("m.pos"), "pid": F.col("m.pid")}).drop("m")
+    """The rows with ``pos`` and ``pid`` of every occurrence of every pattern; a pattern listed twice keeps its last id.
+
+    One automaton of all patterns passes once over each text, in Arrow batches, so the cost doesn't grow with their
+    number. A null text has none.
+    """
+    automaton = Automaton({p: k for k, p in enumerate(patterns)})
+
+    def found(texts: pd.Series) -> pd.Series:
+        return pd.Series([[] if t is None else [(end - n + 1, k) for end, k, n in automaton.matches(t)] for t in texts], dtype=object)
+
+    return df.withColumn("m", F.explode(F.pandas_udf(found, f"array<{FOUND}>")(F.col(text)))).withColumns({"pos": F.col("m.pos"), "pid": F.col("m.pid")}).drop("m")
 
 
 def find_first_pattern(text: Column, patterns: list[str]) -> Column:
     """Struct (pos, pid) of the occurrence that ends first, the longest of those; pos -1 and pid null if none."""
-    ids = {p: k for k, p in enumerate(patterns) if p}
-    first = [F.when(F.instr(text, p) > 0, F.struct((F.instr(text, p) + len(p) - 2).alias("end"), F.lit(-len(p)).alias("size"), (F.instr(text, p) - 1).cast("long").alias("pos"), F.lit(k).cast("long").alias("pid"))) for p, k in ids.items()]
-    best = F.array_min(F.filter(F.array(*first), lambda x: x.isNotNull()))
-    return F.struct(F.coalesce(best["pos"], F.lit(-1)).cast("long").alias("pos"), best["pid"].alias("pid"))
+    automaton = Automaton({p: k for k, p in enumerate(patterns)})
+
+    def first(texts: pd.Series) -> pd.DataFrame:
+        hits = [None if t is None else next(automaton.matches(t), None) for t in texts]
+        return pd.DataFrame({"pos": [-1 if h is None else h[0] - h[2] + 1 for h in hits], "pid": pd.array([None if h is None else h[1] for h in hits], dtype="Int64")})
+
+    return F.pandas_udf(first, "pos bigint, pid bigint")(text)
 
 
 def prefixes_of(words: DataFrame, longest: int) -> DataFrame:

@@ -13,10 +13,12 @@ def windowed_multiset(stream: DataFrame, width: str, late: str) -> DataFrame:
 
 
 def windowed_majority(stream: DataFrame, width: str, late: str) -> DataFrame:
-    """start, n, top, candidate: the exact counts of a window folded to its most frequent key in one state."""
+    """start, candidate, top, n, is_majority: of each window the most frequent key (ties: the least), its count, all events,
+    and whether it has more than half. Counts are kept by window and key, so no state holds all keys of a window."""
     rows = stream.select(F.col("ts").cast("timestamp").alias("ts"), "key").withWatermark("ts", late)
-    windows = rows.groupBy(F.window("ts", width).alias("w")).agg(F.mode("key", True).alias("candidate"), F.count("*").alias("n"))
-    return windows.select(F.col("w.start").alias("start"), "candidate", "n")
+    counts = rows.groupBy(F.window("ts", width).alias("w"), "key").agg(F.count("*").alias("c"))
+    whole = counts.groupBy(F.window(F.window_time("w"), width).alias("v")).agg(F.min_by("key", F.struct(-F.col("c"), F.col("key"))).alias("candidate"), F.max("c").alias("top"), F.sum("c").alias("n"))
+    return whole.select(F.col("v.start").alias("start"), "candidate", "top", "n", (F.col("top") * 2 > F.col("n")).alias("is_majority"))
 
 
 def sessions(stream: DataFrame, gap: str, late: str) -> DataFrame:

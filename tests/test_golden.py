@@ -425,3 +425,23 @@ def test_nulls_in_any_column(spark):
     assert lookup.asof_backward(s.select("grp", F.col("pos").alias("t"), F.lit(1).alias("id")), s.select("grp", F.col("pos").alias("t"), "val")).count() == 4
     t = spark.createDataFrame([(None,), ("abab",)], "s string")
     assert [r[0] for r in t.select(text.find_count(F.col("s"), "ab")).collect()] in ([None, 2], [-1, 2], [0, 2])
+
+
+def test_automaton_against_every_place():
+    rng = random.Random(21)
+    from tessera.functions import automaton
+
+    for native in (None, automaton.native):
+        automaton.native = native
+        for _ in range(30):
+            patterns = {"".join(rng.choice("abé") for _ in range(rng.randrange(1, 5))): k for k in range(12)}
+            body = "".join(rng.choice("abé😀") for _ in range(200))
+            want = sorted((i + len(p) - 1, -len(p), k) for p, k in patterns.items() for i in range(len(body)) if body.startswith(p, i))
+            assert [(e, -n, k) for e, k, n in automaton.Automaton(patterns).matches(body)] == want
+        assert list(automaton.Automaton({}).matches("abc")) == list(automaton.Automaton({"": 1}).matches("abc")) == []
+
+
+def test_thousands_of_patterns(spark):
+    patterns = [f"w{k}" for k in range(5000)]
+    df = spark.createDataFrame([(1, "w12 w4999"), (2, None), (3, "")], "id long, t string")
+    assert listed(text.find_patterns(df, "t", patterns), "id", "pos", "pid") == [(1, 0, 1), (1, 0, 12), (1, 4, 4), (1, 4, 49), (1, 4, 499), (1, 4, 4999)]
