@@ -14,8 +14,9 @@ from tessera.functions.lineage import shared_dir
 
 __all__ = ["SPACES", "WORD", "bind", "clean_text", "release", "running_max", "running_sums", "shared_dir", "table", "written"]
 
-#: Rows that go to a Python worker at once while a table is written; texts are long, and an executor's memory small.
-BATCH_ROWS = 2000
+#: Rows that go to a Python worker at once, and that a Parquet reader holds at once, while a table is written: texts and blobs
+#: are long, and an executor's memory small.
+BATCH_ROWS = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.parquet.columnarReaderBatchSize": 512}
 #: What separates words in every contract: the space and the five ASCII control spaces.
 SPACES = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -32,13 +33,15 @@ def clean_text(column: str = "text") -> Column:
 
 def written(df: DataFrame, what: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read back: lineage ends there and a lost executor costs nothing."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = conf.get(name)
-    conf.set(name, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+    conf = df.sparkSession.conf
+    before = {name: conf.get(name) for name in BATCH_ROWS}
+    for name, most in BATCH_ROWS.items():
+        conf.set(name, str(min(int(before[name]), most) if int(before[name]) > 0 else most))
     try:
         return lineage.written(df, what)
     finally:
-        conf.set(name, before)
+        for name, value in before.items():
+            conf.set(name, value)
 
 
 def text_key(column: str = "text") -> Column:

@@ -29,10 +29,10 @@ from pyspark.sql import functions as F
 from .common import clean_text, release, table, written
 
 #: Bytes of a repeat, of a trigger; bytes of phrases that a reduce group should hold; characters parsed at once.
-LONG, GRAM, GROUP_BYTES, CHUNK = 100, 32, 6_000_000, 600_000
+LONG, GRAM, GROUP_BYTES, CHUNK = 100, 32, 6_000_000, 400_000
 #: Phrases of a trigger (or of a longer key) that one task compares; bytes compared at once; entries of a blob; how far
 #: above the mean, and above how many bytes, a part of the parse is dealt again.
-MANY, AT_ONCE, ENTRIES, SKEW, SKEW_BYTES = 4096, 1 << 20, 1024, 4, 1_000_000
+MANY, AT_ONCE, ENTRIES, SKEW, SKEW_BYTES = 4096, 1 << 19, 1024, 4, 1_000_000
 SPAN = LONG - GRAM + 1
 M1, M2, M3 = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53))
 BYTES = (np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
