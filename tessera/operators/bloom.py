@@ -1,4 +1,4 @@
-"""Bloom filters as tables of set bits."""
+"""Bloom filters as tables of set bits. Null keys set none and are never found; a filter of no keys holds nothing."""
 
 from __future__ import annotations
 

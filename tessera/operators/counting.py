@@ -1,4 +1,5 @@
-"""Multisets, majorities and folds."""
+"""Multisets, majorities and folds. A null key or group is one of its own; null values of a majority count as a value;
+empty tables give empty ones."""
 
 from __future__ import annotations
 

@@ -1,4 +1,8 @@
-"""Graphs of edges (src, dst[, w]) and vertices (id), by rounds of joins; each round's state is a written table."""
+"""Graphs of edges (src, dst[, w]) and vertices (id), by rounds of joins; each round's state is a written table.
+
+Edges with a null end lead nowhere, repeated edges count once (the lightest, where weights matter), an empty graph gives
+every vertex by itself.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Subsequences of arrays."""
+"""Subsequences of arrays; of a null array null, of an empty one length 0. Null elements equal nothing."""
 
 from __future__ import annotations
 

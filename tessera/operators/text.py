@@ -1,4 +1,8 @@
-"""String search, edit distances and prefix dictionaries. Positions are 0-based code points unless said otherwise."""
+"""String search, edit distances and prefix dictionaries. Positions are 0-based code points unless said otherwise.
+
+A null text gives a null distance and first place, no occurrences (a count of 0), and no pattern; an empty one is
+searched like any other.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,5 @@
-"""Heaps as ordered limits: the least or greatest rows, of all or of each group."""
+"""Heaps as ordered limits: the least or greatest rows, of all or of each group. Nulls come first ascending and last
+descending, as the columns of ``by`` say; a null group is one of its own; fewer rows than k are all given."""
 
 from __future__ import annotations
 

@@ -1,4 +1,5 @@
-"""Trees (id, parent): ancestors, lowest common ancestors, search-tree lookups."""
+"""Trees (id, parent): ancestors, lowest common ancestors, search-tree lookups. Roots have a null parent; a query of a
+vertex or key that is null or not there finds null, or nothing."""
 
 from __future__ import annotations
 
