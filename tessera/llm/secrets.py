@@ -34,8 +34,9 @@ ENCODINGS = [
     (r"^[A-Za-z0-9]++={0,2}$", 62), (r"", 64),
 ]
 RATE = 0.01
-#: Ordinary text: the chance that two of its characters agree is this much above 1/alphabet; the chance that a letter
-#: follows a digit or the other way round; the correlation of neighbours.
+#: Ordinary text: the chance that two of its characters agree is this much above 1/alphabet (that of English letters, 0.0667,
+#: less 1/26); the chance that a letter follows a digit or the other way round (names with a number or date, of one change
+#: in eight characters); the correlation of neighbours.
 EXCESS, SWITCH, NEIGHBOURS = 0.028, 0.12, 0.0
 #: Classes of lengths, by their least length; bins of -log10 p and their width.
 LENGTHS = [20, 24, 32, 40, 64, 128]

@@ -37,6 +37,7 @@ def test_bpe_equals_the_library(spark):
     rng = random.Random(1)
     rows = [*ODD, (7, "<|startoftext|>Hi <|endoftext|>x"), (8, "ΑΣ ΣΑΣ İstanbul Straße ﬁne é å don't we'll I'M"), (9, "日本語 123 ½ ² \x1c\x85 c d​e <|endoftext|")]
     rows += [(100 + i, "".join(rng.choice("aeinstr'dlmv 19.!éüßñΣİ\n\t漢😀<|>-") for _ in range(rng.randrange(80)))) for i in range(300)]
+    rows += [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     want = []
     for d, t in rows:
         e = library.encode(t or "", add_special_tokens=False)
