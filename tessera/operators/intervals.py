@@ -5,14 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import ranged
+
 
 def merge(df: DataFrame) -> DataFrame:
-    """grp, s, e of coalesced intervals; touching ones join, neighbours a unit apart don't."""
-    before = Window.partitionBy("grp").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
-    fresh = (F.col("s") > F.max("e").over(before)) | F.max("e").over(before).isNull()
-    up_to = Window.partitionBy("grp").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, 0)
-    islands = df.select("grp", "s", "e").withColumn("fresh", fresh.cast("int")).withColumn("island", F.sum("fresh").over(up_to))
-    return islands.groupBy("grp", "island").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("island")
+    """grp, s, e of coalesced intervals; touching ones join, neighbours a unit apart don't. Intervals with a null end, or
+    that end before they start, are left out; a null group is one of its own.
+
+    An interval that starts beyond all ends before it begins an island, which ends at the furthest of them before the
+    next begins. Ranges of (grp, s, e) are gone through by themselves; what a group's ranges before and after say is
+    added, so a group may be as long as the table.
+    """
+    rows = ranged(df.select("grp", "s", "e").filter("s <= e"), F.col("grp"), F.col("s"), F.col("e"))
+    inside = Window.partitionBy("grp", "_range").orderBy("s", "e")
+    tops = rows.groupBy("grp", "_range").agg(F.max("e").alias("top"))
+    earlier = Window.partitionBy("grp").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = tops.withColumn("before", F.max("top").over(earlier)).filter("before IS NOT NULL").select(F.col("grp").alias("g"), F.col("_range").alias("r"), "before")
+    # Only a range's first group can have begun before it, so this is a row a range at most.
+    met = rows.withColumn("run", F.max("e").over(inside.rowsBetween(Window.unboundedPreceding, -1)))
+    met = met.join(F.broadcast(before), F.col("g").eqNullSafe(F.col("grp")) & (F.col("r") == F.col("_range")), "left").withColumn("run", F.greatest("run", "before"))
+    islands = met.filter("run IS NULL OR s > run").select("grp", "_range", "s", "e", "run")
+    marked = met.groupBy("grp", "_range").agg(F.max("e").alias("top"), F.min_by("run", F.when(F.col("run").isNull() | (F.col("s") > F.col("run")), F.struct("s", "e"))).alias("first"))
+    later = Window.partitionBy("grp").orderBy("_range").rowsBetween(1, Window.unboundedFollowing)
+    ends = marked.withColumn("end", F.coalesce(F.first("first", ignorenulls=True).over(later), F.max("top").over(Window.partitionBy("grp"))))
+    ends = ends.select(F.col("grp").alias("g"), F.col("_range").alias("r"), "end")
+    out = islands.withColumn("next", F.lead("run").over(inside)).join(ends, F.col("g").eqNullSafe(F.col("grp")) & (F.col("r") == F.col("_range")))
+    return out.select("grp", "s", F.coalesce("next", "end").alias("e"))
 
 
 def insert(df: DataFrame, new: DataFrame) -> DataFrame:

@@ -33,11 +33,22 @@ def partition_point(lists: DataFrame, before: Column) -> DataFrame:
 
 
 def asof_backward(left: DataFrame, right: DataFrame) -> DataFrame:
-    """left (grp, t, id) with the ``val`` of the last right row (grp, t, val) at or before it."""
+    """left (grp, t, id) with the ``val`` of the last right row (grp, t, val) at or before it, null values passed over.
+
+    Ranges of (grp, t) are gone through by themselves; a group that crosses ranges gets the last value of those before.
+    """
     both = left.select("grp", "t", "id", F.lit(None).cast(dict(right.dtypes)["val"]).alias("val"), F.lit(1).alias("side")).unionByName(
         right.select("grp", "t", F.lit(None).cast(dict(left.dtypes)["id"]).alias("id"), "val", F.lit(0).alias("side")))
-    last = F.last("val", ignorenulls=True).over(Window.partitionBy("grp").orderBy("t", "side").rowsBetween(Window.unboundedPreceding, 0))
-    return both.withColumn("val", last).filter("side = 1").select("grp", "t", "id", "val")
+    rows = ranged(both, F.col("grp"), F.col("t"), F.col("side"))
+    up_to = Window.partitionBy("grp", "_range").orderBy("t", "side").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy("grp").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    latest = F.max_by("val", F.when(F.col("val").isNotNull(), F.struct("t", "side")))
+    before = rows.groupBy("grp", "_range").agg(latest.alias("latest")).withColumn("before", F.last("latest", ignorenulls=True).over(earlier))
+    before = before.filter("before IS NOT NULL").select(F.col("grp").alias("g"), F.col("_range").alias("r"), "before")
+    met = rows.withColumn("val", F.last("val", ignorenulls=True).over(up_to)).filter("side = 1")
+    # Only a range's first group can have begun before it, so this is a row a range at most.
+    met = met.join(F.broadcast(before), F.col("g").eqNullSafe(F.col("grp")) & (F.col("r") == F.col("_range")), "left")
+    return met.select("grp", "t", "id", F.coalesce("val", "before").alias("val"))
 
 
 def map_state(log: DataFrame) -> DataFrame:

@@ -11,11 +11,23 @@ from pyspark.sql import functions as F
 
 from tessera.functions.lineage import cut
 
+from .ordering import ranged
 
-def prefix(series: DataFrame, fold=F.sum) -> DataFrame:
-    """grp, pos, acc: the fold of all values up to each place."""
-    w = Window.partitionBy("grp").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return series.select("grp", "pos", fold("val").over(w).alias("acc"))
+
+def prefix(series: DataFrame, fold=F.sum, both=lambda a, b: a + b) -> DataFrame:
+    """grp, pos, acc: the fold of all values up to each place; ``both`` folds two folds.
+
+    Ranges of (grp, pos) are folded by themselves; a group that crosses ranges gets the fold of its ranges before, so a
+    group may be as long as the table.
+    """
+    rows = ranged(series.select("grp", "pos", "val"), F.col("grp"), F.col("pos"))
+    up_to = Window.partitionBy("grp", "_range").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy("grp").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy("grp", "_range").agg(fold("val").alias("total")).withColumn("before", fold("total").over(earlier))
+    before = before.filter("before IS NOT NULL").select(F.col("grp").alias("g"), F.col("_range").alias("r"), "before")
+    # Only a range's first group can have begun before it, so this is a row a range at most.
+    met = rows.withColumn("acc", fold("val").over(up_to)).join(F.broadcast(before), F.col("g").eqNullSafe(F.col("grp")) & (F.col("r") == F.col("_range")), "left")
+    return met.select("grp", "pos", F.coalesce(both(F.col("before"), F.col("acc")), "before", "acc").alias("acc"))
 
 
 def range_sum(series: DataFrame, queries: DataFrame) -> DataFrame:

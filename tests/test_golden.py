@@ -38,6 +38,19 @@ def test_interval_merge(spark):
         assert listed(intervals.merge(spans(spark, list(given_))), "s", "e") == want
 
 
+def test_interval_merge_of_one_long_group(spark):
+    rng = random.Random(23)
+    rows = [("g", s, s + rng.choice([0, 1, 5, 40, 2000])) for s in (rng.randrange(300_000) for _ in range(4000))] + [("h", 5, 6), (None, 1, 2), (None, 2, 3), ("h", None, 3), ("h", 9, 8)]
+    want = [(None, 1, 3), ("h", 5, 6)]
+    for g, s, e in sorted(r for r in rows if r[0] == "g"):
+        if want[-1][0] == "g" and s <= want[-1][2]:
+            want[-1] = ("g", want[-1][1], max(e, want[-1][2]))
+        else:
+            want.append(("g", s, e))
+    got = intervals.merge(spark.createDataFrame(rows, "grp string, s long, e long"))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_interval_insert(spark):
     old = [(1, 3), (5, 7), (9, 11)]
     for new, want in {(4, 8): [(1, 3), (4, 8), (9, 11)], (4, 10): [(1, 3), (4, 11)], (6, 7): old, (4, 12): [(1, 3), (4, 12)], (4, 5): [(1, 3), (4, 7), (9, 11)]}.items():
@@ -360,6 +373,25 @@ def test_ranges_of_long_series(spark):
         assert listed(ranges.range_fold(s, q, fold), "grp", "l", "r", "res") == sorted((g, l, r, plain(of(g, l, r))) for g, l, r in set(asked) if l <= r)
 
 
+def test_one_group_in_many_ranges(spark):
+    rng = random.Random(22)
+    values = [rng.choice([None, *range(-50, 50)]) for _ in range(3000)]
+    rows = [("g", k, v) for k, v in enumerate(values)] + [("a", 0, 1), ("z", 0, None), (None, 0, 4), (None, 1, 5)]
+    s = spark.createDataFrame(rows, "grp string, pos long, val long")
+    got = {(r["grp"], r["pos"]): r["acc"] for r in ranges.prefix(s).collect()}
+    least = {(r["grp"], r["pos"]): r["acc"] for r in ranges.prefix(s, F.min, F.least).collect()}
+    for k in range(3000):
+        seen = [v for v in values[: k + 1] if v is not None]
+        assert got["g", k] == (sum(seen) if seen else None) and least["g", k] == (min(seen) if seen else None)
+    assert got[None, 1] == 9 and got["z", 0] is None
+    asked = [("g", rng.randrange(-10, 3100), k) for k in range(300)] + [("b", 1, 1000)]
+    right = s.select("grp", F.col("pos").alias("t"), "val")
+    found = {r["id"]: r["val"] for r in lookup.asof_backward(spark.createDataFrame(asked, "grp string, t long, id long"), right).collect()}
+    for g, t, k in asked:
+        seen = [v for v in values[: max(0, t + 1)] if v is not None] if g == "g" else []
+        assert found[k] == (seen[-1] if seen else None)
+
+
 def test_search_tree_lca_without_pairs(spark):
     rng = random.Random(15)
     keys = rng.sample(range(1000), 200)
