@@ -308,13 +308,13 @@ def range_gcd(spark: SparkSession, d: str) -> DataFrame:
     return ranges.range_fold(s, middle_halves(s), lambda c: ranges.gcd(F.collect_list(c)))
 
 
-_QUANTITIES = "SELECT l_orderkey AS grp, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS pos, CAST(l_quantity AS BIGINT) AS val FROM lineitem"
+_QUANTITIES = "SELECT l_orderkey AS grp, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity) - 1 AS pos, CAST(l_quantity AS BIGINT) AS val FROM lineitem"
 
 
 @query("range_lcm", f"WITH s AS ({_QUANTITIES}), q AS (SELECT grp, count(*) // 4 AS l, least(3 * count(*) // 4, count(*) - 1) AS r FROM s GROUP BY grp) SELECT q.grp, l, r, list_reduce(list(val ORDER BY pos), lambda a, b: lcm(a, b)) AS res FROM q JOIN s ON s.grp = q.grp AND pos BETWEEN l AND r GROUP BY 1, 2, 3")
 def range_lcm(spark: SparkSession, d: str) -> DataFrame:
     """Of the quantities in the middle of each order."""
-    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber")) - 1
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_quantity")) - 1
     s = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("grp"), place.cast("long").alias("pos"), F.col("l_quantity").cast("long").alias("val"))
     return ranges.range_fold(s, middle_halves(s), lambda c: ranges.lcm(F.collect_list(c)))
 
