@@ -535,3 +535,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def op4_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+#: The same rows from all pairs that share a shingle, and components by labels that fall.
+SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS x FROM d),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+l AS MATERIALIZED (
+  SELECT p.a, p.b FROM (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_ FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2) p
+  JOIN n u ON u.doc_id = p.a JOIN n v ON v.doc_id = p.b WHERE 100 * both_ >= 75 * (u.n + v.n - both_)),
+c(id, comp) USING KEY (id) AS (
+  SELECT doc_id, doc_id FROM d UNION
+  (SELECT l.b, min(c.comp) FROM c JOIN l ON l.a = c.id JOIN recurring.c AS k ON k.id = l.b WHERE c.comp < k.comp GROUP BY 1))
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.comp AS component_id FROM d JOIN c ON c.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""

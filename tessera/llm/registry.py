@@ -20,5 +20,6 @@ QUERIES = {
 #: DuckDB SQL of the queries that SQL can express on whole tables.
 SQL: dict[str, str] = {
     "op3_neighbours": neighbours.SQL,
+    "op4_parity_join": parity_join.SQL,
     "op8_mixing": mixing.SQL,
 }
