@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import ctypes
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,9 +12,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions import lineage
 from tessera.functions.arrays import bind, running_max, running_sums
-from tessera.functions.lineage import shared_dir
+from tessera.functions.lineage import scratch, shared_dir
 
-__all__ = ["SPACES", "WORD", "bind", "clean_text", "release", "running_max", "running_sums", "shared_dir", "table", "written"]
+__all__ = ["SPACES", "WORD", "bind", "clean_text", "kept", "release", "running_max", "running_sums", "scratch", "shared_dir", "table", "text_key", "written"]
 
 #: Rows that go to a Python worker at once, and that a Parquet reader holds at once, while a table is written: texts and blobs
 #: are long, and an executor's memory small.
@@ -31,17 +33,29 @@ def clean_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read back: lineage ends there and a lost executor costs nothing."""
-    conf = df.sparkSession.conf
-    before = {name: conf.get(name) for name in BATCH_ROWS}
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    before = {name: spark.conf.get(name) for name in BATCH_ROWS}
     for name, most in BATCH_ROWS.items():
-        conf.set(name, str(min(int(before[name]), most) if int(before[name]) > 0 else most))
+        spark.conf.set(name, str(min(int(before[name]), most) if int(before[name]) > 0 else most))
     try:
-        return lineage.written(df, what)
+        yield
     finally:
         for name, value in before.items():
-            conf.set(name, value)
+            spark.conf.set(name, value)
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read back: lineage ends there and a lost executor costs nothing.
+    Within ``scratch`` it goes when that ends."""
+    with _small_batches(df.sparkSession):
+        return lineage.written(df, what)
+
+
+def kept(df: DataFrame, what: str) -> DataFrame:
+    """As :func:`written`, but the table outlives the innermost ``scratch``."""
+    with _small_batches(df.sparkSession):
+        return lineage.kept(df, what)
 
 
 def text_key(column: str = "text") -> Column:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, clean_text, table, written
+from .common import WORD, clean_text, kept, scratch, table, written
 
 WEIGHTS = (3, 1, 2)
 #: Words of a block; hash buckets that a source's order is cut into; cells of the unit interval in the schedule.
@@ -151,9 +151,11 @@ def mixed(docs: DataFrame) -> DataFrame:
     """
     names = docs.columns
     hashed = F.xxhash64("text")
-    found = mix_sources(docs.select("doc_id", "text", "source", hashed.alias("at")), carry=("at",))
-    times = found.groupBy("doc_id", "row_at").agg(F.avg((F.col("taken") / F.greatest("size", F.lit(1)) + 0.5).cast("int")).alias("times"))
-    times = times.select(F.col("doc_id").alias("i"), F.col("row_at").alias("a"), F.floor(F.col("times") + 0.5).cast("int").alias("times")).filter("times > 0")
+    with scratch(docs.sparkSession):
+        found = mix_sources(docs.select("doc_id", "text", "source", hashed.alias("at")), carry=("at",))
+        times = found.groupBy("doc_id", "row_at").agg(F.avg((F.col("taken") / F.greatest("size", F.lit(1)) + 0.5).cast("int")).alias("times"))
+        times = times.select(F.col("doc_id").alias("i"), F.col("row_at").alias("a"), F.floor(F.col("times") + 0.5).cast("int").alias("times")).filter("times > 0")
+        times = kept(times, "times")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"), F.col("doc_id").alias("id"), hashed.alias("hash"))
     met = rows.join(times, F.col("i").eqNullSafe(F.col("id")) & (F.col("a") == F.col("hash")))
     return met.select("doc", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*[F.col(f"doc.`{c}`").alias(c) for c in names])

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.graphs import roots as components
 
-from .common import clean_text, release, table, text_key, written
+from .common import clean_text, kept, release, scratch, table, text_key, written
 
 #: Words of a shingle; sets link when 100 * intersection >= 75 * union.
 WORDS, PERCENT = 5, 75
@@ -476,8 +476,13 @@ def jaccard_join(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     all those that decide the components: pairs in small buckets, stars in large ones, and there every pair that the stars
     leave in different components.
     """
+    with scratch(docs.sparkSession):
+        base, links, roots = _joined(_prepared(docs))
+        return kept(base.select("doc_id", "n", "sig", "at"), "sets"), kept(links, "links"), kept(roots, "roots")
+
+
+def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     spark = docs.sparkSession
-    docs = _prepared(docs)
     rows, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     frequent = spark.sparkContext.broadcast(_frequent(docs, rows))  # at most FREQUENT numbers
     # About a shingle for 6 bytes of text, a chunk key of 7 bytes for every third.

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import clean_text, release, table, written
+from .common import clean_text, kept, release, scratch, table, written
 
 #: Bytes of a repeat, of a trigger; bytes of phrases that a reduce group should hold; characters parsed at once.
 LONG, GRAM, GROUP_BYTES, CHUNK = 100, 32, 6_000_000, 400_000
@@ -456,7 +456,7 @@ def _repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     # Of equal texts, named by two hashes, the first has the least id; the others are found by it, not by their text.
     firsts = lines.groupBy("at", "bt").agg(F.min("o").alias("o")).withColumn("is_first", F.lit(True))
     lines = lines.join(firsts, ["o", "at", "bt"], "left").withColumn("is_first", F.coalesce("is_first", F.lit(False))).drop("bt")
-    return rows, written(lines, "lines"), marks
+    return rows, lines, marks
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -467,12 +467,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     a text's hash decides which is earlier, and of equal rows all but one lose what a copy loses; an empty table gives
     an empty table; other columns are ignored.
     """
-    rows, lines, marks = _repeats(docs)
-    listed = marks.groupBy("o", "at").agg(F.collect_list(F.struct("lo", "len")).alias("marks"))
-    wanted = lines.filter(F.col("is_first") & (F.col("n_bytes") >= LONG)).select("o", "at").join(listed, ["o", "at"], "left")
-    packed = _packed(rows.filter(F.octet_length("text") >= LONG)).join(wanted, ["o", "at"])
-    kept = written(_kept(packed), "kept").dropDuplicates(["o", "at"])
-    out = lines.join(kept, ["o", "at"], "left").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
+    with scratch(docs.sparkSession):
+        rows, lines, marks = _repeats(docs)
+        lines = kept(lines, "lines")
+        listed = marks.groupBy("o", "at").agg(F.collect_list(F.struct("lo", "len")).alias("marks"))
+        wanted = lines.filter(F.col("is_first") & (F.col("n_bytes") >= LONG)).select("o", "at").join(listed, ["o", "at"], "left")
+        packed = _packed(rows.filter(F.octet_length("text") >= LONG)).join(wanted, ["o", "at"])
+        left = kept(_kept(packed), "kept").dropDuplicates(["o", "at"])
+    out = lines.join(left, ["o", "at"], "left").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
     whole = F.col("is_first") & (F.col("copy") == 1)
     short = F.col("n_bytes") < LONG
     return out.select(
