@@ -485,3 +485,25 @@ def test_thousands_of_patterns(spark):
     patterns = [f"w{k}" for k in range(5000)]
     df = spark.createDataFrame([(1, "w12 w4999"), (2, None), (3, "")], "id long, t string")
     assert listed(text.find_patterns(df, "t", patterns), "id", "pos", "pid") == [(1, 0, 1), (1, 0, 12), (1, 4, 4), (1, 4, 49), (1, 4, 499), (1, 4, 4999)]
+
+
+def test_tables_of_a_step_go_when_it_ends(spark):
+    import os
+
+    from tessera.functions import lineage
+
+    folder = lineage.shared_dir(spark).removeprefix("file:")
+    names = lambda: {n.split("-")[0] for n in os.listdir(folder) if n.split("-")[0] in ("inner", "outer", "left")}
+    with lineage.scratch(spark):
+        outer = lineage.written(spark.range(5), "outer")
+        with lineage.scratch(spark):
+            inner = lineage.written(outer.filter("id > 1"), "inner")
+            left = lineage.kept(inner.filter("id > 2"), "left")
+        assert names() == {"outer", "left"} and left.count() == 2
+        whole = lineage.kept(left.union(outer), "left")
+    assert names() == {"left"} and whole.count() == 7
+    with pytest.raises(ZeroDivisionError):
+        with lineage.scratch(spark):
+            lineage.written(spark.range(1), "inner")
+            raise ZeroDivisionError
+    assert names() == {"left"} and not lineage._scratches()
