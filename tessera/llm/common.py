@@ -14,11 +14,14 @@ from tessera.functions import lineage
 from tessera.functions.arrays import bind, running_max, running_sums
 from tessera.functions.lineage import scratch, shared_dir
 
-__all__ = ["SPACES", "WORD", "bind", "clean_text", "kept", "release", "running_max", "running_sums", "scratch", "shared_dir", "table", "text_key", "written"]
+__all__ = ["SPACES", "WORD", "bind", "bounded_broadcasts", "clean_text", "kept", "release", "running_max", "running_sums", "scratch", "shared_dir", "table", "text_key", "written"]
 
 #: Rows that go to a Python worker at once, and that a Parquet reader holds at once, while a table is written: texts and blobs
 #: are long, and an executor's memory small.
 BATCH_ROWS = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.parquet.columnarReaderBatchSize": 512}
+#: Spark takes a join's side for small by its files, which hold repeated names many times smaller than the driver does when it
+#: builds the table to broadcast; above so many bytes of files none is broadcast unasked.
+BROADCAST_BYTES = 256 << 10
 #: What separates words in every contract: the space and the five ASCII control spaces.
 SPACES = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -58,6 +61,18 @@ def kept(df: DataFrame, what: str) -> DataFrame:
         return lineage.kept(df, what)
 
 
+@contextmanager
+def bounded_broadcasts(spark: SparkSession) -> Iterator[None]:
+    """What runs within broadcasts no table of more than BROADCAST_BYTES by itself, whatever the session allows."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before, allowed = spark.conf.get(name), spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    spark.conf.set(name, str(min(allowed, BROADCAST_BYTES)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def text_key(column: str = "text") -> Column:
     """128 bits that name a text; null texts and empty ones have one name."""
     return F.unhex(F.md5(clean_text(column)))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.graphs import roots as components
 
-from .common import clean_text, kept, release, scratch, table, text_key, written
+from .common import bounded_broadcasts, clean_text, kept, release, scratch, table, text_key, written
 
 #: Words of a shingle; sets link when 100 * intersection >= 75 * union.
 WORDS, PERCENT = 5, 75
@@ -417,7 +417,7 @@ def _across(hot: DataFrame, roots: DataFrame) -> DataFrame:
     """The members (a, root, and the number m) of large buckets that hold more than one component."""
     known = hot.join(roots.toDF("a", "root"), "a", "left").withColumn("root", F.coalesce("root", "a"))
     mixed = known.groupBy("part", "key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("m")).filter("x <> y").drop("x", "y")
-    return known.join(mixed, ["part", "key"])
+    return known.join(mixed.hint("merge"), ["part", "key"])  # files of buckets are small, their rows many
 
 
 def _starred(members: DataFrame, turn: int) -> DataFrame:
@@ -427,7 +427,7 @@ def _starred(members: DataFrame, turn: int) -> DataFrame:
     """
     parts = members.groupBy("part", "key", "root").agg(F.count("*").alias("n"), F.max(F.struct(F.xxhash64("a", F.lit(turn)), F.col("a"))).alias("first"))
     lead = parts.groupBy("part", "key").agg(F.max(F.struct("n", "first", "root")).alias("x")).select("part", "key", F.col("x.first.a").alias("lead"), F.col("x.root").alias("r"))
-    pairs = members.join(lead, ["part", "key"]).filter("root <> r")
+    pairs = members.join(lead.hint("merge"), ["part", "key"]).filter("root <> r")
     return pairs.select(F.least("a", "lead").alias("a"), F.greatest("a", "lead").alias("b")).distinct()
 
 
@@ -476,7 +476,7 @@ def jaccard_join(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     all those that decide the components: pairs in small buckets, stars in large ones, and there every pair that the stars
     leave in different components.
     """
-    with scratch(docs.sparkSession):
+    with scratch(docs.sparkSession), bounded_broadcasts(docs.sparkSession):
         base, links, roots = _joined(_prepared(docs))
         return kept(base.select("doc_id", "n", "sig", "at"), "sets"), kept(links, "links"), kept(roots, "roots")
 
@@ -532,9 +532,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     base, _, roots = jaccard_join(docs)
     least = base.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("least"))
-    rooted = least.join(roots.toDF("sig", "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("sig", "component_id")
-    out = base.select("doc_id", "n", "sig").join(named, "sig", "left")
+    # These joins run in the caller's session; a row a set is too much for the driver.
+    rooted = least.join(roots.toDF("sig", "root").hint("merge"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")).hint("merge"), "root").select("sig", "component_id")
+    out = base.select("doc_id", "n", "sig").join(named.hint("merge"), "sig", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 

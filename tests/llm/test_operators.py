@@ -184,6 +184,23 @@ def test_parity_join_of_nothing(spark):
     assert parity_join.near_duplicates(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("stage", [False])
+def test_parity_join_broadcasts_no_table_by_its_files(spark, monkeypatch, stage):
+    import corpus_pipeline
+    from tessera.llm import common
+
+    name, seen, real = "spark.sql.autoBroadcastJoinThreshold", [], parity_join.written
+    allowed = lambda: spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    monkeypatch.setattr(parity_join, "written", lambda df, what: (seen.append(allowed()), real(df, what))[1])
+    before = spark.conf.get(name)
+    assert allowed() > common.BROADCAST_BYTES
+    rows = docs(spark, [(k, f"a b c d e f g h i j k l m n o p q r s t u v w x y z {k % 3}") for k in range(9)] + [(20, "a b"), (20, "a b")])
+    out = corpus_pipeline.keep_one_of_group(spark, rows, "") if stage else parity_join.near_duplicates(rows)
+    assert len(out.collect()) == (2 if stage else 11)
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert seen and max(seen) <= common.BROADCAST_BYTES and spark.conf.get(name) == before
+
+
 def test_sketch_distance_is_a_lower_bound():
     rng = np.random.default_rng(1)
     for n in (3, 70, 900):
