@@ -32,17 +32,17 @@ def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     base, _, roots = parity_join.jaccard_join(docs)
     rows = base.filter("n > 0").select("sig", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "at").alias("row"))
     least = rows.groupBy("sig").agg(F.min("row").alias("least"))
-    rooted = least.join(roots.toDF("sig", "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    first = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("first")), "root").select("sig", "first")
-    gone = rows.join(first, "sig").filter("row <> first").select("row.doc_id", "row.at").distinct()
+    rooted = least.join(roots.toDF("sig", "root").hint("merge"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    first = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("first")).hint("merge"), "root").select("sig", "first")
+    gone = rows.join(first.hint("merge"), "sig").filter("row <> first").select("row.doc_id", "row.at").distinct()
     again = rows.groupBy("row").count().filter("count > 1").select("row.doc_id", "row.at")
     names = docs.columns
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"), F.col("doc_id").cast("long").alias("id"), common.text_key().alias("hash"))
     same = lambda keys: F.col("id").eqNullSafe(keys["doc_id"]) & (F.col("hash") == keys["at"])
-    out = keyed.join(gone, same(gone), "left_anti")
+    out = keyed.join(gone.hint("merge"), same(gone), "left_anti")
     if not again.isEmpty():  # equal rows, of which one stays
         again = again.distinct()
-        out = out.join(again, same(again), "left_anti").unionByName(out.join(again, same(again), "left_semi").dropDuplicates(["id", "hash"]))
+        out = out.join(again.hint("merge"), same(again), "left_anti").unionByName(out.join(again.hint("merge"), same(again), "left_semi").dropDuplicates(["id", "hash"]))
     return out.select(*[F.col(f"doc.`{c}`").alias(c) for c in names])
 
 

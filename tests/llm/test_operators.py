@@ -184,7 +184,7 @@ def test_parity_join_of_nothing(spark):
     assert parity_join.near_duplicates(docs(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("stage", [False])
+@pytest.mark.parametrize("stage", [False, True])
 def test_parity_join_broadcasts_no_table_by_its_files(spark, monkeypatch, stage):
     import corpus_pipeline
     from tessera.llm import common
