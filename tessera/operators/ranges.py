@@ -66,9 +66,26 @@ def segment_tree(series: DataFrame, fold) -> DataFrame:
 def range_fold(series: DataFrame, queries: DataFrame, fold) -> DataFrame:
     """grp, l, r, res: a fold of inclusive ranges, of the at most two nodes a level of the segment tree that make them up.
 
-    Ranges that hold no place, as those of a null bound, are missing.
+    Ranges that hold no more places in all than a step of the tree would write are folded place by place. Ranges that hold
+    no place, as those of a null bound, are missing.
     """
-    return node_fold(segment_tree(series, fold), queries, fold)
+    asked = cut(queries.select("grp", "l", "r").distinct().filter("l <= r"))
+    places = asked.agg(F.sum(F.col("r").cast("double") - F.col("l") + 1)).first()[0] or 0
+    if places <= (STEP + 1) * series.count():
+        return place_fold(series, asked, fold)
+    return node_fold(segment_tree(series, fold), asked, fold)
+
+
+#: A place's block of 2**BLOCK, within which a range is folded first.
+BLOCK = 8
+
+
+def place_fold(series: DataFrame, queries: DataFrame, fold) -> DataFrame:
+    """As :func:`range_fold`, of the places themselves: rows meet by group and block, so a group may be as long as the table."""
+    blocks = F.expr(f"sequence(shiftright(l, {BLOCK}), shiftright(r, {BLOCK}))")
+    values = series.select("grp", F.expr(f"shiftright(pos, {BLOCK})").alias("block"), "pos", "val")
+    met = queries.withColumn("block", F.explode(blocks)).join(values, ["grp", "block"]).filter("pos BETWEEN l AND r")
+    return met.groupBy("grp", "l", "r", "block").agg(fold("val").alias("val")).groupBy("grp", "l", "r").agg(fold("val").alias("res"))
 
 
 def node_fold(tree: DataFrame, queries: DataFrame, fold) -> DataFrame:
@@ -81,21 +98,32 @@ def node_fold(tree: DataFrame, queries: DataFrame, fold) -> DataFrame:
     return wanted.join(tree, ["grp", "level", "block"]).groupBy("grp", "l", "r").agg(fold("val").alias("res"))
 
 
-def gcd(values: Column) -> Column:
-    """Greatest common divisor of an array of longs, by Euclid's steps on absolute values."""
+def _euclid(a: Column, b: Column) -> Column:
+    state = F.struct(F.abs(a).alias("a"), F.abs(b).alias("b"))
+    step = lambda s, _: F.struct(F.when(s["b"] == 0, s["a"]).otherwise(s["b"]).alias("a"), F.when(s["b"] == 0, s["b"]).otherwise(s["a"] % F.when(s["b"] == 0, F.lit(1)).otherwise(s["b"])).alias("b"))
+    steps = F.ceil(F.log2(F.greatest(F.least(F.abs(a), F.abs(b)), F.lit(1)).cast("double")) * 1.4405).cast("int") + 3  # by Lamé's theorem
+    return F.aggregate(F.sequence(F.lit(1), steps), state, step, lambda s: s["a"])
 
-    def euclid(a: Column, b: Column) -> Column:
-        state = F.struct(F.abs(a).alias("a"), F.abs(b).alias("b"))
-        step = lambda s, _: F.struct(F.when(s["b"] == 0, s["a"]).otherwise(s["b"]).alias("a"), F.when(s["b"] == 0, s["b"]).otherwise(s["a"] % F.when(s["b"] == 0, F.lit(1)).otherwise(s["b"])).alias("b"))
-        return F.aggregate(F.sequence(F.lit(1), F.lit(92)), state, step, lambda s: s["a"])
 
-    return F.aggregate(values, F.lit(0).cast("long"), euclid)
+def gcd(values: Column) -> Column:
+    """Greatest common divisor of an array of longs, by Euclid's steps on absolute values."""
+    return F.aggregate(values, F.lit(0).cast("long"), _euclid)
 
 
 def lcm(values: Column) -> Column:
     """Least common multiple of an array of positive longs; null past the range of longs."""
-    both = lambda a, b: gcd(F.array(a, b))
-    return F.aggregate(values, F.lit(1).cast("long"), lambda a, b: F.try_multiply(a, (b / both(a, b)).cast("long")))
+    both = lambda a, b: F.greatest(gcd(F.array(a, b)), F.lit(1).cast("long"))
+    return F.aggregate(values, F.lit(1).cast("long"), lambda a, b: F.try_multiply(a, F.call_function("div", b, both(a, b))))
+
+
+#: What :func:`lcm_fold` gives past the range of longs; a null would be skipped by the next fold.
+PAST = -1
+
+
+def lcm_fold(values: Column) -> Column:
+    """Least common multiple as an aggregate of positive longs, for :func:`range_fold`."""
+    found, past = F.collect_list(values), F.lit(PAST).cast("long")
+    return F.when(F.array_contains(found, past), past).otherwise(F.coalesce(lcm(found), past))
 
 
 def point_assign(series: DataFrame, updates: DataFrame) -> DataFrame:

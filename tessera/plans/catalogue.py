@@ -316,7 +316,8 @@ def range_lcm(spark: SparkSession, d: str) -> DataFrame:
     """Of the quantities in the middle of each order."""
     place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_quantity")) - 1
     s = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("grp"), place.cast("long").alias("pos"), F.col("l_quantity").cast("long").alias("val"))
-    return ranges.range_fold(s, middle_halves(s), lambda c: ranges.lcm(F.collect_list(c)))
+    found = ranges.range_fold(s, middle_halves(s), ranges.lcm_fold)
+    return found.withColumn("res", F.nullif("res", F.lit(ranges.PAST).cast("long")))
 
 
 @query("point_add_range", f"WITH s AS ({SERIES}), q AS ({HALVES}) SELECT q.grp, l, r, CAST(sum(CASE WHEN pos = l THEN val + 12 ELSE val END) AS BIGINT) AS res FROM q JOIN s ON s.grp = q.grp AND pos BETWEEN l AND r GROUP BY 1, 2, 3")

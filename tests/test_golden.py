@@ -373,6 +373,21 @@ def test_ranges_of_long_series(spark):
         assert listed(ranges.range_fold(s, q, fold), "grp", "l", "r", "res") == sorted((g, l, r, plain(of(g, l, r))) for g, l, r in set(asked) if l <= r)
 
 
+def test_few_places_make_no_tree(spark, monkeypatch):
+    monkeypatch.setattr(ranges, "segment_tree", lambda *_: pytest.fail("a tree for ranges that are short in all"))
+    rng = random.Random(23)
+    values = [rng.randint(1, 50) for _ in range(1500)]
+    rows = [("g", k, v) for k, v in enumerate(values)] + [("big", k, v) for k, v in enumerate([2**62, 3, 5])] + [("h", 0, 2**55 + 1), ("h", 1, 1)]
+    s = spark.createDataFrame(rows, "grp string, pos long, val long")
+    asked = [("g", 3, 9), ("g", 250, 262), ("g", 0, 1499), ("g", 255, 256), ("g", 5, 4), ("big", 0, 2), ("h", 0, 1), ("none", 0, 3)]
+    q = spark.createDataFrame(asked, "grp string, l long, r long")
+    sums = {("g", l, r): sum(values[l : r + 1]) for g, l, r in asked if g == "g" and l <= r} | {("big", 0, 2): 2**62 + 8, ("h", 0, 1): 2**55 + 2}
+    assert {(x["grp"], x["l"], x["r"]): x["res"] for x in ranges.range_fold(s, q, F.sum).collect()} == sums
+    within = lambda n: n if n < 2**63 else ranges.PAST
+    lcms = {k: within(math.lcm(*values[k[1] : k[2] + 1])) for k in sums if k[0] == "g"} | {("big", 0, 2): ranges.PAST, ("h", 0, 1): 2**55 + 1}
+    assert {(x["grp"], x["l"], x["r"]): x["res"] for x in ranges.range_fold(s, q, ranges.lcm_fold).collect()} == lcms
+
+
 def test_one_group_in_many_ranges(spark):
     rng = random.Random(22)
     values = [rng.choice([None, *range(-50, 50)]) for _ in range(3000)]
