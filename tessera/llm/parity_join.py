@@ -437,9 +437,9 @@ def _tiled(members: DataFrame, nodes: DataFrame) -> DataFrame:
     Of the buckets that two nodes share only the first by ``k`` gives their pair.
     """
     members = members.withColumn("k", F.xxhash64("part", "key"))
-    members = members.join(members.groupBy("a").agg(F.collect_set("k").alias("ks")), "a")  # no more than a node's chunk keys
+    members = members.join(members.groupBy("a").agg(F.collect_set("k").alias("ks")).hint("merge"), "a")  # no more than a node's chunk keys
     tiles = F.ceil(F.col("m") / TILE).cast("int")
-    rows = members.join(nodes.select(F.col("sig").alias("a"), "n", "sketch"), "a").withColumn("tile", F.pmod(F.xxhash64("a"), tiles).cast("int"))
+    rows = members.join(nodes.select(F.col("sig").alias("a"), "n", "sketch").hint("merge"), "a").withColumn("tile", F.pmod(F.xxhash64("a"), tiles).cast("int"))
     other = F.explode(F.sequence(F.lit(0), tiles - 1))
     rows = rows.withColumn("other", other).select("k", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "a", "root", "n", "sketch", "ks")
 

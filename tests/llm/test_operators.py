@@ -201,6 +201,14 @@ def test_parity_join_broadcasts_no_table_by_its_files(spark, monkeypatch, stage)
     assert seen and max(seen) <= common.BROADCAST_BYTES and spark.conf.get(name) == before
 
 
+def test_members_of_buckets_are_not_broadcast(spark):
+    members = spark.createDataFrame([(0, 1, b"a", b"a", 2), (0, 1, b"b", b"b", 2)], "part long, key long, a binary, root binary, m long")
+    nodes = spark.createDataFrame([(b"a", 3, bytes(8)), (b"b", 3, bytes(8))], "sig binary, n long, sketch binary")
+    out = parity_join._tiled(members, nodes)
+    assert [(bytes(r["a"]), bytes(r["b"])) for r in out.collect()] == [(b"a", b"b")]
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_sketch_distance_is_a_lower_bound():
     rng = np.random.default_rng(1)
     for n in (3, 70, 900):
