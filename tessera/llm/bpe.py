@@ -2,7 +2,7 @@
 
 The symbols of many distinct words lie in one flat array. A round finds the merge rank of every adjacent pair by
 binary search over the sorted pair keys, takes each word's lowest rank, merges its occurrences and compacts the array;
-words without a mergeable pair drop out. A worker keeps a bounded dictionary of the words it has encoded.
+words without a mergeable pair drop out. A worker keeps a bounded dictionary of the words it has met of late.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +18,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import clean_text, table
+from .common import clean_text, release, table
 
-#: Words and characters that a worker remembers at most; then its dictionary starts afresh.
-CACHED_WORDS, CACHED_CHARS = 400_000, 8_000_000
+#: Words and characters that a worker remembers at most, beside those of the texts in hand; the ones longest unused go first.
+CACHED_WORDS, CACHED_CHARS = 150_000, 3_000_000
+#: Characters that are encoded at once, and rows whose texts become Python strings at once.
+CHUNK_CHARS, CHUNK_ROWS = 500_000, 50
 NONE = np.iinfo(np.int64).max
 #: Runs of letters and digits that Unicode has assigned since version 16, first and last of each.
 NEWER = [
@@ -158,11 +160,15 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        m = self.model
-        self.ids = {w: np.array([k], "<u4").tobytes() for w, k in m.special.items()}
-        self.shown = {w: w for w in m.special}
+        self.ids: dict[str, bytes] = {}  # of words met since the last turn
+        self.older: dict[str, bytes] = {}  # and of those met only before it
         self.held = 0
 
+    def turn(self) -> None:
+        """Once half of what may be remembered is new, words not met since the last turn go."""
+        if len(self.ids) > CACHED_WORDS // 2 or self.held > CACHED_CHARS // 2:
+            self.ids, self.older, self.held = {}, self.ids, 0
+
     def split(self, text: str) -> list[str]:
         """Pieces in order: special tokens as they stand, other text normalised and cut into words."""
         out: list[str] = []
@@ -182,24 +188,27 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> Iterator[tuple[int, bytes, str]]:
         """For each text: number of ids, ids as little-endian 32-bit integers, decoded text."""
-        if len(self.ids) > CACHED_WORDS or self.held > CACHED_CHARS:
-            self.forget()
+        self.turn()
         pieces = [self.split(t) for t in texts]
-        known = self.ids
-        fresh = list({w for p in pieces for w in p if w not in known})
+        known, older, tokens = self.ids, self.older, self.model.tokens
+        fresh = []
+        for w in {w for p in pieces for w in p if w not in known}:
+            self.held += len(w)
+            if w in older:
+                known[w] = older.pop(w)
+            elif w in self.model.special:
+                known[w] = np.array([self.model.special[w]], "<u4").tobytes()
+            else:
+                fresh.append(w)
         if fresh:
             ids, counts = self.model.encode_words(fresh)
-            data, ends = ids.astype("<u4").tobytes(), np.cumsum(counts).tolist()
-            tokens, begin, listed = self.model.tokens, 0, ids.tolist()
-            for w, end in zip(fresh, ends):
+            data, begin = ids.astype("<u4").tobytes(), 0
+            for w, end in zip(fresh, np.cumsum(counts).tolist()):
                 known[w] = data[4 * begin : 4 * end]
-                self.shown[w] = " ".join([tokens[k] for k in listed[begin:end]])
                 begin = end
-                self.held += len(w)
-        shown = self.shown
         for p in pieces:
             ids = b"".join([known[w] for w in p])
-            yield len(ids) // 4, ids, " ".join([shown[w] for w in p])
+            yield len(ids) // 4, ids, " ".join([tokens[k] for k in np.frombuffer(ids, "<u4").tolist()])
 
 
 def default_path() -> str:
@@ -216,7 +225,12 @@ SCHEMA = T.StructType([
 ])
 
 
-def _chunks(texts: list[str], most: int = 2_000_000) -> Iterator[list[str]]:
+def _texts(column: pa.Array) -> Iterator[str]:
+    for k in range(0, len(column), CHUNK_ROWS):
+        yield from column.slice(k, CHUNK_ROWS).to_pylist()
+
+
+def _chunks(texts: Iterable[str], most: int = CHUNK_CHARS) -> Iterator[list[str]]:
     """Runs of texts of about ``most`` characters, so that working arrays stay small."""
     part, held = [], 0
     for t in texts:
@@ -235,11 +249,11 @@ def _run(docs: DataFrame, path: str | None, digests: bool) -> DataFrame:
         model = spark.sparkContext.broadcast(WordBPE(f.read()))  # as large as the vocabulary file, whatever the data
 
     def batches(frames):
+        release()  # what the worker's earlier tasks have left
         encoder = Encoder(model.value)
         for frame in frames:
-            ids, texts = frame.column(0), frame.column(1).to_pylist()
-            done = 0
-            for part in _chunks(texts):
+            ids, done = frame.column(0), 0
+            for part in _chunks(_texts(frame.column(1))):
                 rows = list(encoder.encode(part))
                 n = pa.array([r[0] for r in rows], pa.int64())
                 if digests:
@@ -251,6 +265,9 @@ def _run(docs: DataFrame, path: str | None, digests: bool) -> DataFrame:
                     names = ["doc_id", "n_tokens", "ids", "decoded"]
                 yield pa.RecordBatch.from_arrays([ids.slice(done, len(part)), n, a, b], names)
                 done += len(part)
+            release()
+        encoder.forget()
+        release()
 
     chosen = docs.select(docs["doc_id"].cast("long").alias("doc_id"), clean_text().alias("text"))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else SCHEMA

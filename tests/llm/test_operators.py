@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -46,6 +47,26 @@ def test_bpe_equals_the_library(spark):
     assert bpe.bpe_encode(docs(spark, [])).count() == 0
 
 
+def test_bpe_remembers_few_words_and_the_right_ones():
+    """Texts of ever new words in a small memory; words met again, soon or late, have the ids they had."""
+    with open(bpe.default_path(), encoding="utf-8") as f:
+        model = bpe.WordBPE(f.read())
+    rng = random.Random(5)
+    often = ["the", "don't", "<|endoftext|>", "naïve"]
+    lots = [[" ".join(often + ["".join(rng.choices("abcdefghijklmnop", k=8)) for _ in range(1000)]) for _ in range(5)] for _ in range(60)]
+    encoder = bpe.Encoder(model)
+    tracemalloc.start()
+    try:
+        got = [hashlib.sha256(repr(list(encoder.encode(texts))).encode()).hexdigest() for texts in lots + lots[:2]]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 45e6, peak
+    assert got[60:] == got[:2]
+    for k in (0, 30, 59):
+        assert got[k] == hashlib.sha256(repr(list(bpe.Encoder(model).encode(lots[k]))).encode()).hexdigest()
+
+
 # Mixing
 
 
